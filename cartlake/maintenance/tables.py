@@ -56,21 +56,35 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
     return referenced.join(parent.select(F.col(key).alias(column)), column, "left_anti")
 
 
+def key_violations(df: DataFrame, table: str, key: str) -> DataFrame:
+    """Number of duplicated values and of NULL rows of a primary key, from one grouping."""
+    rows_per_key = df.groupBy(key).agg(F.count("*").alias("occurrences"))
+    counted = rows_per_key.agg(
+        F.count_if(F.col(key).isNotNull() & (F.col("occurrences") > 1)).alias("duplicated"),
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("occurrences"))), F.lit(0)).alias("missing"),
+    )
+    return counted.select(F.stack(
+        F.lit(2),
+        F.lit(f"{table}.{key} unique"), F.col("duplicated"),
+        F.lit(f"{table}.{key} not null"), F.col("missing"),
+    ).alias("check_name", "violations"))
+
+
+def reference_violations(child: DataFrame, table: str, column: str,
+                         parent: DataFrame, parent_table: str, key: str) -> DataFrame:
+    orphans = orphan_keys(child, column, parent, key)
+    return orphans.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("violations")).select(
+        F.lit(f"{table}.{column} in {parent_table}").alias("check_name"), "violations")
+
+
 def integrity_report(t: Tables) -> DataFrame:
     """Violations of every declared key: duplicated values, NULL keys, orphan rows."""
-    checks = []
-    for table, key in PRIMARY_KEYS.items():
-        df = getattr(t, table)
-        checks.append((f"{table}.{key} unique", duplicate_keys(df, key).agg(F.count("*").alias("violations"))))
-        checks.append((f"{table}.{key} not null",
-                       df.agg(F.count_if(F.col(key).isNull()).alias("violations"))))
-    for table, column, parent in FOREIGN_KEYS:
-        orphans = orphan_keys(getattr(t, table), column, getattr(t, parent), PRIMARY_KEYS[parent])
-        checks.append((f"{table}.{column} in {parent}",
-                       orphans.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("violations"))))
-    return reduce(DataFrame.unionAll, [
-        result.select(F.lit(name).alias("check_name"), "violations") for name, result in checks
-    ])
+    checks = [key_violations(getattr(t, table), table, key) for table, key in PRIMARY_KEYS.items()]
+    checks += [
+        reference_violations(getattr(t, table), table, column, getattr(t, parent), parent, PRIMARY_KEYS[parent])
+        for table, column, parent in FOREIGN_KEYS
+    ]
+    return reduce(DataFrame.unionAll, checks)
 
 
 def database_size(spark: SparkSession, warehouse_path: str) -> DataFrame:
@@ -119,8 +133,8 @@ def stored_result(spark: SparkSession, root: str, build: Callable[[], DataFrame]
                   max_age: timedelta, now: datetime) -> DataFrame:
     """The result kept below ``root``, computed again once it is older than ``max_age``."""
     try:
-        found = spark.read.option("inferSchema", False).parquet(root)
-        newest = found.agg(F.max(F.col("stored_at").cast("string"))).first()[0]
+        found = spark.read.parquet(root)
+        newest = found.agg(F.max("stored_at")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

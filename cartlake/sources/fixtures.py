@@ -5,14 +5,35 @@ Dimension joins are left joins on unique keys, so every fact row survives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cartlake.schemas import MONEY, Tables
 
+_schemas: dict[str, StructType] = {}
+
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """Scan one table; its schema is read from the footers once and then remembered."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def _money(amount: Column) -> Column:
+    """A floating-point amount in whole cents as an exact decimal.
+
+    Goes through a whole number: casting a double to decimal parses its printed form.
+    """
+    return _cents(F.floor(amount * 100 + 0.5))
+
+
+def _cents(count: Column) -> Column:
+    return (count.cast("decimal(14,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,35 +59,37 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
-        F.col("p_retailprice").cast(MONEY).alias("price"),
+        _money(F.col("p_retailprice")).alias("price"),
         F.concat_ws(" ", "p_brand", "p_name").alias("description"),
     )
 
 
-def orders(spark: SparkSession, folder: str, shipping: bool = False) -> DataFrame:
+def orders(spark: SparkSession, folder: str, shipping: bool = False,
+           people: DataFrame | None = None) -> DataFrame:
     """Orders; ``shipping`` adds the customer's country, which costs a join."""
     base = _read(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
-        F.col("o_totalprice").cast(MONEY).alias("total_amount"),
+        _money(F.col("o_totalprice")).alias("total_amount"),
         F.col("o_orderstatus").alias("status"),
     )
     if not shipping:
         return base
-    country = customers(spark, folder).select("customer_id", F.col("country").alias("shipping_country"))
+    people = customers(spark, folder) if people is None else people
+    country = people.select("customer_id", F.col("country").alias("shipping_country"))
     return base.join(country, "customer_id", "left").select(*base.columns, "shipping_country")
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    # Rounded down to whole cents before the cast: half cents differ between engines.
-    cents = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity"))
+    # Rounded down to whole cents: half cents differ between engines.
+    unit_price = _cents(F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")))
     return _read(spark, folder, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        (cents / 100).cast(MONEY).alias("unit_price"),
+        unit_price.alias("unit_price"),
     )
 
 
@@ -82,10 +105,11 @@ def product_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, folder: str, shipping: bool = False) -> Tables:
+    people = customers(spark, folder)
     return Tables(
-        customers=customers(spark, folder),
+        customers=people,
         products=products(spark, folder),
-        orders=orders(spark, folder, shipping),
+        orders=orders(spark, folder, shipping, people),
         order_items=order_items(spark, folder),
         product_reviews=product_reviews(spark, folder),
     )
@@ -105,4 +129,4 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _log_columns(df: DataFrame) -> DataFrame:
-    return df.select("event_id", "ts", "user_id", "event_type", F.col("value").cast(MONEY).alias("value"))
+    return df.select("event_id", "ts", "user_id", "event_type", _money(F.col("value")).alias("value"))
