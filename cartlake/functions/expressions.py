@@ -31,10 +31,6 @@ def line_revenue() -> Column:
     return F.col("quantity") * F.col("unit_price")
 
 
-def count_where(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def count_distinct_where(condition: Column, value: Column) -> Column:
     return F.count_distinct(F.when(condition, value))
 

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlake.functions.expressions import count_where, line_revenue, mean, month_of, percent
+from cartlake.functions.expressions import line_revenue, mean, month_of, percent
 from cartlake.operators.joins import attach_to_totals, only_keys_of
 from cartlake.operators.ranking import best_per_group, top_k
 from cartlake.operators.staging import staged
@@ -35,14 +35,21 @@ def buyer_profile(lines: DataFrame, t: Tables) -> DataFrame:
     The percentages divide lines by distinct buyers, so repeat purchases can take
     them beyond 100.
     """
+    # Lines are counted per (product, customer) before customers are joined, so a
+    # customer with very many lines is one row per product by then.
     bought = (
         lines.join(t.orders.select("order_id", "customer_id"), "order_id")
+        .groupBy("product_id", "customer_id").agg(F.count("*").alias("lines"))
         .join(t.customers.select("customer_id", "gender"), "customer_id")
     )
+
+    def lines_of(gender: str):
+        return F.sum(F.when(F.col("gender") == gender, F.col("lines")).otherwise(0))
+
     return bought.groupBy("product_id").agg(
         F.count_distinct("customer_id").alias("customer_count"),
-        count_where(F.col("gender") == "Male").alias("male_lines"),
-        count_where(F.col("gender") == "Female").alias("female_lines"),
+        lines_of("Male").alias("male_lines"),
+        lines_of("Female").alias("female_lines"),
     ).select(
         "product_id",
         "customer_count",

@@ -109,8 +109,11 @@ def expired_temp(time: Column, as_of: datetime, days: int = 7) -> Column:
 
 def apply_retention(logs: DataFrame, path: str, as_of: datetime, time: str = "ts",
                     archive_days: int = 30, drop_days: int = 90) -> None:
-    """Write the rows to keep and, compressed, the rows to archive; leave out the expired ones."""
+    """Write the rows to keep and, compressed, the rows to archive; leave out the expired ones.
+
+    Rows without a time are kept.
+    """
     old = _older_than(F.col(time), archive_days, as_of)
     expired = _older_than(F.col(time), drop_days, as_of)
-    logs.where(~old).write.parquet(f"{path}/tier=keep")
+    logs.where(~old | old.isNull()).write.parquet(f"{path}/tier=keep")
     logs.where(old & ~expired).write.option("compression", "gzip").parquet(f"{path}/tier=archive")
