@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from cartlake.session import run_dir
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Apply settings while a query starts (it keeps its own copy) and restore the old ones."""
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
 
 def append_available(stream: DataFrame, label: str, path: str | None = None,
                      state_partitions: int | None = None) -> DataFrame:
@@ -15,21 +33,19 @@ def append_available(stream: DataFrame, label: str, path: str | None = None,
     checkpoint lies next to the output in the shared folder: a restarted query with
     the same ``path`` continues where it stopped and writes nothing twice.
     ``state_partitions`` fixes the number of state partitions, which a stateful
-    query keeps for life; adaptive execution does not apply to them.
+    query keeps for life; adaptive execution does not apply to them. State is kept
+    in RocksDB, off the Java heap, so it may outgrow executor memory.
     """
     spark = stream.sparkSession
     path = path or run_dir(spark, label)
-    setting = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(setting)
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
     if state_partitions:
-        spark.conf.set(setting, str(state_partitions))
-    try:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    with _session_settings(spark, settings):
         query = (
             stream.writeStream.format("parquet").outputMode("append")
             .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
             .trigger(availableNow=True).start()
         )
-    finally:
-        spark.conf.set(setting, previous)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
