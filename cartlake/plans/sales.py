@@ -70,15 +70,14 @@ def top_seller_per_country(t: Tables, top_countries: int = 10) -> DataFrame:
         best.groupBy("country").agg(F.max("total_sales").alias("max_sales")), "max_sales", top_countries, "country")
     winners = best.join(countries, "country", "left_semi")
 
-    ids = winners.select("product_id").distinct()
-    lines = staged(only_keys_of(t.order_items.select("order_id", "product_id"), ids, "product_id"), "winner-lines")
+    lines = only_keys_of(t.order_items.select("order_id", "product_id"), winners, "product_id")
     ratings = (
-        only_keys_of(t.product_reviews.select("product_id", "rating"), ids, "product_id")
+        only_keys_of(t.product_reviews.select("product_id", "rating"), winners, "product_id")
         .groupBy("product_id").agg(mean("rating").alias("avg_rating"))
     )
     return (
         winners.join(ratings, "product_id", "left")
-        .join(buyer_profile(lines, t), "product_id", "left")
+        .join(buyer_profile(staged(lines, "winner-lines"), t), "product_id", "left")
         .select("country", "product_name", "total_sales", "total_quantity", "avg_rating",
                 "customer_count", "male_percent", "female_percent")
         .orderBy(F.desc("total_sales"), "country", "product_name")

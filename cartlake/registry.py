@@ -68,17 +68,17 @@ def q01_top_seller_per_country(spark, folder):
 
 @_registered
 def q02_customer_demographics(spark, folder):
-    return people.customer_demographics(fixtures.tables(spark, folder))
+    return people.customer_demographics(fixtures.tables(spark, folder, "customers", "orders"))
 
 
 @_registered
 def q03_sales_by_category(spark, folder):
-    return sales.sales_by_category(fixtures.tables(spark, folder))
+    return sales.sales_by_category(fixtures.tables(spark, folder, "products", "order_items"))
 
 
 @_registered
 def q04_customer_segments(spark, folder):
-    return people.customer_segments(fixtures.tables(spark, folder))
+    return people.customer_segments(fixtures.tables(spark, folder, "customers", "orders"))
 
 
 @_registered
@@ -88,7 +88,7 @@ def q05_customers_since(spark, folder):
 
 @_registered
 def q06_top_products(spark, folder):
-    return sales.top_products(fixtures.tables(spark, folder))
+    return sales.top_products(fixtures.tables(spark, folder, "products", "order_items"))
 
 
 @_registered
@@ -103,7 +103,7 @@ def q08_monthly_retention(spark, folder):
 
 @_registered
 def q09_revenue_by_category(spark, folder):
-    return sales.revenue_by_category(fixtures.tables(spark, folder))
+    return sales.revenue_by_category(fixtures.tables(spark, folder, "products", "order_items"))
 
 
 @_registered
@@ -323,7 +323,7 @@ def evolved_orders(spark, folder):
 @_registered
 def stored_revenue_by_category(spark, folder):
     root, now = run_dir(spark, "stored-revenue"), datetime.now()
-    tables = fixtures.tables(spark, folder)
+    tables = fixtures.tables(spark, folder, "products", "order_items")
 
     def lookup(at):
         return upkeep.stored_result(spark, root, lambda: sales.revenue_by_category(tables), timedelta(minutes=5), at)

@@ -77,13 +77,13 @@ FOREIGN_KEYS = (
 
 @dataclass(frozen=True)
 class Tables:
-    """The five relations every business query is written against."""
+    """The five relations every business query is written against; a query may need only some."""
 
-    customers: DataFrame
-    products: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    product_reviews: DataFrame
+    customers: DataFrame | None = None
+    products: DataFrame | None = None
+    orders: DataFrame | None = None
+    order_items: DataFrame | None = None
+    product_reviews: DataFrame | None = None
 
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in TABLE_SCHEMAS]
