@@ -63,7 +63,8 @@ def _comparable(df: DataFrame) -> DataFrame:
 
 @_registered
 def q01_top_seller_per_country(spark, folder):
-    return sales.top_seller_per_country(fixtures.tables(spark, folder, shipping=True))
+    shipped = fixtures.orders(spark, folder, shipping=True)
+    return sales.top_seller_per_country(fixtures.tables(spark, folder), shipped=shipped)
 
 
 @_registered

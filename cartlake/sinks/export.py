@@ -49,7 +49,7 @@ def last_write_wins(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy("filename").agg(F.max_by("value", order).alias("value"))
 
 
-def export_texts(texts: DataFrame, path: str, max_records_per_file: int = 10_000) -> None:
+def export_texts(texts: DataFrame, path: str, max_records_per_file: int = 1000) -> None:
     """Write texts below ``<path>/filename=<name>/``.
 
     There is no shuffle, so a name that covers a third of the rows is written by

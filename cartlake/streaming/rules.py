@@ -27,6 +27,7 @@ class AlertRule:
     time: str = "ts"
 
 
+# The two published alert rules.
 FAILED_AUTHENTICATION = AlertRule(key="Account", threshold=10, window="15 minutes", every="5 minutes")
 FAILED_AUTHENTICATION_EVENT = 4625
 STORAGE_ERRORS = AlertRule(key="CallerIpAddress", threshold=50, window="30 minutes", every="10 minutes")
