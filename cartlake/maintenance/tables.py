@@ -8,6 +8,7 @@ from contextlib import redirect_stdout
 from datetime import datetime, timedelta
 from functools import reduce
 from io import StringIO
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,8 @@ def integrity_report(t: Tables) -> DataFrame:
 
 def database_size(spark: SparkSession, warehouse_path: str) -> DataFrame:
     """Files and bytes per table folder below the warehouse path."""
-    table = F.element_at(F.split(F.split_part("path", F.lit(warehouse_path.rstrip("/") + "/"), F.lit(2)), "/"), 1)
+    root = urlparse(warehouse_path).path.rstrip("/") + "/"
+    table = F.split_part(F.split_part("path", F.lit(root), F.lit(2)), F.lit("/"), F.lit(1))
     return file_inventory(spark, warehouse_path, recursive=True).groupBy(table.alias("table_name")).agg(
         F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"))
 

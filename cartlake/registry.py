@@ -290,9 +290,8 @@ def database_size(spark, folder):
 
 @_registered
 def compacted_order_items(spark, folder):
-    source, target = run_dir(spark, "items-small-files"), run_dir(spark, "items-compacted")
-    items = fixtures.order_items(spark, folder)
-    items.write.option("maxRecordsPerFile", 5000).parquet(source)
+    source, target = run_dir(spark, "items"), run_dir(spark, "items-compacted")
+    fixtures.order_items(spark, folder).write.parquet(source)
     return upkeep.compact(spark, source, target)
 
 

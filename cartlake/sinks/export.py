@@ -21,14 +21,17 @@ def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_time_slices(df: DataFrame, path: str, date_column: str, slice_column: str = "slice_year") -> None:
-    """One folder per year of ``date_column``.
+def time_slices(df: DataFrame, date_column: str, slice_column: str = "slice_year") -> DataFrame:
+    """Add the year of ``date_column`` and gather each year in few partitions of sound size.
 
-    Rebalancing gathers a year in few files of sound size and splits a year that
-    holds most rows over several tasks.
+    Rebalancing splits a year that holds most rows over several tasks.
     """
-    sliced = df.withColumn(slice_column, F.year(date_column))
-    sliced.hint("rebalance", F.col(slice_column)).write.partitionBy(slice_column).parquet(path)
+    return df.withColumn(slice_column, F.year(date_column)).hint("rebalance", F.col(slice_column))
+
+
+def write_time_slices(df: DataFrame, path: str, date_column: str, slice_column: str = "slice_year") -> None:
+    """One folder per year of ``date_column``."""
+    time_slices(df, date_column, slice_column).write.partitionBy(slice_column).parquet(path)
 
 
 def read_time_slices(spark: SparkSession, path: str, date_column: str, since: datetime.date,
@@ -49,7 +52,7 @@ def last_write_wins(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy("filename").agg(F.max_by("value", order).alias("value"))
 
 
-def export_texts(texts: DataFrame, path: str, max_records_per_file: int = 1000) -> None:
+def export_texts(texts: DataFrame, path: str, max_records_per_file: int = 10_000) -> None:
     """Write texts below ``<path>/filename=<name>/``.
 
     There is no shuffle, so a name that covers a third of the rows is written by

@@ -241,6 +241,7 @@ def test_statistics_and_size(spark, tmp_path):
     upkeep.refresh_statistics(spark, config.qualified("orders"))
     recorded = upkeep.recorded_statistics(spark, config.qualified("orders")).first()
     stored = upkeep.database_size(spark, config.warehouse_path).first()
+    assert upkeep.database_size(spark, f"file://{config.warehouse_path}/").first() == stored
     assert recorded.row_count == 3 and recorded.total_bytes > 0
     assert stored.table_name == "orders" and stored.total_bytes > 0
 

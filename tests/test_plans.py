@@ -9,6 +9,7 @@ from cartlake.maintenance.tables import plan_text
 from cartlake.operators.ranking import best_per_group
 from cartlake.plans import customers as people
 from cartlake.plans import sales
+from cartlake.sinks import export
 from cartlake.sources import files, fixtures
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,3 +76,8 @@ def test_no_query_uses_cross_joins(spark, no_broadcast):
                people.customer_demographics(t), people.customer_segments(t), people.monthly_retention(t.orders)):
         plan = plan_text(df, "simple")
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_time_slices_are_rebalanced_not_hash_partitioned(spark):
+    plan = plan_text(export.time_slices(fixtures.orders(spark, FOLDER), "order_date"), "simple")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
