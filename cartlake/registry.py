@@ -392,7 +392,7 @@ def request_counts_stream(spark, folder):
 
 @_registered
 def container_log(spark, folder):
-    return rules.newest_first(rules.container_log(fixtures.events(spark, folder), "event_type", "click"))
+    return rules.newest_first(rules.container_log(fixtures.events(spark, folder), "event_type", "click"), "event_id")
 
 
 @_registered

@@ -86,8 +86,9 @@ def container_log(logs: DataFrame, container_column: str, container: str) -> Dat
     return logs.where(F.col(container_column) == container)
 
 
-def newest_first(logs: DataFrame, time: str = "ts") -> DataFrame:
-    return logs.orderBy(F.desc(time))
+def newest_first(logs: DataFrame, *tie_break: str, time: str = "ts") -> DataFrame:
+    """Sorted by time. Tie-break columns also let the sort spread many rows of one instant over tasks."""
+    return logs.orderBy(F.desc(time), *tie_break)
 
 
 def _older_than(time: Column, days: int, as_of: datetime) -> Column:
