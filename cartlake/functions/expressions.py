@@ -45,6 +45,7 @@ def previous_month(month: str | Column) -> Column:
 
 
 def order_frequency_segment(order_count: Column) -> Column:
+    # The published segment names and bounds.
     return (
         F.when(order_count >= 10, F.lit("High Frequency"))
         .when(order_count >= 5, F.lit("Medium Frequency"))
