@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartlake.llm import bpe, simhash
+from cartlake.llm import bpe, mixing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,12 +24,32 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The key of the registered query and the pipeline; a real run passes a secret of its own.
+PSEUDONYM_KEY = b"registered-query"
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_registered
+def op2_feistel_pseudonyms(spark, folder):
+    found = pii.masked(_table(spark, folder, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii_spans").alias("n_values"), "pii_spans")
+
+
+@_registered
+def op3_source_mix(spark, folder):
+    return mixing.mixed(_table(spark, folder, "documents")).taken
+
+
+@_registered
+def op7_toxicity(spark, folder):
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_registered
 def op8_bpe_tokens(spark, folder):
     return bpe.digests(_table(spark, folder, "documents"), vocabulary_path())
