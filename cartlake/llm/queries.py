@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlake.llm import bpe, mixing, pii, simhash, toxicity
+from cartlake.llm import bpe, licences, mixing, pii, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,16 @@ def op3_source_mix(spark, folder):
     return mixing.mixed(_table(spark, folder, "documents")).taken
 
 
+@_registered
+def op5_line_frequency(spark, folder):
+    return quality.judged(_table(spark, folder, "documents"))
+
+
+@_registered
+def op6_bounded_ring(spark, folder):
+    return sharding.sharded(_table(spark, folder, "documents"))
+
+
 @_registered
 def op7_toxicity(spark, folder):
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -58,3 +68,12 @@ def op8_bpe_tokens(spark, folder):
 @_registered
 def op9_simhash_near_duplicates(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, limit=3)
+
+
+@_registered
+def op10_licence_digests(spark, folder):
+    return licences.licence_scan(_table(spark, folder, "documents"), licences.known_licences(spark))
+
+
+ORACLES["op5_line_frequency"] = quality.ORACLE
+ORACLES["op10_licence_digests"] = licences.ORACLE
