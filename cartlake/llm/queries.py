@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlake.llm import bpe, licences, mixing, pii, quality, sharding, simhash, toxicity
+from cartlake.llm import bpe, graph_index, licences, mixing, pii, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_registered
+def op1_graph_neighbours(spark, folder):
+    return graph_index.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @_registered
 def op2_feistel_pseudonyms(spark, folder):
     found = pii.masked(_table(spark, folder, "documents"), PSEUDONYM_KEY)
