@@ -27,8 +27,8 @@ from cartlake.operators.staging import staged
 DEGREE = 28
 #: A list may grow to this length before it is pruned to DEGREE.
 WIDEST = 40
-BUILD_BEAM = 56
-SEARCH_BEAM = 72
+BUILD_BEAM = 72
+SEARCH_BEAM = 128
 ALPHA = 1.2
 #: Points inserted together see the same graph; the batch grows with the graph up to this.
 BATCH = 256

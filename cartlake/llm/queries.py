@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlake.llm import bpe, graph_index, licences, mixing, pii, quality, sharding, simhash, toxicity
+from cartlake.llm import bilinear, bpe, graph_index, licences, mixing, pii, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,11 @@ def op3_source_mix(spark, folder):
     return mixing.mixed(_table(spark, folder, "documents")).taken
 
 
+@_registered
+def op4_bilinear_scores(spark, folder):
+    return bilinear.scored(_table(spark, folder, "documents"))
+
+
 @_registered
 def op5_line_frequency(spark, folder):
     return quality.judged(_table(spark, folder, "documents"))
