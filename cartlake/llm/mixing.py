@@ -185,20 +185,22 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: in
 def repeated(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: one row for each time that a document is taken whole, and one
     with its first words where the mix ends within it. Documents of which nothing is taken are not in the mix."""
-    taken = mixed(docs, **parameters).taken.groupBy("doc_id", F.col("source").alias("own"), "size").agg(
-        F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    counted = docs.withColumn("size", word_count(F.col("text")))
-    joined = counted.join(taken.select(F.col("doc_id").alias("id"), "own", F.col("size").alias("n"), "taken", "rows"),
-                          F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("own"))
-                          & (F.col("size") == F.col("n")) & (F.col("taken") > 0))
+    taken = mixed(docs, **parameters).taken.groupBy(
+        F.col("doc_id").alias("id"), F.col("source").alias("own"), F.col("size").alias("n")).agg(
+        F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    # The row travels as one value, so its columns may have any names.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"))
+    joined = whole.join(taken, F.col("doc.doc_id").eqNullSafe(F.col("id")) & F.col("doc.source").eqNullSafe(F.col("own"))
+                        & (F.col("size") == F.col("n")))
     # Rows that agree in id, source and size share what they take evenly.
-    share = joined.withColumn("taken", F.expr("taken div rows"))
+    share = joined.withColumn("taken", F.expr("taken div rows")).where("taken > 0")
     copies = share.withColumn("part", F.explode(F.expr("sequence(1, CAST(ceil(taken / size) AS INT))")))
-    left = F.expr("least(size, taken - (part - 1) * size)")
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("left") == F.col("size"), F.col("text")).otherwise(
+    copies = copies.withColumn("left", F.expr("least(size, taken - (part - 1) * size)"))
+    words = F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("left") == F.col("size"), F.col("doc.text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("left").cast("int")), ""))
-    out = copies.withColumn("left", left).withColumn("text", cut)
+    out = copies.select("doc", text.alias("cut"))
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return out.select([new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -327,11 +327,8 @@ def representatives(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFr
     Of several rows with this doc_id the first in the order of the columns stays. Rows without a doc_id
     cannot be named as copies; they all stay.
     """
-    columns = docs.columns
-    kept_ids = near_duplicates(docs, shingle, limit).where("doc_id = component_id").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(kept_ids, docs["doc_id"] == F.col("kept_id"), "left_semi")
-    others = [c for c in columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select(
-        [F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in columns])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    kept_ids = near_duplicates(docs, shingle, limit).where("doc_id = component_id").select("doc_id").distinct()
+    # The row travels as one value, so its columns may have any names.
+    rows = docs.select(F.col("doc_id").alias("key"), F.struct(*docs.columns).alias("doc"))
+    named = rows.join(kept_ids, F.col("key") == F.col("doc_id"), "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
+    return named.unionByName(rows.where("key IS NULL")).select([F.col("doc")[c].alias(c) for c in docs.columns])
