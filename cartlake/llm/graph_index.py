@@ -33,6 +33,8 @@ ALPHA = 1.2
 #: Points inserted together see the same graph; the batch grows with the graph up to this.
 BATCH = 256
 EXPANDED_AT_ONCE = 4
+#: Queries also begin at so many of the longest vectors, which often have the largest products.
+LONGEST_ENTRIES = 32
 #: Distinct vectors per shard, and queries per block, on average: both bound what one task holds.
 SHARD_POINTS = 8192
 BLOCK_QUERIES = 8192
@@ -55,6 +57,12 @@ class Graph:
         self.squares = np.einsum("ij,ij->i", points, points)
         self.edges = np.full((len(points), WIDEST), -1, np.int32) if edges is None else edges
         self.entry = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))
+        self.entries = np.array([self.entry])
+
+    def entered_at(self, more: np.ndarray) -> Graph:
+        """Searches begin at the middle point and at these."""
+        self.entries = np.unique(np.append(more, self.entry))
+        return self
 
     def _distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to the points in its row of ids."""
@@ -68,8 +76,13 @@ class Graph:
         near = np.full((n, beam), np.inf, np.float32)
         done = np.ones((n, beam), bool)
         seen = np.zeros((n, len(self.points)), bool)
-        ids[:, 0], done[:, 0], seen[:, self.entry] = self.entry, False, True
-        near[:, 0] = self._distances(queries, ids[:, :1])[:, 0]
+        first = np.broadcast_to(self.entries[:beam], (n, min(beam, len(self.entries))))
+        away = self._distances(queries, first)
+        order = np.argsort(away, axis=1, kind="stable")
+        ids[:, :first.shape[1]] = np.take_along_axis(first, order, axis=1)
+        near[:, :first.shape[1]] = np.take_along_axis(away, order, axis=1)
+        done[:, :first.shape[1]] = False
+        seen[:, self.entries[:beam]] = True
         expanded = []
         while not done.all():
             # The lists are sorted, so the first open entries are the nearest.
@@ -195,7 +208,8 @@ def _search_shard(found: int):
             edges = np.full((len(index), WIDEST), -1, np.int32)
             for i, row in enumerate(index["edges"]):
                 edges[i, :len(row)] = row
-            graph = Graph(same_length(vectors), edges)
+            longest = np.argsort(-np.einsum("ij,ij->i", vectors, vectors), kind="stable")[:LONGEST_ENTRIES]
+            graph = Graph(same_length(vectors), edges).entered_at(longest)
             asked = _stacked(queries["vector"])
             # The length of a query does not change which products are largest.
             unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)

@@ -1,0 +1,144 @@
+"""Quality rules and licence scans against SQL, the sharding ring against a plain walk."""
+
+import zlib
+
+import duckdb
+import pytest
+
+from cartlake.llm import licences, quality, sharding
+from cartlake.llm.licences import KNOWN
+
+
+def compared(spark, tmp_path, rows, run, sql):
+    schema = "doc_id long, text string, source string, host int, line int, digest int"
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = run(docs)
+    want = db.execute(sql)
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    got_rows = sorted((tuple(r[n] for n in names) for r in got.collect()), key=str)
+    want_rows = sorted(map(tuple, want.fetchall()), key=str)
+    assert got_rows == want_rows
+    return [dict(zip(names, r)) for r in got_rows]
+
+
+def pages():
+    rows = []
+    for i in range(120):
+        host = [None, "a", "b"][i % 3]
+        body = "\n".join(f"Own line {j} of page {i} has {j}a {j}b {j}c {j}d words" for j in range(6))
+        rows.append((i, f"SUBSCRIBE   to our Letter\n{body}\n\n all rights  reserved", host))
+    for i in range(200, 240):  # little but shared lines
+        rows.append((i, "Subscribe to our letter\nAll rights reserved\n" * 6 + f"own {i} end", "a"))
+    rows += [(300, "same words again and again for ever more " * 8, "b"), (301, None, "a"), (302, "", None), (303, "\n \n", "b"),
+             (304, "a # $ % & | < > * ä\nX\nX\nx", "b"), (None, "no id " * 30, "c"), rows[0], rows[0],
+             (305, "-", "-"), (306, "w " * 30000, "b")]
+    rows += [(400 + i, "copied text of many rows, " * 10 + "\nsecond line of the copy", "copies") for i in range(50)]
+    return rows
+
+
+def test_quality_equals_sql(spark, tmp_path):
+    found = compared(spark, tmp_path, pages(), quality.judged, quality.ORACLE)
+    by_id = {r["doc_id"]: r for r in found}
+    assert by_id[0]["kept"] and by_id[0]["n_lost_words"] == 7
+    assert not by_id[205]["kept"] and by_id[205]["n_lost_words"] > 0
+    assert by_id[300]["base_failed"] and by_id[301]["n_words"] == 0
+    assert by_id[304]["n_symbols"] == 8 and by_id[304]["n_dup_lines"] == 1
+    assert by_id[400]["n_lost_words"] == 0  # copies of one text are one document
+
+
+def test_quality_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert quality.judged(docs).count() == 0
+
+
+def test_licences_equal_sql(spark, tmp_path):
+    rows = [(i, t, None) for i, t in enumerate(KNOWN.values())]
+    rows += [(100, "Copyright (c) 2020 Ann\n(C) Bob\n\n" + KNOWN["MIT"].upper() + "\nAll rights reserved.", "a"),
+             (101, KNOWN["Zlib"].replace("acknowledgment", "acknowledgement").replace("\n", "  "), "a"),
+             (102, KNOWN["ISC"] + " changed", "a"), (103, None, "a"), (104, "", "a"), (105, "..;", "a"), (106, "É licence licence", "b"),
+             (107, "É license LICENSE!", "b"), (108, "e license license", "b"), (None, KNOWN["ISC"], None), (109, "x " * 50_000, "c"),
+             (109, "x " * 50_000, "c")]
+    found = compared(spark, tmp_path, rows, lambda d: licences.licence_scan(d, licences.known_licences(spark)), licences.ORACLE)
+    by_id = {r["doc_id"]: r for r in found}
+    assert [by_id[i]["licence"] for i in range(len(KNOWN))] == list(KNOWN)
+    assert by_id[100]["licence"] == "MIT" and by_id[101]["licence"] == "Zlib" and by_id[None]["licence"] == "ISC"
+    assert all(by_id[i]["licence"] is None for i in (102, 103, 104, 105, 106))
+    assert by_id[106]["digest"] == by_id[107]["digest"] != by_id[108]["digest"]
+
+
+def test_licence_tables_may_be_odd(spark):
+    known = spark.createDataFrame([("B", "Some text"), ("A", "some, TEXT!"), ("C", None), (None, "")], "licence string, licence_text string")
+    docs = spark.createDataFrame([(1, "Some text."), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.licence) for r in licences.licence_scan(docs, known).collect()) == [(1, "A"), (2, None)]
+    assert licences.licence_scan(docs.limit(0), known).count() == 0
+    assert licences.licence_scan(docs, known.limit(0)).where("licence IS NOT NULL").count() == 0
+
+
+def documents(spark, n=3000):
+    rows = [(i, "x" * (i * 37 % 900), "s") for i in range(n)] + [(None, "none", "s"), (7, None, "s"), (8, "é", None), (8, "é", None),
+                                                                (9, "y" * 60_000, "s")]
+    return rows, spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, shard int, cell int")
+
+
+@pytest.fixture(scope="module")
+def shards(spark):
+    rows, docs = documents(spark)
+    return rows, sharding.sharded(docs, 16).collect()
+
+
+def test_shards_are_even_and_slots_gapless(shards):
+    rows, found = shards
+    want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in found) == want
+    loads, slots = [0] * 16, [[] for _ in range(16)]
+    for r in found:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(loads) / 16
+    assert max(loads) <= mean * 1.001 + 900 and min(loads) >= mean * (1 - 16 * 0.001) - 900 * 3
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert {(r.law, r.grown_shard) for r in found} == {("bytes", None)}
+
+
+def test_assignment_equals_a_plain_walk(shards):
+    """Large documents first, then every other one by position, each to the first shard clockwise with room."""
+    _, found = shards
+    total = sum(r.size for r in found)
+    large = [r for r in found if r.size * 16 * sharding.GRAINS > total]
+    assert 0 < len(large) <= 16 * sharding.GRAINS
+    biggest = max(found, key=lambda r: r.size)
+    assert biggest.size == 60_001
+    walk = sharding.Ring(total, 16, sharding.SLACK)
+    nodes, cells = walk.nodes, walk.cells
+    for cell in (0, 1, 5000, sharding.CELLS - 1):
+        want = next((s for c, s in nodes if c > cell), nodes[0][1])
+        assert walk.shard_for(cell, 1) == want
+    full = walk.shard_for(100, 1)
+    walk.room[full] = 0
+    after = [s for c, s in nodes if c > 100] + [s for _, s in nodes]
+    assert walk.shard_for(100, 1) == next(s for s in after if s != full)
+    assert cells == sorted(cells)
+
+
+def test_cells_are_cut_where_shards_are_full():
+    walk = sharding.Ring(1600, 16, 0.0)
+    parts = walk.parts(3, 350)
+    assert [(a, b) for a, b, _ in parts] == [(0, 100), (100, 200), (200, 300), (300, 350)]
+    assert len({s for *_, s in parts}) == 4
+
+
+def test_reruns_agree_and_growth_moves_little(spark, shards):
+    _, docs = documents(spark)
+    again = sharding.sharded(docs.repartition(5), 16).collect()
+    assert sorted(map(str, again)) == sorted(map(str, shards[1]))
+    grown = {(r.doc_id, r.size): r.shard for r in sharding.sharded(docs, 17).collect()}
+    moved = sum(grown[(r.doc_id, r.size)] != r.shard for r in shards[1])
+    assert moved / len(grown) < 0.35
+
+
+def test_sharding_of_an_empty_table(spark):
+    assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
