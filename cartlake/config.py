@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+# The logical tables, and below the sections and keys of a settings file.
 LOGICAL_TABLES = ("customers", "products", "orders", "order_items", "product_reviews")
 
 
@@ -14,8 +15,8 @@ class TableLayout:
 
     ``partition_by`` gives partition pruning, ``sort_by`` gives tight Parquet
     row-group statistics, ``bucket_by`` lets two tables join without a shuffle.
-    Bucket only on keys that are near unique: a bucket is read by one task, so a
-    hot key in a bucketed column cannot be split at run time.
+    Bucket only on keys that are near unique, such as the key of a dimension: a bucket
+    is written and read by one task, and a hot key in it cannot be split at run time.
     """
 
     partition_by: tuple[str, ...] = ()

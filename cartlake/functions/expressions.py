@@ -12,6 +12,8 @@ DEFAULT_NAME_PREFIX = "hello_world_"
 TEXT_SUFFIX = ".txt"
 STAMP_FORMAT = "%Y%m%d_%H%M%S"
 
+CSV_NULL = "\\N"
+
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Floating-point quotient; NULL instead of an error for an empty group."""
@@ -31,10 +33,6 @@ def line_revenue() -> Column:
     return F.col("quantity") * F.col("unit_price")
 
 
-def count_distinct_where(condition: Column, value: Column) -> Column:
-    return F.count_distinct(F.when(condition, value))
-
-
 def month_of(date: str | Column) -> Column:
     """First day of the month, as a DATE (independent of the session time zone)."""
     return F.trunc(date, "MM")
@@ -62,3 +60,16 @@ def text_file_name(name: Column, now: datetime) -> Column:
 
 def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def escape_lines(text: Column) -> Column:
+    """The text on one line: backslashes doubled, line breaks as backslash and letter."""
+    once = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(once, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescape_lines(text: Column) -> Column:
+    """The inverse of ``escape_lines``. Between doubled backslashes the single ones are unambiguous."""
+    parts = F.transform(F.split(text, r"\\\\"), lambda part: F.replace(
+        F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(parts, "\\")

@@ -13,6 +13,7 @@ from urllib.parse import urlparse
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartlake.functions.expressions import STAMP_FORMAT
 from cartlake.schemas import FOREIGN_KEYS, PRIMARY_KEYS, Tables
@@ -57,35 +58,35 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
     return referenced.join(parent.select(F.col(key).alias(column)), column, "left_anti")
 
 
-def key_violations(df: DataFrame, table: str, key: str) -> DataFrame:
-    """Number of duplicated values and of NULL rows of a primary key, from one grouping."""
-    rows_per_key = df.groupBy(key).agg(F.count("*").alias("occurrences"))
-    counted = rows_per_key.agg(
-        F.count_if(F.col(key).isNotNull() & (F.col("occurrences") > 1)).alias("duplicated"),
-        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("occurrences"))), F.lit(0)).alias("missing"),
-    )
-    return counted.select(F.stack(
-        F.lit(2),
-        F.lit(f"{table}.{key} unique"), F.col("duplicated"),
-        F.lit(f"{table}.{key} not null"), F.col("missing"),
-    ).alias("check_name", "violations"))
-
-
-def reference_violations(child: DataFrame, table: str, column: str,
-                         parent: DataFrame, parent_table: str, key: str) -> DataFrame:
-    orphans = orphan_keys(child, column, parent, key)
-    return orphans.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("violations")).select(
-        F.lit(f"{table}.{column} in {parent_table}").alias("check_name"), "violations")
+def _key_domain_report(t: Tables, parent: str) -> DataFrame:
+    """Violations of one primary key and of all keys that refer to it, from one grouping of all their rows."""
+    key = PRIMARY_KEYS[parent]
+    children = [(table, column) for table, column, owner in FOREIGN_KEYS if owner == parent]
+    sources = [(parent, key), *children]
+    rows = reduce(DataFrame.unionAll, [
+        getattr(t, table).select(F.col(column).alias("key"), F.lit(role).alias("role"))
+        for role, (table, column) in enumerate(sources)])
+    per_key = rows.groupBy("key").agg(*[
+        F.count_if(F.col("role") == role).alias(f"n{role}") for role in range(len(sources))])
+    known = F.col("key").isNotNull()
+    checks = [
+        (f"{parent}.{key} unique", F.count_if(known & (F.col("n0") > 1))),
+        (f"{parent}.{key} not null", F.sum(F.when(~known, F.col("n0")))),
+    ] + [
+        (f"{table}.{column} in {parent}", F.sum(F.when(known & (F.col("n0") == 0), F.col(f"n{role}"))))
+        for role, (table, column) in enumerate(children, 1)]
+    counted = per_key.agg(*[F.coalesce(n, F.lit(0)).alias(f"c{i}") for i, (_, n) in enumerate(checks)])
+    cells = [cell for i, (name, _) in enumerate(checks) for cell in (F.lit(name), F.col(f"c{i}"))]
+    return counted.select(F.stack(F.lit(len(checks)), *cells).alias("check_name", "violations"))
 
 
 def integrity_report(t: Tables) -> DataFrame:
-    """Violations of every declared key: duplicated values, NULL keys, orphan rows."""
-    checks = [key_violations(getattr(t, table), table, key) for table, key in PRIMARY_KEYS.items()]
-    checks += [
-        reference_violations(getattr(t, table), table, column, getattr(t, parent), parent, PRIMARY_KEYS[parent])
-        for table, column, parent in FOREIGN_KEYS
-    ]
-    return reduce(DataFrame.unionAll, checks)
+    """Violations of every declared key: duplicated values, NULL keys, orphan rows.
+
+    Each key is grouped once, together with the columns that refer to it. Rows are counted per
+    value inside every task first, so a hot value is a few rows when it travels.
+    """
+    return reduce(DataFrame.unionAll, [_key_domain_report(t, table) for table in PRIMARY_KEYS])
 
 
 def database_size(spark: SparkSession, warehouse_path: str) -> DataFrame:
@@ -96,16 +97,34 @@ def database_size(spark: SparkSession, warehouse_path: str) -> DataFrame:
         F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"))
 
 
-def compact(spark: SparkSession, source: str, target: str,
-            file_bytes: int = ADVISORY_PARTITION_BYTES) -> DataFrame:
+def _partition_columns(inventory: DataFrame, source: str) -> list[str]:
+    """Names of the ``column=value`` folders below ``source``, outermost first."""
+    first = inventory.select("path").first()
+    root = urlparse(source).path.strip("/")
+    below = urlparse(first["path"]).path.split(root, 1)[-1] if first else ""
+    return [part.split("=", 1)[0] for part in below.split("/")[:-1] if "=" in part]
+
+
+def compact(spark: SparkSession, source: str, target: str, file_bytes: int = ADVISORY_PARTITION_BYTES,
+            schema: T.StructType | None = None) -> DataFrame:
     """Rewrite a Parquet folder with files of about ``file_bytes`` into a fresh folder.
 
-    Read partitions are merged in place, not shuffled: every task writes one file
-    of about the wanted size, however many there are in total.
+    Columns of all files count, absent ones are NULL; a partitioned folder stays partitioned. Flat
+    folders are merged in place, not shuffled; partitioned ones are rebalanced, which gathers small
+    partitions and splits large ones. Rows and columns are compared with the source at the end.
     """
-    total = file_inventory(spark, source).agg(F.sum("size")).first()[0] or 0
-    spark.read.parquet(source).coalesce(max(1, math.ceil(total / file_bytes))).write.parquet(target)
-    return spark.read.parquet(target)
+    inventory = file_inventory(spark, source, recursive=True)
+    total = inventory.agg(F.sum("size")).first()[0] or 0
+    partitions = _partition_columns(inventory, source)
+    rows = (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(source)
+    if partitions:
+        rows.hint("rebalance", *[F.col(c) for c in partitions]).write.partitionBy(*partitions).parquet(target)
+    else:
+        rows.coalesce(max(1, math.ceil(total / file_bytes))).write.parquet(target)
+    written = spark.read.schema(rows.schema).parquet(target)
+    if written.count() != rows.count() or set(spark.read.parquet(target).columns) != set(rows.columns):
+        raise RuntimeError(f"{target} does not hold what {source} holds")
+    return written.select(rows.columns)
 
 
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
@@ -133,10 +152,14 @@ def executed_plan_text(df: DataFrame) -> str:
 
 def stored_result(spark: SparkSession, root: str, build: Callable[[], DataFrame],
                   max_age: timedelta, now: datetime) -> DataFrame:
-    """The result kept below ``root``, computed again once it is older than ``max_age``."""
+    """The result kept below ``root``, computed again once it is older than ``max_age``.
+
+    The newest one is found by the names of its files; no stored row is read for it.
+    """
     try:
-        found = spark.read.parquet(root)
-        newest = found.agg(F.max("stored_at")).first()[0]
+        stamps = file_inventory(spark, root, recursive=True).select(
+            F.regexp_extract("path", "stored_at=([^/]*)/", 1).alias("stored_at"))
+        newest = stamps.agg(F.max("stored_at")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from cartlake.session import run_dir
@@ -23,13 +19,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = run_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Cache ``df`` for the queries inside the block; blocks that do not fit go to disk."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()

@@ -38,34 +38,34 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def _sliding(condition: str, key: str, minutes: int, every: int, threshold: int, closed_only: bool) -> str:
+def _sliding(rule: str, severity: str, condition: str, key: str, minutes: int, every: int, threshold: int) -> str:
     """Count per key in every window that covers an event; a window starts each ``every`` minutes."""
-    bound = ("WHERE window_start + to_minutes({0}) <= (SELECT max(ts) FROM logs WHERE {1}) - INTERVAL 10 MINUTE"
-             .format(minutes, condition) if closed_only else "")
     return f"""{_with(LOGS)},
 spread AS (
-  SELECT time_bucket(to_minutes({every}), ts) - to_minutes({every} * CAST(step AS INTEGER)) AS window_start, {key}
+  SELECT time_bucket(to_minutes({every}), ts) - to_minutes({every} * CAST(step AS INTEGER)) AS window_start,
+         CAST({key} AS VARCHAR) AS key
   FROM logs, range({minutes // every}) AS steps(step) WHERE {condition})
-SELECT window_start, window_start + to_minutes({minutes}) AS window_end, {key}, COUNT(*) AS event_count
-FROM spread {bound} GROUP BY window_start, {key} HAVING COUNT(*) > {threshold}"""
+SELECT '{rule}' AS rule, '{severity}' AS severity, window_start, window_start + to_minutes({minutes}) AS window_end, key,
+       COUNT(*) AS event_count
+FROM spread GROUP BY window_start, key HAVING COUNT(*) > {threshold}"""
 
 
-def _tumbling(minutes: int, keys: str, measures: str, closed_only: bool) -> str:
-    bound = (f"WHERE window_start + to_minutes({minutes}) <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE"
-             if closed_only else "")
+def _tumbling(minutes: int, keys: str, measures: str) -> str:
     return f"""{_with(LOGS)},
 slotted AS (SELECT time_bucket(to_minutes({minutes}), ts) AS window_start, * FROM logs)
 SELECT window_start, window_start + to_minutes({minutes}) AS window_end, {keys} {measures}
-FROM slotted {bound} GROUP BY ALL"""
+FROM slotted GROUP BY ALL"""
 
 
-def _rollup(closed_only: bool) -> str:
-    return _tumbling(1, "event_type,", "CAST(SUM(value) AS DOUBLE) / COUNT(value) AS average, "
-                     "CAST(MAX(value) AS DOUBLE) AS maximum", closed_only)
-
-
-def _requests(closed_only: bool) -> str:
-    return _tumbling(5, "", "COUNT(*) AS total", closed_only)
+ACCOUNT_ALERTS = _sliding("Repeated Errors", "High", "event_type = 'error'", "user_id", 15, 5, 1)
+ERROR_ALERTS = _sliding("Costly Events", "Medium", "value >= 100", "event_type", 30, 10, 2)
+ROLLUP = _tumbling(1, "event_type,", "CAST(SUM(value) AS DOUBLE) / COUNT(value) AS average, "
+                   "CAST(MAX(value) AS DOUBLE) AS maximum")
+REQUESTS = _tumbling(5, "", "COUNT(*) AS total")
+WRITTEN = """written AS (
+  SELECT CASE WHEN lang <> 'es' THEN source || '-' || lang || '.txt' ELSE 'hello_world_20240304_050607.txt' END AS filename,
+         arg_max(coalesce(text, ''), doc_id) AS content
+  FROM documents GROUP BY 1)"""
 
 
 def _each_table(columns: str) -> str:
@@ -89,24 +89,32 @@ def _orphans(table: str, view: str, column: str, parent: str, parent_view: str)
 
 
 ORACLES: dict[str, str] = {
+    # Lines are counted per order and product once; sales, buyers and shares all come from these counts.
     "q01_top_seller_per_country": f"""{_with(CUSTOMERS, PRODUCTS, PURCHASES, SHIPPED, ITEMS, REVIEWS)},
-sold AS (
-  SELECT shipping_country AS country, product_id, product_name, SUM(total_amount) AS amount, SUM(quantity) AS pieces
-  FROM items JOIN shipped USING (order_id) JOIN products USING (product_id)
-  GROUP BY ALL),
-peaks AS (SELECT country, MAX(amount) AS amount FROM sold GROUP BY country ORDER BY amount DESC, country LIMIT 10),
-stars AS (SELECT product_id, SUM(rating) / CAST(COUNT(rating) AS DOUBLE) AS avg_rating FROM reviews GROUP BY product_id),
-buyers AS (
-  SELECT product_id, COUNT(DISTINCT customer_id) AS people,
-         COUNT(*) FILTER (gender = 'Male') AS male, COUNT(*) FILTER (gender = 'Female') AS female
-  FROM items JOIN purchases USING (order_id) JOIN customers USING (customer_id)
-  GROUP BY product_id)
-SELECT sold.country, product_name, CAST(sold.amount AS DOUBLE) AS total_sales, CAST(pieces AS BIGINT) AS total_quantity,
-       avg_rating, people AS customer_count,
-       CAST(100 * male AS DOUBLE) / people AS male_percent, CAST(100 * female AS DOUBLE) / people AS female_percent
-FROM peaks JOIN sold ON sold.country = peaks.country AND sold.amount = peaks.amount
-LEFT JOIN stars USING (product_id) LEFT JOIN buyers USING (product_id)
-ORDER BY total_sales DESC, sold.country, product_name""",
+baskets AS (SELECT product_id, order_id, COUNT(*) AS lines, SUM(quantity) AS pieces FROM items GROUP BY ALL),
+sales AS (
+  SELECT shipping_country, product_id, SUM(lines * total_amount) AS amount, SUM(pieces) AS pieces
+  FROM shipped JOIN baskets ON baskets.order_id = shipped.order_id GROUP BY ALL),
+placed AS (SELECT *, RANK() OVER (PARTITION BY shipping_country ORDER BY amount DESC) AS place FROM sales
+           WHERE product_id IN (SELECT product_id FROM products)),
+leaders AS (SELECT *, DENSE_RANK() OVER (ORDER BY amount DESC, shipping_country) AS country_place FROM placed WHERE place = 1),
+per_buyer AS (
+  SELECT product_id, customer_id, SUM(lines) AS lines
+  FROM baskets JOIN purchases ON purchases.order_id = baskets.order_id
+  WHERE product_id IN (SELECT product_id FROM leaders) GROUP BY ALL),
+shares AS (
+  SELECT product_id, COUNT(*) AS people, SUM(lines * CAST(gender = 'Male' AS INTEGER)) AS men,
+         SUM(lines * CAST(gender = 'Female' AS INTEGER)) AS women
+  FROM per_buyer JOIN customers ON customers.customer_id = per_buyer.customer_id GROUP BY product_id)
+SELECT shipping_country AS country, product_name, CAST(amount AS DOUBLE) AS total_sales,
+       CAST(leaders.pieces AS BIGINT) AS total_quantity,
+       (SELECT SUM(rating) / CAST(COUNT(rating) AS DOUBLE) FROM reviews WHERE reviews.product_id = leaders.product_id)
+         AS avg_rating,
+       people AS customer_count, 100.0::DOUBLE * men / people AS male_percent,
+       100.0::DOUBLE * women / people AS female_percent
+FROM leaders JOIN products ON products.product_id = leaders.product_id
+LEFT JOIN shares ON shares.product_id = leaders.product_id
+WHERE country_place <= 10""",
 
     "q02_customer_demographics": f"""{_with(CUSTOMERS, PURCHASES)}
 SELECT country, COUNT(DISTINCT customers.customer_id) AS total_customers,
@@ -122,14 +130,15 @@ SELECT category, COUNT(DISTINCT order_id) AS total_orders, CAST(SUM(quantity) AS
        ROUND(CAST(SUM(unit_price) AS DOUBLE) / COUNT(unit_price), 2) AS avg_price
 FROM items JOIN products USING (product_id) GROUP BY category ORDER BY total_revenue DESC, category""",
 
+    # The published segment names and lower bounds.
     "q04_customer_segments": f"""{_with(CUSTOMERS, PURCHASES)},
-habits AS (
-  SELECT c.customer_id, COUNT(order_id) AS bought, COALESCE(SUM(total_amount), 0) AS spent
-  FROM customers AS c LEFT JOIN purchases AS p ON p.customer_id = c.customer_id GROUP BY c.customer_id)
-SELECT CASE WHEN bought < 5 THEN 'Low Frequency' WHEN bought < 10 THEN 'Medium Frequency'
-            ELSE 'High Frequency' END AS customer_segment,
-       COUNT(*) AS customer_count, ROUND(CAST(SUM(spent) AS DOUBLE) / COUNT(*), 2) AS avg_lifetime_value
-FROM habits GROUP BY 1 ORDER BY 3 DESC, 1""",
+levels(customer_segment, least) AS (VALUES ('Low Frequency', 0), ('Medium Frequency', 5), ('High Frequency', 10)),
+totals AS (SELECT customer_id, COUNT(*) AS orders, SUM(total_amount) AS spent FROM purchases GROUP BY customer_id),
+ranged AS (
+  SELECT coalesce(spent, 0) AS spent, (SELECT MAX(least) FROM levels WHERE least <= coalesce(orders, 0)) AS least
+  FROM customers LEFT JOIN totals USING (customer_id))
+SELECT customer_segment, COUNT(*) AS customer_count, ROUND(CAST(SUM(spent) AS DOUBLE) / COUNT(*), 2) AS avg_lifetime_value
+FROM levels JOIN ranged USING (least) GROUP BY customer_segment""",
 
     "q05_customers_since": f"""{_with(CUSTOMERS)}
 SELECT country, COUNT(*) AS customers FROM customers WHERE registration_date >= DATE '2023-01-01'
@@ -181,6 +190,10 @@ SELECT status, COUNT(DISTINCT customer_id) AS buyers,
        COUNT(DISTINCT CASE WHEN total_amount >= 250000 THEN customer_id END) AS large_order_buyers
 FROM purchases GROUP BY status""",
 
+    "customer_active_months": f"""{_with(PURCHASES)},
+months AS (SELECT DISTINCT customer_id, CAST(date_trunc('month', order_date) AS DATE) AS order_month FROM purchases)
+SELECT *, LAG(order_month) OVER (PARTITION BY customer_id ORDER BY order_month) AS previous_active_month FROM months""",
+
     "dearest_products_per_category": f"""{_with(PRODUCTS)}
 SELECT product_id, product_name, category, CAST(price AS DOUBLE) AS price, description
 FROM products AS p WHERE price = (SELECT MAX(price) FROM products AS q WHERE q.category = p.category)""",
@@ -202,10 +215,21 @@ top AS (SELECT country, COUNT(*) AS customers FROM customers GROUP BY country OR
 SELECT '{{"country":"' || country || '","customers":' || customers || '}}' AS record FROM top""",
     "time_sliced_orders": f"""{_with(PURCHASES)}
 SELECT {ORDER_COLUMNS} FROM purchases WHERE order_date >= DATE '1999-01-01'""",
-    "export_and_read_texts": """
-SELECT source || '.txt' AS filename, CAST(SUM(length(text) + 1) AS BIGINT) AS characters,
-       CAST(SUM(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS line_breaks
-FROM documents GROUP BY source""",
+    "csv_of_awkward_texts": """
+SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
+       THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text
+FROM documents""",
+    "export_and_read_texts": f"""{_with(WRITTEN)}
+SELECT filename, length(content) AS characters, md5(content) AS digest FROM written""",
+    "text_file_inventory": f"{_with(WRITTEN)}\nSELECT filename, strlen(content) + 1 AS size FROM written",
+    "text_folder_sizes": f"""{_with(WRITTEN)}
+SELECT filename, CAST(1 AS BIGINT) AS file_count, strlen(content) + 1 AS total_bytes FROM written""",
+    "text_store_size": f"""{_with(WRITTEN)}
+SELECT filename AS table_name, CAST(1 AS BIGINT) AS file_count, strlen(content) + 1 AS total_bytes FROM written""",
+    "event_iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS modified FROM events",
+    "evolved_slices_compacted": f"""{_with(CUSTOMERS, PURCHASES, SHIPPED)}
+SELECT {ORDER_COLUMNS}, CASE WHEN order_date >= DATE '2000-01-01' THEN shipping_country END AS shipping_country
+FROM shipped WHERE order_date >= DATE '1999-01-01'""",
 
     "table_stats": _each_table("{width} AS column_count,"),
     "analyzed_row_counts": _each_table(""),
@@ -233,14 +257,14 @@ FROM shipped""",
 SELECT category, CAST(SUM(quantity * unit_price) AS DOUBLE) AS revenue
 FROM items JOIN products USING (product_id) GROUP BY category""",
 
-    "account_alerts": _sliding("event_type = 'error'", "user_id", 15, 5, 1, closed_only=False),
-    "account_alerts_stream": _sliding("event_type = 'error'", "user_id", 15, 5, 1, closed_only=True),
-    "error_alerts": _sliding("value >= 100", "event_type", 30, 10, 2, closed_only=False),
-    "error_alerts_stream": _sliding("value >= 100", "event_type", 30, 10, 2, closed_only=True),
-    "metric_rollup": _rollup(closed_only=False),
-    "metric_rollup_stream": _rollup(closed_only=True),
-    "request_counts": _requests(closed_only=False),
-    "request_counts_stream": _requests(closed_only=True),
+    "account_alerts": ACCOUNT_ALERTS,
+    "account_alerts_stream": ACCOUNT_ALERTS,
+    "error_alerts": ERROR_ALERTS,
+    "error_alerts_stream": ERROR_ALERTS,
+    "metric_rollup": ROLLUP,
+    "metric_rollup_stream": ROLLUP,
+    "request_counts": REQUESTS,
+    "request_counts_stream": REQUESTS,
     "container_log": f"""{_with(LOGS)}
 SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value FROM logs
 WHERE event_type = 'click' ORDER BY ts DESC""",
@@ -255,4 +279,6 @@ FROM events GROUP BY 1""",
 SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value,
        CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN 'archive' ELSE 'keep' END AS tier
 FROM logs WHERE ts > TIMESTAMP '2024-01-10'""",
+    "unexpired_temp_events": f"""{_with(LOGS)}
+SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value FROM logs WHERE ts > TIMESTAMP '2024-01-23'""",
 }

@@ -11,7 +11,7 @@ from cartlake.functions.expressions import (
     mean, month_of, order_frequency_segment, percent, previous_month, ratio,
 )
 from cartlake.operators.joins import left_join_totals, null_safe_left_join
-from cartlake.operators.ranking import top_k, with_previous
+from cartlake.operators.ranking import top_k
 from cartlake.schemas import Tables
 
 
@@ -88,18 +88,22 @@ def customers_of_country(customers: DataFrame, country: str) -> DataFrame:
 def monthly_retention(orders: DataFrame) -> DataFrame:
     """Customers active per month and how many of them were active the month before.
 
-    Orders are reduced to distinct (customer, month) pairs first, so the window
-    sees one row per active month however many orders a customer has.
+    A customer's orders are reduced to the set of their months, which is all that travels:
+    each month then looks for its predecessor in the set. Months of orders without a
+    customer are listed, but count nobody.
     """
-    active = orders.select("customer_id", month_of("order_date").alias("order_month")).distinct()
-    seen = with_previous(active, "customer_id", "order_month", "last_month")
-    returned = F.col("last_month") == previous_month("order_month")
+    month = month_of("order_date")
+    active = orders.groupBy("customer_id").agg(F.collect_set(F.struct(month.alias("month"))).alias("months"))
+    seen = active.select("customer_id", "months", F.explode("months").alias("own")).select(
+        "customer_id", F.col("own.month").alias("order_month"),
+        (F.col("own.month").isNotNull() & F.array_contains(
+            "months", F.struct(previous_month(F.col("own.month")).alias("month")))).alias("returned"))
     return (
         seen.groupBy("order_month")
         .agg(
             F.count("customer_id").alias("active_customers"),
-            F.count_if(returned & F.col("customer_id").isNotNull()).alias("retained_customers"),
+            F.count_if(F.col("returned") & F.col("customer_id").isNotNull()).alias("retained_customers"),
         )
         .withColumn("retention_rate", F.round(percent(F.col("retained_customers"), F.col("active_customers")), 2))
-        .orderBy("order_month")
+        .orderBy(F.asc_nulls_last("order_month"))
     )

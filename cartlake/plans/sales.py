@@ -63,8 +63,8 @@ def top_seller_per_country(t: Tables, top_countries: int = 10, shipped: DataFram
     """The best-selling product(s) of the countries with the strongest single product.
 
     Only sales need all rows. Ratings and buyers are looked up for the winners
-    alone: winners and their order lines are staged, so the optimizer sees how
-    small they are and scans reviews and orders without shuffling them.
+    alone, which are staged, so the optimizer sees how small they are and picks
+    their rows while it scans reviews and order lines.
 
     ``shipped`` is the orders with their shipping country, for lakes where looking
     the country up costs a join that the buyers should not pay for again.
@@ -81,7 +81,7 @@ def top_seller_per_country(t: Tables, top_countries: int = 10, shipped: DataFram
     )
     return (
         winners.join(ratings, "product_id", "left")
-        .join(buyer_profile(staged(lines, "winner-lines"), t), "product_id", "left")
+        .join(buyer_profile(lines, t), "product_id", "left")
         .select("country", "product_name", "total_sales", "total_quantity", "avg_rating",
                 "customer_count", "male_percent", "female_percent")
         .orderBy(F.desc("total_sales"), "country", "product_name")

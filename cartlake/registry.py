@@ -16,37 +16,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlake.config import LakeConfig
-from cartlake.functions.expressions import (
-    count_distinct_where, iso_time, line_revenue, month_of,
-)
+from cartlake.functions.expressions import iso_time, line_revenue, month_of
 from cartlake.maintenance import tables as upkeep
-from cartlake.operators.ranking import best_per_group
+from cartlake.operators.counting import distinct_counts
+from cartlake.operators.ranking import best_per_group, with_previous
 from cartlake.plans import customers as people
 from cartlake.plans import sales
 from cartlake.schemas import CUSTOMERS
-from cartlake.session import run_dir
+from cartlake.session import run_dir, session_with
 from cartlake.sinks import export, snapshots
 from cartlake.sources import catalog, files, fixtures
 from cartlake.streaming import rules
-from cartlake.streaming.run import append_available
+from cartlake.streaming.run import append_available, streaming_session, update_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SALES_SINCE = date(1998, 1, 1)
 SLICE_SINCE = date(1999, 1, 1)
 COUNTRY = "NATION_1"
+NAMED_AT = datetime(2024, 3, 4, 5, 6, 7)
 LOG_AS_OF = datetime(2024, 1, 31)
 WATERMARK_DELAY = "10 minutes"
-ACCOUNT_RULE = rules.AlertRule(key="user_id", threshold=1, window="15 minutes", every="5 minutes")
-ERROR_RULE = rules.AlertRule(key="event_type", threshold=2, window="30 minutes", every="10 minutes")
+BATCH_BYTES = 1 << 30  # of a stream's backlog at a time
+ACCOUNT_RULE = rules.AlertRule(name="Repeated Errors", severity="High",
+                               key="user_id", threshold=1, window="15 minutes", every="5 minutes")
+ERROR_RULE = rules.AlertRule(name="Costly Events", severity="Medium",
+                             key="event_type", threshold=2, window="30 minutes", every="10 minutes")
 
 QUERIES: dict[str, Query] = {}
 
 
 def _registered(query: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times are naive UTC
-        return _comparable(query(spark, folder))
+        own = session_with(spark, {"spark.sql.session.timeZone": "UTC"})  # event times are naive UTC
+        return _comparable(query(own, folder))
 
     QUERIES[query.__name__] = run
     return query
@@ -142,10 +145,16 @@ def order_totals_by_status(spark, folder):
 
 @_registered
 def buyers_of_large_orders(spark, folder):
-    return fixtures.orders(spark, folder).groupBy("status").agg(
-        F.count_distinct("customer_id").alias("buyers"),
-        count_distinct_where(F.col("total_amount") >= 250000, F.col("customer_id")).alias("large_order_buyers"),
-    )
+    return distinct_counts(
+        fixtures.orders(spark, folder), "status", "customer_id",
+        buyers=F.lit(True), large_order_buyers=F.col("total_amount") >= 250000)
+
+
+@_registered
+def customer_active_months(spark, folder):
+    """Every month in which a customer ordered, with the one before."""
+    months = fixtures.orders(spark, folder).select("customer_id", month_of("order_date").alias("order_month")).distinct()
+    return with_previous(months, "customer_id", "order_month", "previous_active_month")
 
 
 @_registered
@@ -226,6 +235,17 @@ def export_and_import_csv(spark, folder):
     return files.scan_csv(spark, path)
 
 
+@_registered
+def csv_of_awkward_texts(spark, folder):
+    """Line breaks, quotes, delimiters, empty and NULL texts through CSV with default options."""
+    path = run_dir(spark, "texts-csv")
+    tag = F.concat(F.lit(' "'), F.col("source"), F.lit('", \\n\\\r'))
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select(
+        "doc_id", F.when(F.col("lang") == "de", "").when(F.col("lang") != "fr", F.concat("text", tag)).alias("text"))
+    export.export_csv(texts, path)
+    return files.scan_csv(spark, path, schema=texts.schema)
+
+
 @_registered
 def customers_as_records(spark, folder):
     return export.to_records(people.top_countries(fixtures.customers(spark, folder)))
@@ -238,26 +258,61 @@ def time_sliced_orders(spark, folder):
     return export.read_time_slices(spark, path, "order_date", SLICE_SINCE)
 
 
-@_registered
-def export_and_read_texts(spark, folder):
+def _written_texts(spark, folder) -> str:
+    """All documents written under names of which the last one wins; some names are missing."""
     path = run_dir(spark, "texts")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    export.export_texts(export.named_texts(documents, F.col("source"), F.col("text"), datetime.now()), path)
-    return files.read_texts(spark, path).groupBy("filename").agg(
-        F.sum(F.length("content")).alias("characters"),
-        F.sum(F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))).alias("line_breaks"),
-    )
+    name = F.when(F.col("lang") != "es", F.concat("source", F.lit("-"), "lang"))
+    named = documents.withColumn("content", F.coalesce("text", F.lit("")))
+    requests = named.select("doc_id", name.alias("name"), "content")
+    written = export.named_texts(requests, F.col("name"), F.col("content"), NAMED_AT, "doc_id")
+    export.export_texts(export.last_write_wins(written, "doc_id"), path)
+    return path
+
+
+@_registered
+def export_and_read_texts(spark, folder):
+    return files.read_texts(spark, _written_texts(spark, folder)).select(
+        "filename", F.length("content").alias("characters"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @_registered
-def file_inventory(spark, folder):
-    return files.file_inventory(spark, folder, recursive=True).select(
-        "filename", "size", iso_time(F.col("modified")).alias("modified"))
+def text_file_inventory(spark, folder):
+    """Name folder and size of the written text files."""
+    listed = files.file_inventory(spark, _written_texts(spark, folder), recursive=True)
+    return listed.select(F.regexp_extract("path", "/filename=([^/]*)/", 1).alias("filename"), "size")
 
 
 @_registered
-def folder_summary(spark, folder):
-    return files.folder_summary(files.file_inventory(spark, folder, recursive=True))
+def text_folder_sizes(spark, folder):
+    """Files and bytes per folder of the written texts."""
+    listed = files.file_inventory(spark, _written_texts(spark, folder), recursive=True)
+    return files.folder_summary(listed).select(
+        F.regexp_extract("folder", "filename=([^/]*)$", 1).alias("filename"), "file_count", "total_bytes")
+
+
+@_registered
+def text_store_size(spark, folder):
+    """Files and bytes per table folder, for a store of text files."""
+    sizes = upkeep.database_size(spark, _written_texts(spark, folder))
+    return sizes.select(F.substring_index("table_name", "=", -1).alias("table_name"), "file_count", "total_bytes")
+
+
+@_registered
+def event_iso_times(spark, folder):
+    return fixtures.events(spark, folder).select("event_id", iso_time(F.col("ts")).alias("modified"))
+
+
+@_registered
+def evolved_slices_compacted(spark, folder):
+    """A table that gained a column, written in slices, compacted and read back since a date."""
+    slices, compacted = run_dir(spark, "evolved-slices"), run_dir(spark, "evolved-compacted")
+    recent = F.col("order_date") >= F.lit(date(2000, 1, 1))
+    old, new = fixtures.orders(spark, folder), fixtures.orders(spark, folder, shipping=True)
+    for part in (old.where(~recent), new.where(recent)):
+        export.time_slices(part, "order_date").write.mode("append").partitionBy("slice_year").parquet(slices)
+    upkeep.compact(spark, slices, compacted)
+    return export.read_time_slices(spark, compacted, "order_date", SLICE_SINCE)
 
 
 # --- table maintenance ------------------------------------------------------------------------
@@ -283,11 +338,6 @@ def integrity_report(spark, folder):
     return upkeep.integrity_report(fixtures.tables(spark, folder))
 
 
-@_registered
-def database_size(spark, folder):
-    return upkeep.database_size(spark, _lake(spark, folder).warehouse_path)
-
-
 @_registered
 def compacted_order_items(spark, folder):
     source, target = run_dir(spark, "items"), run_dir(spark, "items-compacted")
@@ -343,11 +393,8 @@ def _is_costly():
 
 
 def _watched(spark, folder):
-    return rules.watched(fixtures.event_stream(spark, folder), WATERMARK_DELAY)
-
-
-def _finished(spark, stream, label):
-    return append_available(stream, label, state_partitions=spark.sparkContext.defaultParallelism)
+    session = streaming_session(spark, state_partitions=spark.sparkContext.defaultParallelism)
+    return rules.watched(fixtures.event_stream(session, folder, BATCH_BYTES), WATERMARK_DELAY)
 
 
 @_registered
@@ -357,7 +404,8 @@ def account_alerts(spark, folder):
 
 @_registered
 def account_alerts_stream(spark, folder):
-    return _finished(spark, rules.alerts(_watched(spark, folder), _is_error(), ACCOUNT_RULE), "account-alerts")
+    return update_available(
+        rules.alerts(_watched(spark, folder), _is_error(), ACCOUNT_RULE), "account-alerts", rules.ALERT_KEYS)
 
 
 @_registered
@@ -367,7 +415,8 @@ def error_alerts(spark, folder):
 
 @_registered
 def error_alerts_stream(spark, folder):
-    return _finished(spark, rules.alerts(_watched(spark, folder), _is_costly(), ERROR_RULE), "error-alerts")
+    return update_available(
+        rules.alerts(_watched(spark, folder), _is_costly(), ERROR_RULE), "error-alerts", rules.ALERT_KEYS)
 
 
 @_registered
@@ -377,7 +426,8 @@ def metric_rollup(spark, folder):
 
 @_registered
 def metric_rollup_stream(spark, folder):
-    return _finished(spark, rules.metric_rollup(_watched(spark, folder), "event_type", "value"), "metric-rollup")
+    return update_available(rules.metric_rollup(_watched(spark, folder), "event_type", "value"), "metric-rollup",
+                            ["window_start", "window_end", "event_type"])
 
 
 @_registered
@@ -387,7 +437,8 @@ def request_counts(spark, folder):
 
 @_registered
 def request_counts_stream(spark, folder):
-    return _finished(spark, rules.request_counts(_watched(spark, folder)), "request-counts")
+    return update_available(rules.request_counts(_watched(spark, folder)), "request-counts",
+                            ["window_start", "window_end"])
 
 
 @_registered
@@ -397,7 +448,7 @@ def container_log(spark, folder):
 
 @_registered
 def container_log_stream(spark, folder):
-    log = rules.container_log(fixtures.event_stream(spark, folder), "event_type", "click")
+    log = rules.container_log(fixtures.event_stream(spark, folder, BATCH_BYTES), "event_type", "click")
     followed = log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return append_available(followed, "container-log")
 
@@ -413,3 +464,8 @@ def retained_logs(spark, folder):
     path = run_dir(spark, "retained-logs")
     rules.apply_retention(fixtures.events(spark, folder), path, LOG_AS_OF, archive_days=10, drop_days=20)
     return spark.read.parquet(path)
+
+
+@_registered
+def unexpired_temp_events(spark, folder):
+    return rules.retained_temp(fixtures.events(spark, folder), LOG_AS_OF)

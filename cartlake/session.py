@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
 ADVISORY_PARTITION_BYTES = 128 * 1024 * 1024
 
 
-def shuffle_partitions_for(shuffle_bytes: int, cores: int) -> int:
-    """Initial shuffle partitions for a job that shuffles ``shuffle_bytes``.
-
-    One advisory-sized partition each, at least one per core. Adaptive execution
-    merges the small ones, so erring high is cheap and erring low spills.
-    """
-    return max(cores, math.ceil(shuffle_bytes / ADVISORY_PARTITION_BYTES))
-
-
 def build_session(app_name: str = "cartlake", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -41,25 +29,39 @@ def build_session(app_name: str = "cartlake", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting falls back to a temporary
-    folder; on a cluster the missing setting is an error, since a machine-local
-    folder would be invisible to the other executors.
+    Where the setting is absent, a folder given to ``SparkContext.setCheckpointDir`` counts. There is no
+    other fallback: a machine-local folder would be invisible to the other executors.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_dir()
+    return configured.rstrip("/")
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="cartlake-")
+def _work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cartlake/{spark.sparkContext.applicationId}"
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so no run can clobber another."""
-    return f"{shared_dir(spark)}/cartlake/{label}-{uuid.uuid4().hex}"
+    return f"{_work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_run_dirs(spark: SparkSession) -> bool:
+    """Delete all working folders of this application; call it when no result of it is needed any more.
+
+    Folders of applications that ended without doing so carry their id and can be deleted the same way.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def session_with(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of its own with the settings of ``spark`` and these; the given one stays as it is."""
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own

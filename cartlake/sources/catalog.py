@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -35,8 +36,11 @@ def open_source(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def create_table(df: DataFrame, name: str, layout: TableLayout = TableLayout()) -> None:
-    """CREATE TABLE IF NOT EXISTS ... AS SELECT, with the given storage layout."""
+def create_table(df: DataFrame, name: str, layout: TableLayout = TableLayout(), path: str | None = None) -> None:
+    """CREATE TABLE IF NOT EXISTS ... AS SELECT, with the given storage layout.
+
+    With a fresh ``path`` the table lies there, and what a broken load left elsewhere does not matter.
+    """
     if layout.bucket_by:
         df = df.repartition(layout.buckets, layout.bucket_by)
     elif layout.partition_by:
@@ -45,6 +49,8 @@ def create_table(df: DataFrame, name: str, layout: TableLayout = TableLayout())
     if layout.sort_by and not layout.bucket_by:
         df = df.sortWithinPartitions(*layout.partition_by, *layout.sort_by)
     writer = df.write.format("parquet").mode("ignore")
+    if path:
+        writer = writer.option("path", path)
     if layout.partition_by:
         writer = writer.partitionBy(*layout.partition_by)
     if layout.bucket_by:
@@ -57,6 +63,9 @@ def create_table(df: DataFrame, name: str, layout: TableLayout = TableLayout())
 def load_tables(spark: SparkSession, config: LakeConfig) -> DataFrame:
     """Create every configured table that does not exist yet from its source file.
 
+    Each is written to a fresh folder below its own and registered when it is complete, so a load that
+    broke off can be repeated.
+
     Returns one row per table: ``created``, ``exists`` or ``missing`` (no source
     file; the others still load), with the row count of the table.
     """
@@ -69,7 +78,8 @@ def load_tables(spark: SparkSession, config: LakeConfig) -> DataFrame:
             source = open_source(spark, config.file_path(logical))
             status = "missing" if source is None else "created"
             if source is not None:
-                create_table(source, config.qualified(logical), config.layouts.get(logical, TableLayout()))
+                create_table(source, config.qualified(logical), config.layouts.get(logical, TableLayout()),
+                             f"{config.table_path(logical)}/{uuid.uuid4().hex}")
         rows = (
             spark.range(1).select(F.lit(None).cast("bigint").alias("row_count"))
             if status == "missing"

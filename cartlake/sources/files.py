@@ -4,29 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+from cartlake.functions.expressions import CSV_NULL, unescape_lines
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Parquet scan. With a schema no footer is read to plan the query."""
-    reader = spark.read.schema(schema) if schema else spark.read
+    """Parquet scan. With a schema no footer is read to plan the query; without, columns of all files count."""
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
     return reader.parquet(path)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None,
-             sep: str = ",", multiline: bool = False) -> DataFrame:
+             sep: str = ",", multiline: bool = False, escaped: bool = True) -> DataFrame:
     """CSV with a header line and doubled-quote escaping.
 
     Without a schema the types are inferred from every row, which reads the files
-    twice; pass a schema for large inputs. ``multiline`` accepts line breaks inside
-    quoted values, at the price of files that cannot be split.
+    twice; pass a schema for large inputs. Texts are unescaped as ``export_csv``
+    writes them; for files of other origin set ``escaped`` to False, and ``multiline``
+    where quoted values hold line breaks, at the price of files that cannot be split.
     """
     reader = (
         spark.read.option("header", True).option("sep", sep)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
     )
+    if escaped:
+        reader = reader.option("nullValue", CSV_NULL)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    rows = reader.csv(path)
+    if not escaped:
+        return rows
+    return rows.select([unescape_lines(F.col(f.name)).alias(f.name) if f.dataType == StringType() else F.col(f.name)
+                        for f in rows.schema])
 
 
 def query_sql(spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
@@ -66,10 +75,14 @@ def folder_summary(inventory: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file with its whole content, size and modification time."""
-    return spark.read.text(path, wholetext=True).select(
+    """One row per text file with its whole content, size and modification time.
+
+    The line break that ends a written record is not part of the content.
+    """
+    return spark.read.text(path, wholetext=True).withColumn("content", F.when(
+        F.endswith("value", F.lit("\n")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))).select(
         "*",
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("modified"),
-    ).withColumnRenamed("value", "content")
+    ).drop("value")

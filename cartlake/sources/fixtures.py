@@ -118,11 +118,17 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return _log_columns(_read(spark, folder, "events"))
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same events as a file stream; event time becomes a zoned timestamp for the watermark."""
+def event_stream(spark: SparkSession, folder: str, batch_bytes: int | None = None) -> DataFrame:
+    """The same events as a file stream; event time becomes a zoned timestamp for the watermark.
+
+    ``batch_bytes`` bounds what one batch reads of a backlog (whole files, one at least).
+    """
     schema = _read(spark, folder, "events").schema
+    reader = spark.readStream.schema(schema)
+    if batch_bytes:
+        reader = reader.option("maxBytesPerTrigger", batch_bytes)
     # A file stream wants a folder or a glob; the brackets turn the one name into a glob.
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+    stream = reader.parquet(f"{folder}/event[s].parquet")
     return _log_columns(stream).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

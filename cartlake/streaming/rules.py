@@ -20,6 +20,8 @@ from cartlake.functions.expressions import mean
 class AlertRule:
     """Raise an alert for each ``key`` with more than ``threshold`` matching events in a window."""
 
+    name: str
+    severity: str
     key: str
     threshold: int
     window: str
@@ -28,11 +30,18 @@ class AlertRule:
 
 
 # The two published alert rules.
-FAILED_AUTHENTICATION = AlertRule(key="Account", threshold=10, window="15 minutes", every="5 minutes")
+FAILED_AUTHENTICATION = AlertRule(
+    name="Failed Authentication Attempts", severity="High",
+    key="Account", threshold=10, window="15 minutes", every="5 minutes")
 FAILED_AUTHENTICATION_EVENT = 4625
-STORAGE_ERRORS = AlertRule(key="CallerIpAddress", threshold=50, window="30 minutes", every="10 minutes")
+STORAGE_ERRORS = AlertRule(
+    name="Unusual Storage Access", severity="Medium",
+    key="CallerIpAddress", threshold=50, window="30 minutes", every="10 minutes")
 STORAGE_ERROR_STATUS = 400
 
+#: What identifies a row of each result; later versions of a row replace earlier ones.
+ALERT_KEYS = ("rule", "window_start", "window_end", "key")
+
 
 def watched(stream: DataFrame, delay: str, time: str = "ts") -> DataFrame:
     """Accept events up to ``delay`` behind the newest one; later ones are dropped."""
@@ -47,13 +56,22 @@ def _bounds(window: Column) -> list[Column]:
 
 
 def alerts(events: DataFrame, matching: Column, rule: AlertRule) -> DataFrame:
+    """One row per window and key over the threshold: rule, severity, bounds, key (as text) and event_count.
+
+    All rules give the same columns, so their alerts can share one output. On a stream
+    the condition is tied to the event time: as a plain filter it would move below the
+    watermark, which then saw matching events only and stood still when an attack ends.
+    """
+    if events.isStreaming:
+        matching = F.when(F.col(rule.time).isNotNull(), matching)
     counted = (
         events.where(matching)
-        .groupBy(F.window(rule.time, rule.window, rule.every), F.col(rule.key))
+        .groupBy(F.window(rule.time, rule.window, rule.every), F.col(rule.key).cast("string").alias("key"))
         .agg(F.count("*").alias("event_count"))
     )
     return counted.where(F.col("event_count") > rule.threshold).select(
-        *_bounds(F.col("window")), rule.key, "event_count")
+        F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"),
+        *_bounds(F.col("window")), "key", "event_count")
 
 
 def failed_authentication_alerts(security_events: DataFrame) -> DataFrame:
@@ -109,6 +127,12 @@ def expired_temp(time: Column, as_of: datetime, days: int = 7) -> Column:
     return _older_than(time, days, as_of)
 
 
+def retained_temp(files: DataFrame, as_of: datetime, time: str = "ts", days: int = 7) -> DataFrame:
+    """Temporary entries without the expired ones; those without a time stay."""
+    expired = expired_temp(F.col(time), as_of, days)
+    return files.where(~expired | expired.isNull())
+
+
 def apply_retention(logs: DataFrame, path: str, as_of: datetime, time: str = "ts",
                     archive_days: int = 30, drop_days: int = 90) -> None:
     """Write the rows to keep and, compressed, the rows to archive; leave out the expired ones.

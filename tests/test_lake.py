@@ -5,12 +5,12 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from frames import days, lake, money, rows, values
+from pyspark.sql import functions as F
 
 from cartlake.config import LakeConfig, TableLayout
 from cartlake.maintenance import tables as upkeep
-from cartlake.operators.staging import kept, staged
 from cartlake.plans import customers as people
-from cartlake.session import run_dir, shuffle_partitions_for
+from cartlake.session import run_dir
 from cartlake.sinks import export, snapshots
 from cartlake.sources import catalog, files
 from cartlake.sources.catalog import lake_tables, load_tables, missing_tables
@@ -81,15 +81,18 @@ def test_config_from_settings_sections():
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
-    layout = TableLayout(bucket_by="order_id", buckets=4, sort_by=("order_id",))
-    config = config_for(tmp_path, "bucketed", layouts={"orders": layout, "order_items": layout})
-    archive(spark, config, orders=some_orders(spark),
-            order_items=rows(spark, "order_items", order_item_id=[1, 2], order_id=[1, 2], quantity=[1, 1]))
+    # Keys that are unique on both sides, so no bucket can be hot.
+    layout = TableLayout(bucket_by="product_id", buckets=4, sort_by=("product_id",))
+    config = config_for(tmp_path, "bucketed", tables={"products": "products", "orders": "product_totals"},
+                        files={"products": "products.parquet", "orders": "orders.parquet"},
+                        layouts={"products": layout, "orders": layout})
+    totals = spark.createDataFrame([(1, 5), (2, 7)], "product_id long, pieces long")
+    archive(spark, config, products=rows(spark, "products", product_id=[1, 2, 3]), orders=totals)
     load_tables(spark, config)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        t = [spark.table(config.qualified(n)) for n in ("orders", "order_items")]
-        joined = t[0].join(t[1], "order_id")
+        t = [spark.table(config.qualified(n)) for n in ("products", "orders")]
+        joined = t[0].join(t[1], "product_id")
         assert "Exchange" not in upkeep.plan_text(joined, "simple")
         assert joined.count() == 2
     finally:
@@ -119,10 +122,24 @@ def test_csv_round_trip(spark):
     assert sorted(values(typed)) == sorted(values(orders))
 
 
-def test_csv_with_line_breaks(spark):
+AWKWARD = ["a\nb", "a\r\nb", "back\\slash", "\\n", "\\\n", "\\\\n\\", 'say "x", y', '"', ",", " padded ", "", None, "\\", "\n"]
+
+
+def test_csv_export_and_import_are_inverse_by_default(spark):
     path = run_dir(spark, "csv-lines")
-    export.export_csv(spark.createDataFrame([("a\nb", 1)], "note string, n int"), path)
-    assert values(files.scan_csv(spark, path, multiline=True)) == [("a\nb", 1)]
+    df = spark.createDataFrame(list(enumerate(AWKWARD)), "n int, note string")
+    export.export_csv(df, path)
+    back = files.scan_csv(spark, path, schema=df.schema)
+    assert sorted(values(back)) == list(enumerate(AWKWARD))
+    lines = [line for r in spark.read.text(path).collect() for line in r.value.splitlines()]
+    headers = sum(line == "n,note" for line in lines)
+    assert len(lines) - headers == len(AWKWARD)
+
+
+def test_csv_of_other_origin_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('note,n\n"a\nb\\n",1\n')
+    found = files.scan_csv(spark, str(tmp_path), multiline=True, escaped=False)
+    assert values(found) == [("a\nb\\n", 1)]
 
 
 def test_time_slices_prune_folders(spark):
@@ -139,25 +156,22 @@ def test_texts_get_names_and_round_trip(spark):
     requests = spark.createDataFrame(
         [(1, "a", "first"), (2, "a.txt", "second\nline"), (3, None, "none"), (4, "", "empty")],
         "seq int, name string, content string")
-    from pyspark.sql import functions as F
     named = export.named_texts(requests, F.col("name"), F.col("content"), now)
     assert [r.filename for r in named.collect()] == [
         "a.txt", "a.txt", "hello_world_20240304_050607.txt", "hello_world_20240304_050607.txt"]
-    ordered = named.withColumn("seq", F.when(F.col("value") == "first", 1).otherwise(2))
-    latest = export.last_write_wins(ordered.where("filename = 'a.txt'"), "seq")
+    ordered = export.named_texts(requests, F.col("name"), F.col("content"), now, "seq")
     path = run_dir(spark, "texts")
-    export.export_texts(latest, path)
-    back = files.read_texts(spark, path).collect()
-    assert [(r.filename, r.content, r.size) for r in back] == [("a.txt", "second\nline\n", 12)]
+    export.export_texts(export.last_write_wins(ordered, "seq"), path)
+    back = sorted((r.filename, r.content, r.size) for r in files.read_texts(spark, path).collect())
+    assert back == [("a.txt", "second\nline", 12), ("hello_world_20240304_050607.txt", "empty", 6)]
 
 
-def test_large_text_group_is_split_and_whole(spark):
-    path = run_dir(spark, "hot-text")
-    texts = spark.range(1000).selectExpr("'hot.txt' AS filename", "concat('line ', id) AS value")
-    export.export_texts(texts, path, max_records_per_file=100)
-    back = files.read_texts(spark, path)
-    assert back.count() >= 10
-    assert sum(r.content.count("\n") for r in back.collect()) == 1000
+@pytest.mark.parametrize("lines", [0, 2_500, 25_000])
+def test_a_text_of_any_length_is_read_back_as_one(spark, lines):
+    path = run_dir(spark, "long-text")
+    text = "".join(f"line {i}\n" for i in range(lines))
+    export.export_texts(spark.createDataFrame([("long.txt", text)], "filename string, value string"), path)
+    assert [r.content for r in files.read_texts(spark, path).collect()] == [text]
 
 
 def test_inventory_lists_files_not_folders(spark, tmp_path):
@@ -219,6 +233,41 @@ def test_compaction_keeps_rows_in_fewer_files(spark):
     assert files.file_inventory(spark, target + "-sized").count() in (4, 5)
 
 
+def test_compaction_keeps_added_columns_and_partitions(spark):
+    source, target = run_dir(spark, "evolved-slices"), run_dir(spark, "evolved-compacted")
+    old, new = some_orders(spark).drop("shipping_country"), some_orders(spark).withColumn("order_id", F.col("order_id") + 10)
+    for df in (old, new, old.withColumn("order_id", F.col("order_id") + 20)):
+        export.time_slices(df, "order_date").write.mode("append").partitionBy("slice_year").parquet(source)
+    result = upkeep.compact(spark, source, target)
+    assert set(result.columns) == {*new.columns, "slice_year"} and result.count() == 9
+    assert sorted(p for p in os.listdir(target) if "=" in p) == [f"slice_year={y}" for y in (2023, 2024, 2025)]
+    late = export.read_time_slices(spark, target, "order_date", date(2024, 1, 1))
+    assert late.count() == 6 and set(late.columns) == set(new.columns)
+    assert "PartitionFilters: [isnotnull(slice_year" in upkeep.plan_text(late, "simple")
+
+
+def test_evolved_sources_keep_all_columns(spark, tmp_path):
+    config = config_for(tmp_path, "evolved_load")
+    some_orders(spark).drop("shipping_country").write.parquet(config.file_path("orders"))
+    some_orders(spark).write.mode("append").parquet(config.file_path("orders"))
+    load_tables(spark, config)
+    assert spark.table(config.qualified("orders")).columns == some_orders(spark).columns
+    slices = run_dir(spark, "evolved-years")
+    for df in (some_orders(spark).drop("status"), some_orders(spark)):
+        export.time_slices(df, "order_date").write.mode("append").partitionBy("slice_year").parquet(slices)
+    assert "status" in export.read_time_slices(spark, slices, "order_date", date(2024, 1, 1)).columns
+
+
+def test_a_broken_load_can_be_repeated(spark, tmp_path):
+    config = config_for(tmp_path, "broken_load")
+    archive(spark, config, orders=some_orders(spark))
+    os.makedirs(config.table_path("orders"))
+    with open(f"{config.table_path('orders')}/part-left-over.parquet", "w") as file:
+        file.write("half a file")
+    assert report(load_tables(spark, config))["orders"] == ("created", 3)
+    assert report(load_tables(spark, config))["orders"] == ("exists", 3)
+
+
 def test_integrity(spark):
     data = lake(
         spark,
@@ -263,16 +312,3 @@ def test_plans_can_be_inspected(spark):
     df = spark.range(10).groupBy("id").count()
     assert "HashAggregate" in upkeep.plan_text(df)
     assert "isFinalPlan=true" in upkeep.executed_plan_text(df)
-
-
-def test_staged_and_kept_results(spark):
-    df = spark.range(10)
-    assert staged(df, "numbers").count() == 10
-    with kept(df) as cached:
-        assert cached.is_cached and cached.count() == 10
-    assert not df.is_cached
-
-
-def test_shuffle_partitions_follow_the_data():
-    assert shuffle_partitions_for(0, 8) == 8
-    assert shuffle_partitions_for(100 * 2**40, 8) == 819200

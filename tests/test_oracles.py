@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from cartlake.oracles import ORACLES
+from cartlake.registry import QUERIES
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 VIEWS = ("region nation customer supplier part orders lineitem events documents embeddings pages "
          "benchmark labels conversations").split()
-ROWS_ONLY = {"file_inventory", "folder_summary", "database_size"}
 
 
 @pytest.fixture(scope="module")
@@ -37,22 +38,25 @@ def _canonical(columns, rows):
     return sorted(columns), sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
-def test_every_query_has_sql_unless_it_reports_files():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = contract.queries()[name](spark, FOLDER)
-    want = duck.execute(contract.oracle_sql()[name])
+    want = duck.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert _canonical(got.columns, got.collect()) == _canonical(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_file_reports_have_rows(spark, name):
-    assert contract.queries()[name](spark, FOLDER).count() > 0
+def test_queries_leave_the_session_as_it_is(spark):
+    before = dict(spark.conf.getAll)
+    for name in ("account_alerts_stream", "container_log"):
+        contract.queries()[name](spark, FOLDER).count()
+    assert dict(spark.conf.getAll) == before
 
 
 def test_entry_is_the_flagship_query(spark):

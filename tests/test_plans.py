@@ -5,10 +5,12 @@ from datetime import date
 
 import pytest
 
+from cartlake.maintenance import tables as upkeep
 from cartlake.maintenance.tables import plan_text
 from cartlake.operators.ranking import best_per_group
 from cartlake.plans import customers as people
 from cartlake.plans import sales
+from cartlake.registry import QUERIES
 from cartlake.sinks import export
 from cartlake.sources import files, fixtures
 
@@ -62,6 +64,24 @@ def test_country_lookup_can_be_split_by_adaptive_execution(spark, no_broadcast):
     assert "LeftOuter" in join and "Aggregate" not in join
 
 
+def test_each_key_is_grouped_once_with_its_references(spark, no_broadcast):
+    plan = plan_text(upkeep.integrity_report(fixtures.tables(spark, FOLDER)), "simple")
+    # Customer, product, order, order item, review; the other shuffles look up the customers' nations.
+    assert [keys.split(",")[0] for keys in hash_exchanges(plan)].count("key") == 5
+    assert plan.count("FileScan") == 11
+
+
+def test_retention_shuffles_orders_once(spark, no_broadcast):
+    plan = plan_text(people.monthly_retention(fixtures.orders(spark, FOLDER)), "simple")
+    assert [keys.split(",")[0] for keys in hash_exchanges(plan)] == ["order_month", "customer_id"]
+    assert "partial_collect_set" in plan and "Window" not in plan
+
+
+def test_conditional_distinct_counts_do_not_multiply_rows(spark):
+    plan = plan_text(QUERIES["buyers_of_large_orders"](spark, FOLDER), "simple")
+    assert "Expand" not in plan and len(hash_exchanges(plan)) == 2
+
+
 def test_top_k_is_not_a_global_sort(spark):
     assert "TakeOrderedAndProject" in plan_text(people.top_countries(fixtures.customers(spark, FOLDER)), "simple")
 
