@@ -25,7 +25,7 @@ from cartlake.operators.staging import staged
 
 WINDOW = 8
 LEAST_DOCUMENTS = 10
-SHARE = 0.001
+SHARE = 0.01
 MOST_LOST = 0.5
 MIN_WORDS = 20
 MOST_REPEATED_PERCENT = 30
