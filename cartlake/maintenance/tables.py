@@ -144,12 +144,6 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return out.getvalue()
 
 
-def executed_plan_text(df: DataFrame) -> str:
-    """Run the query and return the plan adaptive execution ended up with."""
-    df.foreachPartition(lambda rows: None)
-    return plan_text(df)
-
-
 def stored_result(spark: SparkSession, root: str, build: Callable[[], DataFrame],
                   max_age: timedelta, now: datetime) -> DataFrame:
     """The result kept below ``root``, computed again once it is older than ``max_age``.

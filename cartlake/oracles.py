@@ -62,6 +62,9 @@ ERROR_ALERTS = _sliding("Costly Events", "Medium", "value >= 100", "event_type",
 ROLLUP = _tumbling(1, "event_type,", "CAST(SUM(value) AS DOUBLE) / COUNT(value) AS average, "
                    "CAST(MAX(value) AS DOUBLE) AS maximum")
 REQUESTS = _tumbling(5, "", "COUNT(*) AS total")
+EVOLVED = f"""{_with(CUSTOMERS, PURCHASES, SHIPPED)}
+SELECT {ORDER_COLUMNS}, CASE WHEN order_date >= DATE '1999-01-01' THEN shipping_country END AS shipping_country
+FROM shipped"""
 WRITTEN = """written AS (
   SELECT CASE WHEN lang <> 'es' THEN source || '-' || lang || '.txt' ELSE 'hello_world_20240304_050607.txt' END AS filename,
          arg_max(coalesce(text, ''), doc_id) AS content
@@ -245,14 +248,19 @@ FROM shipped WHERE order_date >= DATE '1999-01-01'""",
         _orphans("product_reviews", "reviews", "product_id", "products", "products"),
         _orphans("product_reviews", "reviews", "customer_id", "customers", "customers"),
     ]),
+    "duplicated_item_ids": f"""{_with(ITEMS)}
+SELECT order_item_id, COUNT(*) AS occurrences FROM items WHERE order_item_id IS NOT NULL
+GROUP BY order_item_id HAVING COUNT(*) > 1""",
+    "orphaned_order_ids": f"""{_with(PURCHASES, ITEMS)}
+SELECT order_id, COUNT(*) AS occurrences FROM items
+WHERE order_id NOT IN (SELECT order_id FROM purchases) GROUP BY order_id""",
     "compacted_order_items": f"""{_with(ITEMS)}
 SELECT order_item_id, order_id, product_id, quantity, CAST(unit_price AS DOUBLE) AS unit_price FROM items""",
     "snapshot_manifest": _each_table(""),
     "orders_as_of": f"""{_with(PURCHASES)}
 SELECT {ORDER_COLUMNS} FROM purchases WHERE order_date < DATE '1999-01-01'""",
-    "evolved_orders": f"""{_with(CUSTOMERS, PURCHASES, SHIPPED)}
-SELECT {ORDER_COLUMNS}, CASE WHEN order_date >= DATE '1999-01-01' THEN shipping_country END AS shipping_country
-FROM shipped""",
+    "evolved_orders": EVOLVED,
+    "union_of_evolved_orders": EVOLVED,
     "stored_revenue_by_category": f"""{_with(PRODUCTS, ITEMS)}
 SELECT category, CAST(SUM(quantity * unit_price) AS DOUBLE) AS revenue
 FROM items JOIN products USING (product_id) GROUP BY category""",

@@ -338,6 +338,17 @@ def integrity_report(spark, folder):
     return upkeep.integrity_report(fixtures.tables(spark, folder))
 
 
+@_registered
+def duplicated_item_ids(spark, folder):
+    return upkeep.duplicate_keys(fixtures.order_items(spark, folder), "order_item_id")
+
+
+@_registered
+def orphaned_order_ids(spark, folder):
+    t = fixtures.tables(spark, folder, "orders", "order_items")
+    return upkeep.orphan_keys(t.order_items, "order_id", t.orders, "order_id")
+
+
 @_registered
 def compacted_order_items(spark, folder):
     source, target = run_dir(spark, "items"), run_dir(spark, "items-compacted")
@@ -370,6 +381,14 @@ def evolved_orders(spark, folder):
     return upkeep.read_evolved(spark, path)
 
 
+@_registered
+def union_of_evolved_orders(spark, folder):
+    """Frames with different columns as one table; no file footer is read to find the columns."""
+    recent = F.col("order_date") >= F.lit(SLICE_SINCE)
+    return upkeep.union_evolved(fixtures.orders(spark, folder).where(~recent),
+                                fixtures.orders(spark, folder, shipping=True).where(recent))
+
+
 @_registered
 def stored_revenue_by_category(spark, folder):
     root, now = run_dir(spark, "stored-revenue"), datetime.now()

@@ -59,9 +59,13 @@ def remove_run_dirs(spark: SparkSession) -> bool:
 
 
 def session_with(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
-    """A session of its own with the settings of ``spark`` and these; the given one stays as it is."""
+    """``spark`` if it has these settings, or else a session of its own that also has them; the given one stays as it is."""
+    given = spark.conf.getAll
+    if settings.items() <= given.items():
+        return spark
     own = spark.newSession()
-    for key, value in {**spark.conf.getAll, **settings}.items():
-        if own.conf.isModifiable(key):
+    fresh = own.conf.getAll
+    for key, value in {**given, **settings}.items():
+        if fresh.get(key) != value and own.conf.isModifiable(key):
             own.conf.set(key, value)
     return own
