@@ -48,7 +48,7 @@ RATE = 0.05
 COLLECTED_WORDS = 1 << 16
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 1 << 20
-FAN_IN = 32
+FAN_IN = 8
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -185,11 +185,11 @@ class Model:
         return [self.context, self.output, self.near, self.far, self.bias]
 
     def packed(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64).tobytes()
+        return np.concatenate([p.ravel() for p in self.parts()]).tobytes()
 
     @classmethod
     def unpacked(cls, data: bytes, noise: np.ndarray) -> Model:
-        model, flat, at = cls.fresh(noise), np.frombuffer(data), 0
+        model, flat, at = cls.fresh(noise), np.frombuffer(data, np.float32), 0
         for part in model.parts():
             part[...] = flat[at:at + part.size].reshape(part.shape)
             at += part.size
@@ -267,9 +267,9 @@ def trained(train: DataFrame, counts: Counts) -> Model:
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         rows, weight = rows.sort_values("part"), rows.sort_values("part")["seen"].to_numpy(np.float64)
-        total = sum(w * np.frombuffer(m) for w, m in zip(weight, rows["model"])) / weight.sum()
+        total = sum(w * np.frombuffer(m, np.float32) for w, m in zip(weight, rows["model"])) / weight.sum()
         return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "seen": [int(weight.sum())],
-                             "model": [total.tobytes()]})
+                             "model": [total.astype(np.float32).tobytes()]})
 
     schema = "part long, seen long, model binary"
     texts = train.select("text")
