@@ -224,10 +224,10 @@ SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
 FROM documents""",
     "export_and_read_texts": f"""{_with(WRITTEN)}
 SELECT filename, length(content) AS characters, md5(content) AS digest FROM written""",
-    "text_file_inventory": f"{_with(WRITTEN)}\nSELECT filename, strlen(content) + 1 AS size FROM written",
-    "text_folder_sizes": f"""{_with(WRITTEN)}
+    "file_inventory": f"{_with(WRITTEN)}\nSELECT filename, strlen(content) + 1 AS size FROM written",
+    "folder_summary": f"""{_with(WRITTEN)}
 SELECT filename, CAST(1 AS BIGINT) AS file_count, strlen(content) + 1 AS total_bytes FROM written""",
-    "text_store_size": f"""{_with(WRITTEN)}
+    "database_size": f"""{_with(WRITTEN)}
 SELECT filename AS table_name, CAST(1 AS BIGINT) AS file_count, strlen(content) + 1 AS total_bytes FROM written""",
     "event_iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS modified FROM events",
     "evolved_slices_compacted": f"""{_with(CUSTOMERS, PURCHASES, SHIPPED)}
