@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from cartlake.operators.staging import staged
+
 COPYRIGHT_LINE = r"(^|\n)[ \t]*[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -106,7 +107,7 @@ specific language governing permissions and limitations under the License.""",
 
 def canonical(text: Column) -> Column:
     """The canonical form: small words, one space between them."""
-    small = F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
+    small = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_replace(F.regexp_replace(small, COPYRIGHT_LINE, "\n"), NOT_WORD, " ")
     # Two spaces between words, so that neighbours can both be replaced.
     spaced = F.concat(F.lit(" "), F.replace(F.trim(words), F.lit(" "), F.lit("  ")), F.lit(" "))
@@ -124,9 +125,13 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 
 def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, digest and licence (NULL: none known) of every document; ``known`` has licence and licence_text."""
-    digests = known.where(canonical(F.col("licence_text")) != "").groupBy(
-        digest(F.col("licence_text")).alias("known_digest")).agg(F.min("licence").alias("licence"))
+    """doc_id, digest and licence (NULL: none known) of every document; ``known`` has licence and licence_text.
+
+    The digests of the known licences are written first: then their true size decides whether they go to all
+    tasks or documents are shuffled.
+    """
+    digests = staged(known.where(canonical(F.col("licence_text")) != "").groupBy(
+        digest(F.col("licence_text")).alias("known_digest")).agg(F.min("licence").alias("licence")), "licence-digests")
     return docs.select("doc_id", digest(F.col("text")).alias("digest")).join(
         digests, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "licence")
 
@@ -136,7 +141,7 @@ def _sql_text(value: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    small = f"translate(coalesce({text}, ''), '{CAPITALS}', '{SMALL}')"
+    small = f"lower(coalesce({text}, ''))"
     words = (f"regexp_replace(regexp_replace({small}, {_sql_text(COPYRIGHT_LINE)}, chr(10), 'g'), "
              f"{_sql_text(NOT_WORD)}, ' ', 'g')")
     spaced = f"' ' || replace(trim({words}), ' ', '  ') || ' '"
