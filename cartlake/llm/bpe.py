@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -245,9 +246,15 @@ class Encoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@cache
+def _vocabulary(path: str) -> Vocabulary:
+    """The driver reads a file once."""
+    return Vocabulary.read(path)
+
+
 def _mapped(docs: DataFrame, path: str, fields: dict[str, T.DataType], text: str, make) -> DataFrame:
     """``docs`` with new columns in place of any of the same name; make(encoder, text, ids) gives their values."""
-    vocabulary = shipped(docs.sparkSession, Vocabulary.read(path))
+    vocabulary = shipped(docs.sparkSession, _vocabulary(path))
     others = [f for f in docs.schema if f.name not in fields]
     schema = T.StructType([*others, *(T.StructField(n, t) for n, t in fields.items())])
     carried = [f.name for f in others]
@@ -272,7 +279,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``docs`` with the text that belongs to the ids; NULL ids give an empty text."""
-    vocabulary = shipped(docs.sparkSession, Vocabulary.read(path))
+    vocabulary = shipped(docs.sparkSession, _vocabulary(path))
     others = [f for f in docs.schema if f.name not in (text, ids)]
     names = [f.name for f in others]
 

@@ -121,6 +121,7 @@ def _slots(sizes: DataFrame, shares: DataFrame) -> DataFrame:
     dealt = slots.withColumn("cell", F.floor(F.col("point") / cell).cast("int")).join(around, "cell").where(
         "lower <= point AND point < upper").select("slot", "place").withColumn(
         "stretch", F.expr(f"slot div {STRETCH_SLOTS}"))
+    dealt = staged(dealt, "dealt-slots")
     before = Window.partitionBy("place").orderBy("stretch")
     offsets = dealt.groupBy("place", "stretch").agg(F.count("*").alias("n")).select(
         "place", "stretch", (F.sum("n").over(before) - F.col("n")).alias("earlier"))
@@ -154,7 +155,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: in
     shares = staged(shares.withColumn("rest", rest).withColumn("reached", reached).withColumn(
         "needed", F.expr("CASE WHEN words > 0 THEN (goal div words) * blocks + reached + 1 ELSE 0 END")), "shares")
 
-    placed = _ordered(sizes, shares)
+    placed = staged(_ordered(sizes, shares).select(
+        "doc_id", "source", "size", "place", "words", "target", "blocks", "start"), "placed-documents")
     first = F.expr("start * blocks div words")
     last = F.expr("(start + size - 1) * blocks div words")
     pieces = placed.withColumn("block", F.explode(F.sequence(first, F.least(last + 1, F.col("blocks") - 1)))).withColumn(

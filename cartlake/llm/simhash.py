@@ -18,6 +18,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -225,13 +226,18 @@ def layout(prints: DataFrame, total: int, limit: int) -> Layout:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(seen), i, np.int32)), pa.array(seen), pa.array(s[seen])], ["part", "value", "n"])
 
+    def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros(1 << ESTIMATE_BITS)
+        sums[rows["value"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [sums.tobytes()]})
+
+    # At most 2^16 values per partition at any size: half a megabyte for each comes back.
     counted = prints.select("print").mapInArrow(run, "part int, value long, n long").groupBy("part", "value").agg(
-        F.sum("n").alias("n")).toPandas()  # at most 2^16 rows per partition at any size
+        F.sum("n").alias("n")).groupBy("part").applyInPandas(gathered, "part int, sums binary").collect()
+    found = {r["part"]: np.frombuffer(r["sums"]) for r in counted}
     costs = []
     for i, (group, k) in enumerate(zip(groups, kept_bits)):
-        own = counted[counted["part"] == i]
-        histogram = np.zeros(1 << k)
-        histogram[own["value"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
+        histogram = found[i][:1 << k] if i in found else np.zeros(1 << k)
         near = near_counts(histogram, len(group), limit)
         probes = np.array([[PROBE_COST * _probes(len(group), t)] for t in range(limit + 1)])
         costs.append(np.vstack([np.zeros((1, 1 << k)), near + probes]).astype(np.float32))
