@@ -11,11 +11,14 @@ without a fixed point, so no value stays as it was.
 | card | 13 to 19 digits, Luhn check digit, first digit 2 to 6 | first digit, separators |
 | iban | country, length, remainder modulo 97 | country, blanks |
 | ssn | area, group and serial ranges | hyphens |
-| phone | national or international form, 10 to 15 digits | country code, separators |
+| phone | national or international form, 10 to 15 digits, as many as the country has | country code, separators |
 | ip | four octets, unicast and not loopback | dots |
-| date | calendar from 1900 to 2099: y-m-d, d.m.y, m/d/y | separators, zero padding |
+| date | calendar from 1900 to 2099: y-m-d, y/m/d, d.m.y, d-m-y, m/d/y; d/m/y and m-d-y where the day is above 12 | separators, zero padding |
 | email | local part and domain with a top-level label | domain, marks of the local part |
 
+Cards, IBANs and international phones may be followed by other numbers: every end between two groups of
+characters is tried, the most usual first.
+
 NULL texts stay NULL with no values found, other columns and repeated rows stay as they are, an empty
 table stays empty. Whole texts are searched, however long; texts without a digit or @ are not touched.
 """
@@ -41,13 +44,14 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 CANDIDATES = re.compile(r"""
     (?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
+  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)
   | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}
+      |[0-9]{1,2}(?P<mark>[./-])[0-9]{1,2}(?P=mark)[0-9]{4})(?!(?!T[0-9])[\w/-]|\.[0-9]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<phone>(?<![\w+])\+[0-9](?:[ ().-]{0,2}[0-9]){9,14}(?![0-9])|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9])
+  | (?P<phone>(?<![\w+])\+[0-9](?:[ ().-]{0,2}[0-9]){9,14}|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9])
       |(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))
-  | (?P<card>(?<![\w.-])[2-6](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))
+  | (?P<card>(?<![\w.-])[2-6](?:[ -]?[0-9]){12,18})
 """, re.VERBOSE | re.ASCII)
 
 #: Length of an IBAN by country (fixed values of the published registry).
@@ -58,6 +62,18 @@ IBAN_LENGTHS = {
     "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
 }
 
+#: Digits of an international phone number, with the country code, where nearly all of a country have as many
+#: (fixed values of the numbering plans).
+PHONE_DIGITS = {
+    "1": [11], "7": [11], "20": [12], "27": [11], "30": [12], "31": [11], "32": [11, 10], "33": [11], "34": [11], "36": [11, 10],
+    "40": [11], "41": [11], "44": [12], "45": [10], "47": [10], "48": [11], "51": [11, 10], "52": [12], "54": [13, 12], "55": [13, 12],
+    "56": [11], "57": [12], "60": [12, 11], "61": [11], "64": [11, 10], "65": [10], "66": [11, 10], "81": [12, 11], "82": [12, 11],
+    "84": [11], "86": [13, 12], "90": [12], "91": [12], "92": [12], "351": [12], "353": [12, 11], "380": [12], "420": [12], "421": [12],
+    "852": [11], "971": [12, 11], "972": [12, 11],
+}
+#: Lengths of the groups in which card numbers are written, besides one group.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
+
 
 # --- the permutation --------------------------------------------------------------------------
 
@@ -193,19 +209,19 @@ def _ip(by: Permutation, found: str) -> str | None:
 
 
 @lru_cache(maxsize=8)
-def _days(widths: tuple[int, int] | None) -> list[int]:
-    """All days, or those whose month and day are written with so many digits without padding."""
-    days = range(FIRST_DAY, LAST_DAY + 1)
-    if widths is None:
-        return list(days)
-    return [n for n in days for d in [datetime.date.fromordinal(n)]
-            if (len(str(d.month)), len(str(d.day))) == widths]
+def _days(widths: tuple[int, int] | None, late: bool) -> list[int]:
+    """All days, or those whose month and day are written with so many digits without padding; ``late``: from the 13th on."""
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) for d in [datetime.date.fromordinal(n)]
+            if (widths is None or (len(str(d.month)), len(str(d.day))) == widths) and (d.day > 12 or not late)]
 
 
 def _date(by: Permutation, found: str) -> str | None:
     mark = next(c for c in found if not c.isdigit())
     parts = found.split(mark)
-    order = {"-": "ymd", ".": "dmy", "/": "mdy"}[mark]
+    order, other = ("ymd", None) if len(parts[0]) == 4 else {"-": ("dmy", "mdy"), ".": ("dmy", None), "/": ("mdy", "dmy")}[mark]
+    # A number above 12 in the place of the month is a day; such dates move among themselves.
+    late = other is not None and int(parts[order.index("m")]) > 12
+    order = other if late else order
     of = dict(zip(order, parts))
     try:
         day = datetime.date(int(of["y"]), int(of["m"]), int(of["d"])).toordinal()
@@ -215,7 +231,7 @@ def _date(by: Permutation, found: str) -> str | None:
         return None
     # With two digits for both, all days can be written; else only those of the same widths.
     widths = (len(of["m"]), len(of["d"]))
-    days = _days(None if widths == (2, 2) else widths)
+    days = _days(None if widths == (2, 2) else widths, late)
     at = bisect_left(days, day)
     if at == len(days) or days[at] != day:
         return None  # padded in one place only, such as 01/2 for a day that has a shorter form
@@ -232,20 +248,49 @@ def _email(by: Permutation, found: str) -> str | None:
 KINDS = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "email": _email}
 
 
+def _ends(text: str, found: re.Match) -> list[int]:
+    """Where the value may end, the first choice first: at the end of a group, the longest first within a choice.
+
+    The usual groups of a card and the country's number of digits of a phone come before other ends, so that a
+    following number seldom becomes part of a value. An IBAN has the length of its country.
+    """
+    kind, start, end = found.lastgroup, found.start(), found.end()
+    if kind not in ("card", "iban", "phone") or kind == "phone" and text[start] != "+":
+        return [end]
+    # A card or an IBAN does not end before a letter.
+    closed = str.isdigit if kind == "phone" else lambda c: c.isalnum() or c == "_"
+    ends = [i for i in range(end, start, -1) if text[i - 1].isalnum() and not (i < len(text) and closed(text[i]))]
+    if kind == "card":
+        def rank(i: int) -> int:
+            groups = tuple(map(len, re.split("[ -]", text[start:i])))
+            return len(groups) > 1 and groups not in CARD_GROUPS
+    elif kind == "iban":
+        return [i for i in ends if i - start - text.count(" ", start, i) == IBAN_LENGTHS.get(text[start:start + 2])]
+    else:
+        digits = re.sub("[^0-9]", "", text[start:end])
+        lengths = next((PHONE_DIGITS[digits[:n]] for n in (1, 2, 3) if digits[:n] in PHONE_DIGITS), [])
+
+        def rank(i: int) -> int:
+            return sum(c.isdigit() for c in text[start:i]) not in lengths
+    return sorted(ends, key=rank)
+
+
 def pseudonymised(text: str, by: Permutation) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, length, pseudonym) of each value; positions in the old text.
 
-    A form that fails validation stays; the search goes on behind its first character.
+    A form that fails validation at every possible end stays; the search goes on behind its first character.
     """
     out, spans, done, at = [], [], 0, 0
     while found := CANDIDATES.search(text, at):
-        new = KINDS[found.lastgroup](by, found.group())
+        kind, start = found.lastgroup, found.start()
+        tried = ((end, KINDS[kind](by, text[start:end])) for end in _ends(text, found))
+        end, new = next((t for t in tried if t[1] is not None), (start, None))
         if new is None:
-            at = found.start() + 1
+            at = start + 1
             continue
-        out += [text[done:found.start()], new]
-        spans.append((found.lastgroup, found.start(), found.end() - found.start(), new))
-        done = at = found.end()
+        out += [text[done:start], new]
+        spans.append((kind, start, end - start, new))
+        done = at = end
     return "".join(out) + text[done:], spans
 
 

@@ -75,6 +75,48 @@ def test_dates_are_one_to_one(by):
         assert all(form.format(d) != n for d, n in zip(days, new))
 
 
+FOLLOWED = [
+    ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111111111111111", " 123"), ("card", "4111-1111-1111-1111", " 2024"),
+    ("card", "3782-822463-10005", "-77"), ("card", "4111 1111 1111 1111", " 12 27 345"), ("phone", "+1 (487) 555-7209", " 2024"),
+    ("phone", "+1 487 555 7209", ". 12 items"), ("phone", "+44 20 7946 0958", " 12"), ("iban", "ES91 2100 0418 4502 0005 1332", " 2024"),
+    ("iban", "BE68 5390 0754 7034", " AND MORE"), ("date", "1990-12-25", "T10:00Z"), ("date", "1990-12-25", " 2024"),
+]
+
+
+@pytest.mark.parametrize("kind, value, rest", FOLLOWED)
+def test_values_followed_by_other_numbers(by, kind, value, rest):
+    alone = pii.pseudonymised(value, by)[0]
+    text, spans = pii.pseudonymised(f"see {value}{rest}", by)
+    assert [s[:3] for s in spans] == [(kind, 4, len(value))] and alone != value
+    assert text == f"see {alone}{rest}"  # the same pseudonym as elsewhere
+
+
+def test_a_following_number_that_fits_the_check_digit_by_chance_stays_out(by):
+    card = "4111111111111111"
+    body = card + "12"
+    text = f"{card} 12{pii.luhn_digit(body)}"
+    assert pii.pseudonymised(text, by)[0] == pii.pseudonymised(card, by)[0] + text[16:]
+
+
+@pytest.mark.parametrize("value", ["25/12/1990", "25-12-1990", "12-25-1990", "1990/12/25", "1990/1/5", "5-1-1990", "13/1/2001"])
+def test_dates_in_more_orders(by, value):
+    text, spans = pii.pseudonymised(f"born {value}, ok", by)
+    assert [s[:3] for s in spans] == [("date", 5, len(value))] and text == f"born {spans[0][3]}, ok" and spans[0][3] != value
+    assert [s[0] for s in pii.pseudonymised(spans[0][3], by)[1]] == ["date"]
+
+
+@pytest.mark.parametrize("value", ["31-11-2020", "13-13-2020", "25/13/1990", "1990/13/01", "1990-12-25Tx", "1-2.2020", "3.4-1990"])
+def test_impossible_dates_stay(by, value):
+    assert pii.pseudonymised(value, by) == (value, [])
+
+
+def test_dates_of_both_slash_orders_are_one_to_one(by):
+    days = [datetime.date.fromordinal(n) for n in range(pii.FIRST_DAY, pii.FIRST_DAY + 1500)]
+    old = {form.format(d) for d in days for form in ("{0:%d}/{0:%m}/{0:%Y}", "{0:%m}/{0:%d}/{0:%Y}")}
+    new = [pii._date(by, text) for text in sorted(old)]
+    assert None not in new and len(set(new)) == len(old) and all(a != b for a, b in zip(sorted(old), new))
+
+
 def test_masked_table(spark):
     long = "word " * 40_000
     rows = [(1, "mail ann@x.org", "a"), (2, None, None), (3, "", "c"), (4, "clean text é", "d"), (4, "clean text é", "d"),
