@@ -1,7 +1,9 @@
 """Licence scans by canonical digest lookup, with DataFrame functions only.
 
-A text is made canonical: capitals become small, lines that only state a copyright go, everything but
-letters and digits becomes one space, and words with several accepted spellings get one. Texts that
+A text is made canonical: capitals become small, statements of a copyright at the beginning of a line go, up
+to the end of the line or the words a licence begins with, and "all rights reserved" goes wherever it stands,
+so that the digest does not depend on where the lines of the licence break; everything but letters and digits
+of any script becomes one space, and words with several accepted spellings get one. Texts that
 agree in all this are the same licence; the SHA-256 of the canonical text is joined with the digests of
 known licences. The list of known licences is part of the call and small, whatever the corpus holds.
 
@@ -17,8 +19,50 @@ from pyspark.sql import functions as F
 
 from cartlake.operators.staging import staged
 
-COPYRIGHT_LINE = r"(^|\n)[ \t]*[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Words that end a copyright statement, as the text of a licence begins with them.
+BODY_STARTS = ["licensed", "permission", "redistribution", "this"]
+#: Words after "copyright" or "(c)" without a year that belong to the text of a licence: no holder begins with them.
+NOT_HOLDERS = [
+    *BODY_STARTS, "act", "and", "are", "as", "c", "claim", "claims", "disclaimer", "for", "holder", "holders", "in", "infringement",
+    "interest", "interests", "is", "law", "laws", "license", "licence", "licenses", "licences", "licensor", "licensors", "notice",
+    "notices", "of", "on", "or", "owner", "owners", "ownership", "protection", "right", "rights", "statement", "statements",
+    "that", "to", "treaty", "under", "which", "with", "you", "your",
+]
+#: Words that begin the text of a list item "(c)" as well.
+NOT_MARKED = [*NOT_HOLDERS, "a", "accompany", "all", "an", "any", "each", "if", "it", "must", "no", "not", "the"]
+#: Most words of a copyright statement behind its year or the holder's first word.
+STATEMENT_WORDS = 30
+
+
+def _other_than(words: list[str]) -> str:
+    """An expression for the words of small letters that are none of ``words`` (RE2 has no look-ahead).
+
+    What follows must not be a letter, and has to be matched behind it.
+    """
+    def rest(ends: set[str]) -> str:
+        begins = sorted({w[0] for w in ends if w})
+        if not begins:
+            return f"[{LETTERS}]+" if "" in ends else f"[{LETTERS}]*"
+        free = LETTERS.translate({ord(c): None for c in begins})
+        ways = [f"[{free}][{LETTERS}]*"] + [c + rest({w[1:] for w in ends if w[:1] == c}) for c in begins]
+        return f"(?:{'|'.join(ways)})" + ("" if "" in ends else "?")
+
+    return rest(set(words) | {""})
+
+
+def _statement() -> str:
+    """A copyright statement at the beginning of a line: marks with a year or a holder, and the words behind them."""
+    blank, mark, line_end = r"[^a-z0-9\n]", r"(?:copyright|\(c\)|©)", "(?m:$)"
+    first, marked, word = (_other_than(words) for words in (NOT_HOLDERS, NOT_MARKED, BODY_STARTS))
+    begins = [rf"{mark}(?:{blank}{{0,4}}{mark}){{0,2}}{blank}{{0,4}}(?:19|20)[0-9][0-9]",
+              rf"copyright(?:{blank}{{0,4}}(?:\(c\)|©))?{blank}{{1,4}}{first}", rf"(?:\(c\)|©){blank}{{0,4}}{marked}"]
+    words = rf"[^a-z\n]+(?:{word}[^a-z\n]+){{0,{STATEMENT_WORDS}}}(?:{word}{line_end})?"
+    return rf"(?:^|\n){blank}*(?:{'|'.join(begins)})(?:{words}|{line_end})"
+
+
+COPYRIGHT_LINE = _statement() + r"|(?:^|[^a-z0-9])all[^a-z0-9]{1,20}rights[^a-z0-9]{1,20}reserved"
+NOT_WORD = r"[^a-z0-9\p{L}\p{M}\p{N}]+"
 
 #: Words that licence texts spell in several ways, and the spelling that stands for all (fixed values).
 SPELLINGS = {

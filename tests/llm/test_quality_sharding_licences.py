@@ -1,5 +1,6 @@
 """Quality rules and licence scans against SQL, the sharding ring against a plain walk."""
 
+import textwrap
 import zlib
 
 import duckdb
@@ -70,6 +71,39 @@ def test_licences_equal_sql(spark, tmp_path):
     assert by_id[106]["digest"] == by_id[107]["digest"] != by_id[108]["digest"]
 
 
+STATEMENTS = ["Copyright (c) 2020-2024 Ann Holder.", "Copyright 1999 The Foo Authors. All rights reserved.", "© 2021 Müller GmbH",
+              "# (C) Copyright 2003, Ann", "Copyright (c) Ann Holder", "Copyright (c) <year> <copyright holders>"]
+
+
+def rewrapped():
+    """(licence, text): every known one at many widths and on one line, and behind statements on lines of their own or the same line."""
+    rows = []
+    for name, text in KNOWN.items():
+        flat = " ".join(text.split())
+        rows += [(name, "\n".join(textwrap.wrap(flat, width, break_long_words=False))) for width in range(8, 140)]
+        rows += [(name, flat)] + [(name, f"{s}{gap}{flat}") for s in STATEMENTS for gap in ("\n", "\r\n", "\n\n", " ")]
+        rows += [(name, "\n".join(STATEMENTS) + "\n\n" + flat), (name, f"{flat}\nAll rights\nreserved."),
+                 (name, flat.replace('"', "\u201c").replace("'", "\u2019").replace(", ", " \u2014 "))]
+    return rows
+
+
+def test_licences_are_known_however_their_lines_break(spark, tmp_path):
+    rows = rewrapped()
+    found = compared(spark, tmp_path, [(i, t, None) for i, (_, t) in enumerate(rows)],
+                     lambda d: licences.licence_scan(d, licences.known_licences(spark)), licences.ORACLE)
+    by_id = {r["doc_id"]: r["licence"] for r in found}
+    assert [(n, t) for i, (n, t) in enumerate(rows) if by_id[i] != n] == []
+
+
+def test_only_statements_are_dropped(spark):
+    kept = ["copyright holders be liable", "copyright notice this list", "copyright", "c you must retain it", "one copyright 2020 ann"]
+    texts = ["COPYRIGHT HOLDERS BE LIABLE", "Copyright notice, this list", "copyright\n", "(c) You must retain it", "one copyright 2020 Ann",
+             "Copyright 2020 Ann\n(c) Bob\n© 2021\nwords", "a \u2013 b\u2026 \u201cé\u201d", "Copyright 2020 Ann " + "x " * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.c for r in docs.select("i", licences.canonical(docs.t).alias("c")).orderBy("i").collect()]
+    assert got[:7] == [*kept, "words", "a b é"] and len(got[7]) > 99_000
+
+
 def test_licence_tables_may_be_odd(spark):
     known = spark.createDataFrame([("B", "Some text"), ("A", "some, TEXT!"), ("C", None), (None, "")], "licence string, licence_text string")
     docs = spark.createDataFrame([(1, "Some text."), (2, None)], "doc_id long, text string")
