@@ -14,6 +14,9 @@ counts. Repeated rows are looked up each, other columns are not used, an empty t
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +151,41 @@ specific language governing permissions and limitations under the License.""",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
 }
 
+#: Longer public texts, one file each, named by licence.
+TEXTS = Path(__file__).parent / "licence_texts"
+
+#: Title lines that licence files begin with, each also behind "The".
+TITLES = {
+    "MIT": ["MIT License", "MIT License (MIT)"],
+    "ISC": ["ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD", "Zero-Clause BSD License"],
+    "BSD-2-Clause": ["BSD License", "BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD License", "BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                     "Revised BSD License", "Modified BSD License"],
+    "Zlib": ["zlib License", "zlib License (Zlib)", "zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0", "Boost Software License"],
+    "Unlicense": ["Unlicense"],
+}
+
+#: The clause that the BSD licence of three clauses has more than that of two.
+THIRD_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+"""
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of all known licences: as they are, on one line, behind titles, without numbers, without what follows their terms."""
+    whole = list(KNOWN.items()) + [(f.stem, f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    whole.append(("BSD-3-Clause", KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS", THIRD_CLAUSE + "THIS SOFTWARE IS")))
+    whole += [(n, t.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")) for n, t in whole if n.startswith("BSD-")]
+    whole += [(n, re.sub(r"(?m)^\d\. ", "", t)) for n, t in whole if n in ("BSD-2-Clause", "BSD-3-Clause", "Zlib")]
+    terms = [(n, re.split(r"\n *END OF TERMS AND CONDITIONS", t)) for n, t in whole]
+    whole += [(n, parts[0] + end) for n, parts in terms if len(parts) > 1 for end in ("", "\nEND OF TERMS AND CONDITIONS")]
+    whole += [(n, f"{the}{title}\n\n{t}") for n, t in whole for title in TITLES.get(n, []) for the in ("", "The ")]
+    # A statement in the middle of a line stays, so a text with statements of its own has another digest on one line.
+    return list(dict.fromkeys(whole + [(n, " ".join(t.split())) for n, t in whole]))
+
 
 def canonical(text: Column) -> Column:
     """The canonical form: small words, one space between them."""
@@ -165,7 +203,7 @@ def digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "licence string, licence_text string")
+    return spark.createDataFrame(known_texts(), "licence string, licence_text string")
 
 
 def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -195,7 +233,7 @@ def _sql_canonical(text: str) -> str:
 
 
 ORACLE = f"""
-WITH known(licence, body) AS (VALUES {', '.join(f'({_sql_text(n)}, {_sql_text(t)})' for n, t in KNOWN.items())}),
+WITH known(licence, body) AS (VALUES {', '.join(f'({_sql_text(n)}, {_sql_text(t)})' for n, t in known_texts())}),
 digests AS (SELECT sha256({_sql_canonical('body')}) AS digest, min(licence) AS licence FROM known GROUP BY 1),
 scanned AS (SELECT doc_id, sha256({_sql_canonical('text')}) AS digest FROM documents)
 SELECT doc_id, scanned.digest, licence FROM scanned LEFT JOIN digests ON digests.digest = scanned.digest"""

@@ -104,6 +104,28 @@ def test_only_statements_are_dropped(spark):
     assert got[:7] == [*kept, "words", "a b é"] and len(got[7]) > 99_000
 
 
+def test_whole_licence_files_are_known(spark):
+    files = {f.stem: f.read_text("utf-8") for f in licences.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0"} <= set(files)
+    statement, body = "\n\nCopyright (c) 2020 Ann Holder\nAll rights reserved.\n\n", dict(licences.known_texts()[:7])
+    rows = list(files.items()) + [(n, t.replace("\n", "\r\n").upper()) for n, t in files.items()]
+    rows += [(n, " ".join(t.split())) for n, t in files.items()]
+    rows += [(n, t.split("END OF TERMS AND CONDITIONS")[0]) for n, t in files.items()]
+    rows += [("MIT", "# The MIT License (MIT)" + statement + body["MIT"]), ("Zlib", "zlib License" + statement + body["Zlib"]),
+             ("ISC", "ISC License:" + statement + body["ISC"]), ("BSD-2-Clause", "BSD 2-Clause License" + statement + body["BSD-2-Clause"])]
+    three = """* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+    two = body["BSD-2-Clause"].replace("1. ", "* ")
+    rows.append(("BSD-3-Clause", "BSD 3-Clause License" + statement + two[:two.index("2. ")] + three + two[two.index("THIS SOFTWARE IS"):]))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.licence for r in licences.licence_scan(docs, licences.known_licences(spark)).collect()}
+    assert [(n, found[i]) for i, (n, _) in enumerate(rows) if found[i] != n] == []
+
+
 def test_licence_tables_may_be_odd(spark):
     known = spark.createDataFrame([("B", "Some text"), ("A", "some, TEXT!"), ("C", None), (None, "")], "licence string, licence_text string")
     docs = spark.createDataFrame([(1, "Some text."), (2, None)], "doc_id long, text string")
