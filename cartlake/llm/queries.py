@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlake.llm import bilinear, bpe, graph_index, licences, mixing, pii, quality, sharding, simhash, toxicity
+from cartlake.llm import (
+    bilinear, bpe, graph_index, licences, line_filters, mixing, pii, quality, sharding, simhash, simplex_clusters, toxicity, treap_search)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,5 +86,23 @@ def op10_licence_digests(spark, folder):
     return licences.licence_scan(_table(spark, folder, "documents"), licences.known_licences(spark))
 
 
+@_registered
+def op11_treap_search(spark, folder):
+    return treap_search.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_registered
+def op12_bloom_line_dedup(spark, folder):
+    return line_filters.digests(_table(spark, folder, "documents"))
+
+
+@_registered
+def op13_simplex_clusters(spark, folder):
+    return simplex_clusters.clustered(_table(spark, folder, "embeddings"))
+
+
 ORACLES["op5_line_frequency"] = quality.ORACLE
 ORACLES["op10_licence_digests"] = licences.ORACLE
+ORACLES["op11_treap_search"] = treap_search.ORACLE
+ORACLES["op12_bloom_line_dedup"] = line_filters.ORACLE
+ORACLES["op13_simplex_clusters"] = simplex_clusters.ORACLE
