@@ -30,7 +30,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +42,18 @@ from cartlake.llm.words import flat_bytes, text_chunks
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-CANDIDATES = re.compile(r"""
-    (?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)
-  | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}
-      |[0-9]{1,2}(?P<mark>[./-])[0-9]{1,2}(?P=mark)[0-9]{4})(?!(?!T[0-9])[\w/-]|\.[0-9]))
-  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<phone>(?<![\w+])\+[0-9](?:[ ().-]{0,2}[0-9]){9,14}|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9])
-      |(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))
-  | (?P<card>(?<![\w.-])[2-6](?:[ -]?[0-9]){12,18})
+#: Letters of addresses besides A-Z: Latin, Greek and Cyrillic ones.
+LETTERS = "À-ÖØ-öø-ɏͰ-ӿ"
+CANDIDATES = re.compile(rf"""
+    (?P<email>(?<![\w.+%{LETTERS}-])[A-Za-z0-9{LETTERS}](?:'?[\w.+%{LETTERS}-])*@(?:[A-Za-z0-9{LETTERS}-]+\.)+[A-Za-z{LETTERS}]{{2,}}(?![\w{LETTERS}-]))
+  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)
+  | (?P<ip>(?<![\w.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![\w]|\.[0-9]))
+  | (?P<date>(?<![\w./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}
+      |[0-9]{{1,2}}(?P<mark>[./-])[0-9]{{1,2}}(?P=mark)[0-9]{{4}})(?!(?!T[0-9])[\w/-]|\.[0-9]))
+  | (?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
+  | (?P<phone>(?<![\w+])\+[0-9](?:[ ().-]{{0,2}}[0-9]){{9,14}}|(?<![\w(])\([0-9]{{3}}\)[ ]?[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])
+      |(?<![\w.-])[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}(?![\w-]))
+  | (?P<card>(?<![\w.-])[2-6](?:[ -]?[0-9]){{12,18}})
 """, re.VERBOSE | re.ASCII)
 
 #: Length of an IBAN by country (fixed values of the published registry).
@@ -84,6 +86,7 @@ class Permutation:
         if not key:
             raise ValueError("a key is needed")
         self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self._days: dict[tuple, list[int]] = {}
 
     def _draw(self, label: str, turn: int, value: int, size: int) -> int:
         text = f"{label}|{turn}|{value}".encode()
@@ -97,6 +100,14 @@ class Permutation:
                 left = (left + sign * self._draw(label, turn, right, a)) % a
         return left, right
 
+    def days(self, widths: tuple[int, int] | None, late: bool) -> list[int]:
+        """All days, or those whose month and day are written with so many digits without padding; ``late``: from the 13th on."""
+        if (widths, late) not in self._days:
+            self._days[widths, late] = [
+                n for n in range(FIRST_DAY, LAST_DAY + 1) for d in [datetime.date.fromordinal(n)]
+                if (widths is None or (len(str(d.month)), len(str(d.day))) == widths) and (d.day > 12 or not late)]
+        return self._days[widths, late]
+
     def moved(self, kind: str, digits: list[int], radices: list[int]) -> list[int]:
         """Another list of digits with the same radices; the map is one to one and moves every list."""
         half = len(radices) // 2
@@ -125,11 +136,11 @@ def _digits(number: int, radices: list[int]) -> list[int]:
 
 
 #: Kinds of characters that stay among themselves: first character and how many.
-RANGES = [("0", 10), ("a", 26), ("A", 26)]
+RANGES = [("0", 10), ("a", 26), ("A", 26), ("À", 23), ("Ø", 7), ("à", 23), ("ø", 7), ("α", 25), ("Α", 17), ("А", 32), ("а", 32)]
 
 
 def _moved_characters(by: Permutation, kind: str, text: str) -> str:
-    """Digits, small and capital letters move within their kind; all other characters stay."""
+    """Digits, small and capital letters move within their kind and script; all other characters stay."""
     places = []
     for i, c in enumerate(text):
         for base, size in RANGES:
@@ -195,7 +206,8 @@ def _phone(by: Permutation, found: str) -> str | None:
     fixed = len(digits) - 10 if digits.startswith("1") and len(digits) == 11 else 2 if found.startswith("+") else 0
     if not 10 <= len(digits) <= 15:
         return None
-    moved = by.moved(f"phone{digits[:fixed]}", list(map(int, digits[fixed:])), [10] * (len(digits) - fixed))
+    # A number in national form is the same as with the country code 1.
+    moved = by.moved(f"phone{digits[:fixed] or '1'}", list(map(int, digits[fixed:])), [10] * (len(digits) - fixed))
     return _refilled(found, digits[:fixed] + "".join(map(str, moved)))
 
 
@@ -208,13 +220,6 @@ def _ip(by: Permutation, found: str) -> str | None:
     return ".".join(map(str, [moved[0] + 1 + (moved[0] >= 126), *moved[1:]]))
 
 
-@lru_cache(maxsize=8)
-def _days(widths: tuple[int, int] | None, late: bool) -> list[int]:
-    """All days, or those whose month and day are written with so many digits without padding; ``late``: from the 13th on."""
-    return [n for n in range(FIRST_DAY, LAST_DAY + 1) for d in [datetime.date.fromordinal(n)]
-            if (widths is None or (len(str(d.month)), len(str(d.day))) == widths) and (d.day > 12 or not late)]
-
-
 def _date(by: Permutation, found: str) -> str | None:
     mark = next(c for c in found if not c.isdigit())
     parts = found.split(mark)
@@ -231,7 +236,7 @@ def _date(by: Permutation, found: str) -> str | None:
         return None
     # With two digits for both, all days can be written; else only those of the same widths.
     widths = (len(of["m"]), len(of["d"]))
-    days = _days(None if widths == (2, 2) else widths, late)
+    days = by.days(None if widths == (2, 2) else widths, late)
     at = bisect_left(days, day)
     if at == len(days) or days[at] != day:
         return None  # padded in one place only, such as 01/2 for a day that has a shorter form

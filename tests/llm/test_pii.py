@@ -38,7 +38,7 @@ GOOD = {
     "phone": ["+1 (967) 555-9400", "(555) 123-4567", "555-123-4567", "+44 20 7946 0958"],
     "ip": ["34.200.127.73", "1.0.0.0", "223.255.255.255"],
     "date": ["2020-02-29", "31.12.1999", "1.2.1999", "12/25/1980", "3/14/2001"],
-    "email": ["a.b+c@mail3.example.com", "X9@y.org"],
+    "email": ["a.b+c@mail3.example.com", "X9@y.org", "müller@x.de", "john.o'neil@mail.com", "иван@почта.рф"],
 }
 BAD = ["4111111111111112", "0000000000000000", "GB82 WEST 1234 5698 7654 33", "000-45-6789", "666-12-1234", "12.300.1.1",
        "127.0.0.1", "1.2.3.4.5", "2021-02-29", "31.11.2020x", "13/45/2020", "12 apples", "a@b", "version 3.11", "1234567",
@@ -131,3 +131,16 @@ def test_masked_table(spark):
     assert got == want
     assert got[0][1].split()[1] == [g for g in got if g[0] == "f"][0][1].split()[1]
     assert pii.masked(docs.limit(0), KEY).count() == 0
+
+
+def test_national_and_international_forms_of_a_number_stay_linked(by):
+    digits = {"".join(c for c in pii.pseudonymised(v, by)[0] if c.isdigit())[-10:]
+              for v in ("(415) 555-0132", "415-555-0132", "+1-415-555-0132", "+1 (415) 555 0132")}
+    assert len(digits) == 1
+
+
+def test_whole_addresses_move(by):
+    assert pii.pseudonymised("'a@b.com', x='bob@site.org'", by)[1][0][1:3] == (1, 7)
+    for value in ("müller@x.de", "john.o'neil@mail.com"):
+        new = pii.pseudonymised(value, by)[0]
+        assert all(a != b or not a.isalpha() for a, b in zip(new[:3], value)) or new[:4] != value[:4]
