@@ -80,9 +80,19 @@ class Mix:
     schedule: DataFrame
 
 
-def _block_edge(block: Column) -> Column:
-    """First word of a block: the source's words are dealt evenly to its blocks."""
-    return F.expr(f"({block}) * (words div blocks) + ({block}) * (words % blocks) div blocks")
+def block_edge(block: str) -> Column:
+    """First word of a block. Blocks have words div blocks words each, the first words % blocks ones one more.
+
+    No product exceeds the source's words by more than the blocks, so sources of any size fit a long.
+    """
+    return F.expr(f"({block}) * (words div blocks) + least({block}, words % blocks)")
+
+
+def block_of(word: str) -> Column:
+    """The block that holds a word of the source."""
+    return F.expr(f"""CASE WHEN ({word}) < (words % blocks) * (words div blocks + 1)
+        THEN ({word}) div (words div blocks + 1)
+        ELSE words % blocks + (({word}) - (words % blocks) * (words div blocks + 1)) div (words div blocks) END""")
 
 
 def _ordered(sizes: DataFrame, shares: DataFrame) -> DataFrame:
@@ -99,7 +109,7 @@ def _ordered(sizes: DataFrame, shares: DataFrame) -> DataFrame:
     before = Window.partitionBy("place").orderBy("bucket")
     starts = placed.groupBy("place", "bucket").agg(F.sum("size").alias("bucket_words")).select(
         "place", "bucket", (F.sum("bucket_words").over(before) - F.col("bucket_words")).alias("bucket_start"))
-    inside = Window.partitionBy("place", "bucket").orderBy("shuffle", "doc_id", "size")
+    inside = Window.partitionBy("place", "bucket").orderBy("shuffle", "doc_id", "size", "row")
     return placed.withColumn("inner_start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
                              - F.col("size")).join(starts, ["place", "bucket"]).withColumn(
         "start", F.col("bucket_start") + F.col("inner_start"))
@@ -136,67 +146,65 @@ def _slots(sizes: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
-          block_words: int = BLOCK_WORDS) -> Mix:
-    """The mix of ``docs`` (doc_id, text, source).
+          block_words: int = BLOCK_WORDS, row_key: str | None = None) -> Mix:
+    """The mix of ``docs`` (doc_id, text, source; a column ``row_key`` may number its rows).
 
-    ``taken``: doc_id, size, source, source_size, target, taken. ``schedule``: slot, source, doc_id, first and
+    ``taken``: doc_id, size, source, source_size, target, taken, and row if there is such a column. ``schedule``: slot, source, doc_id, first and
     words: slot by slot the words of each document that are taken, counted from the document's first word.
     """
     shuffle = F.xxhash64("doc_id", "text")
+    row = F.col(row_key) if row_key else F.monotonically_increasing_id()
     sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                               shuffle.alias("shuffle")), "document-sizes")
+                               shuffle.alias("shuffle"), row.alias("row")), "document-sizes")
     shares = targets(sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("documents")),
                      weights, max_repeats)
     blocks = F.ceil(F.col("words") / block_words).cast("long")
     shares = shares.withColumn("blocks", blocks).withColumn("goal", F.round("target").cast("long"))
     # Slots: whole passes of all blocks, then the blocks that begin before the goal is reached.
     rest = F.expr("CASE WHEN words > 0 THEN goal % words ELSE 0 END")
-    reached = F.expr("CASE WHEN words > 0 THEN ((rest * blocks) + words - 1) div words ELSE 0 END")
+    reached = F.when(F.expr("words > 0 AND rest > 0"), block_of("rest - 1") + 1).otherwise(0)
     shares = staged(shares.withColumn("rest", rest).withColumn("reached", reached).withColumn(
         "needed", F.expr("CASE WHEN words > 0 THEN (goal div words) * blocks + reached + 1 ELSE 0 END")), "shares")
 
     placed = staged(_ordered(sizes, shares).select(
-        "doc_id", "source", "size", "place", "words", "target", "blocks", "start"), "placed-documents")
-    first = F.expr("start * blocks div words")
-    last = F.expr("(start + size - 1) * blocks div words")
-    pieces = placed.withColumn("block", F.explode(F.sequence(first, F.least(last + 1, F.col("blocks") - 1)))).withColumn(
-        "block_start", _block_edge("block")).withColumn("block_end", _block_edge("block + 1")).withColumn(
+        "doc_id", "source", "size", "place", "words", "target", "blocks", "start", "row"), "placed-documents")
+    pieces = placed.withColumn("block", F.explode(F.sequence(block_of("start"), block_of("start + size - 1")))).withColumn(
+        "block_start", block_edge("block")).withColumn("block_end", block_edge("block + 1")).withColumn(
         "from", F.greatest("start", "block_start")).withColumn(
         "to", F.least(F.col("start") + F.col("size"), F.col("block_end"))).where("from < to").select(
         "doc_id", "source", "size", "place", "block", "start", "from", "to")
     slots = _slots(sizes, shares).join(shares.select("place", "words", "blocks", "goal"), "place").withColumn(
         "pass", F.expr("turn div blocks")).withColumn("block", F.expr("turn % blocks")).withColumn(
         "limit", F.col("goal") - F.col("pass") * F.col("words")).where(
-        F.col("limit") > _block_edge("block")).select("slot", "place", "block", "limit")
+        F.col("limit") > block_edge("block")).select("slot", "place", "block", "limit")
     joined = pieces.join(slots, ["place", "block"]).withColumn(
         "words", F.least("to", "limit") - F.col("from")).where("words > 0")
     schedule = joined.select("slot", "source", "doc_id", (F.col("from") - F.col("start")).alias("first"), "words")
     summed = joined.groupBy("place", "start").agg(F.sum("words").alias("taken"))
-    with_words = placed.select("doc_id", "size", "source", "words", "target", "place", "start").join(
+    with_words = placed.select("doc_id", "size", "source", "words", "target", "place", "start", "row").join(
         summed, ["place", "start"], "left")
     columns = ["doc_id", "size", "source", F.col("words").alias("source_size"), "target",
-               F.coalesce("taken", F.lit(0)).alias("taken")]
+               F.coalesce("taken", F.lit(0)).alias("taken"), "row"]
     without = sizes.where("size = 0").join(
         shares.select(F.col("source").alias("s"), "words", "target"), F.col("source").eqNullSafe(F.col("s")))
     taken = with_words.select(columns).unionByName(
         without.select("doc_id", "size", "source", F.col("words").alias("source_size"), "target",
-                       F.lit(0).cast("long").alias("taken")))
-    return Mix(taken, schedule)
+                       F.lit(0).cast("long").alias("taken"), "row"))
+    return Mix(taken if row_key else taken.drop("row"), schedule)
 
 
 def repeated(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: one row for each time that a document is taken whole, and one
-    with its first words where the mix ends within it. Documents of which nothing is taken are not in the mix."""
-    taken = mixed(docs, **parameters).taken.groupBy(
-        F.col("doc_id").alias("id"), F.col("source").alias("own"), F.col("size").alias("n")).agg(
-        F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    with its first words where the mix ends within it. Documents of which nothing is taken are not in the mix.
+
+    Every row is numbered first and gets what the mix takes of this row, whatever ids or texts repeat.
+    """
     # The row travels as one value, so its columns may have any names.
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"))
-    joined = whole.join(taken, F.col("doc.doc_id").eqNullSafe(F.col("id")) & F.col("doc.source").eqNullSafe(F.col("own"))
-                        & (F.col("size") == F.col("n")))
-    # Rows that agree in id, source and size share what they take evenly.
-    share = joined.withColumn("taken", F.expr("taken div rows")).where("taken > 0")
-    copies = share.withColumn("part", F.explode(F.expr("sequence(1, CAST(ceil(taken / size) AS INT))")))
+    numbered = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+                      .withColumn("number", F.monotonically_increasing_id()), "numbered-documents")
+    taken = mixed(numbered.select("doc.doc_id", "doc.text", "doc.source", "number"), row_key="number", **parameters).taken
+    copies = numbered.join(taken.where("taken > 0").select(F.col("row").alias("number"), "size", "taken"), "number").withColumn(
+        "part", F.explode(F.expr("sequence(1, CAST(ceil(taken / size) AS INT))")))
     copies = copies.withColumn("left", F.expr("least(size, taken - (part - 1) * size)"))
     words = F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("left") == F.col("size"), F.col("doc.text")).otherwise(

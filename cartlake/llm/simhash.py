@@ -300,6 +300,11 @@ def near_pairs(prints: DataFrame, total: int, limit: int) -> DataFrame:
         F.col("q.probe").alias("a"), F.col("x.print").alias("b"))
 
 
+def linked_prints(distinct: DataFrame, limit: int) -> DataFrame:
+    """(node, component) of the fingerprints in ``distinct`` with a near one; the smallest of a component is its name."""
+    return staged(components(near_pairs(distinct, distinct.count(), limit)), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
@@ -313,9 +318,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, doc_id: s
                                               F.col(text).alias("text")), shingle), "fingerprints")
     distinct = staged(prints.groupBy(F.col("fingerprint").alias("print")).agg(F.min("doc_id").alias("least")),
                       "distinct-fingerprints")
-    pairs = near_pairs(distinct, distinct.count(), limit)
-    # Inside a component the smallest fingerprint is the name; the smallest doc_id follows from it.
-    groups = staged(components(pairs), "fingerprint-components")
+    groups = linked_prints(distinct, limit)
     linked = distinct.join(groups, F.col("print") == F.col("node"))
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     merged = staged(linked.select("print", "component").join(names, "component").select("print", "component_id"),
@@ -329,11 +332,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3, doc_id: s
 def representatives(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of the smallest doc_id.
 
-    Of several rows with this doc_id the first in the order of the columns stays. Rows without a doc_id
-    cannot be named as copies; they all stay.
+    Every row is numbered first and groups are made of rows, so each group keeps a row even where ids repeat or
+    are missing: rows without an id come last, and of rows with equal ids the first one stays.
     """
-    kept_ids = near_duplicates(docs, shingle, limit).where("doc_id = component_id").select("doc_id").distinct()
     # The row travels as one value, so its columns may have any names.
-    rows = docs.select(F.col("doc_id").alias("key"), F.struct(*docs.columns).alias("doc"))
-    named = rows.join(kept_ids, F.col("key") == F.col("doc_id"), "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
-    return named.unionByName(rows.where("key IS NULL")).select([F.col("doc")[c].alias(c) for c in docs.columns])
+    numbered = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+                      .withColumn("number", F.monotonically_increasing_id()), "numbered-documents")
+    prints = fingerprinted(numbered.select("number", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text"), shingle)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
+    distinct = staged(prints.groupBy(F.col("fingerprint").alias("print")).agg(F.min(order).alias("best")),
+                      "distinct-fingerprints")
+    groups = linked_prints(distinct, limit)
+    kept = distinct.join(groups, F.col("print") == F.col("node"), "left").groupBy(
+        F.coalesce("component", "print").alias("group")).agg(F.min("best").alias("best")).select("best.number")
+    return numbered.join(kept, "number", "left_semi").select([F.col("doc")[c].alias(c) for c in docs.columns])

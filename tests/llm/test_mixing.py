@@ -100,7 +100,7 @@ def test_repeated_rows_carry_the_words(spark, mix):
     for r in mix[1].taken.collect():
         want[r.source] = want.get(r.source, 0) + r.taken
     for r in words:
-        assert abs(r.n - want[r.source]) <= 3  # equal rows share evenly
+        assert r.n == want[r.source]
     originals = {t for _, t, _ in rows if t}
     assert all(any(o.startswith(r.text) for o in originals) for r in out.select("text").distinct().collect())
 
@@ -112,3 +112,33 @@ def test_tables_without_words(spark):
     assert mixing.repeated(docs).count() == 0
     empty = mixing.mixed(docs.limit(0))
     assert empty.taken.count() == 0 and empty.schedule.count() == 0
+
+
+def test_rows_without_or_with_equal_ids_are_taken_each(spark):
+    rows = [(None if i % 2 else 7, " ".join(f"{i}w{j}" for j in range(100)), "a") for i in range(10)]
+    rows += [(i, " ".join(f"{i}z{j}" for j in range(700)), "b") for i in range(3)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, number int")
+    taken = mixing.mixed(docs, block_words=64).taken
+    want = sorted((r.doc_id or -1, r.taken) for r in taken.collect() if r.taken)
+    out = mixing.repeated(docs, block_words=64)
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        key = r.text.split()[0]
+        got[key, r.doc_id or -1] = got.get((key, r.doc_id or -1), 0) + len(r.text.split())
+    assert sorted((doc_id, n) for (_, doc_id), n in got.items()) == want
+
+
+@pytest.mark.parametrize("words, size", [(10 ** 13 + 12345, 1024), (1000, 64), (64, 64), (65, 64), (3, 1), (10 ** 17, 1024)])
+def test_blocks_of_sources_of_any_size(spark, words, size):
+    """Edges and block numbers agree, without overflow in a source of 10^13 words and more."""
+    blocks = -(-words // size)
+    q, r = divmod(words, blocks)
+    edge = lambda b: b * q + min(b, r)
+    some = sorted({b for b in (0, 1, r - 1, r, r + 1, blocks // 2, blocks - 1) if 0 <= b < blocks})
+    table = spark.createDataFrame([(b, words, blocks, edge(b), edge(b + 1) - 1) for b in some],
+                                  "b long, words long, blocks long, first long, last long")
+    for row in table.select("*", mixing.block_edge("b").alias("e"), mixing.block_of("first").alias("f"),
+                            mixing.block_of("last").alias("l")).collect():
+        assert row.e == row["first"] and row.f == row.b and row.l == row.b
+    assert edge(blocks) == words

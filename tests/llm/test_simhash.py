@@ -118,9 +118,19 @@ def test_near_duplicates_equal_brute_force(spark):
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
-    assert kept.where("doc_id IS NULL").count() == 1
+    assert kept.where("doc_id IS NULL").count() == len({groups[p] for (i, _), p in zip(rows, prints)} - {
+        groups[p] for (i, _), p in zip(rows, prints) if i is not None})
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.representatives(docs).count() == 0
+
+
+def test_every_group_keeps_a_row_where_ids_repeat(spark):
+    texts = {name: " ".join(f"{name}{j}" for j in range(200)) for name in "abc"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (2, texts["b"]), (None, texts["c"]), (None, texts["c"]), (3, texts["a"]), (1, texts["a"])]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, number int")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text[0]) for r in kept.collect()))) == ["(1, 'a')", "(1, 'b')", "(None, 'c')"]
