@@ -1,12 +1,12 @@
 """Quality rules: figures of each text, and lines that many documents of a host share.
 
 Lines are normalised (words lower-cased, single spaces) and hashed. A line is frequent on a host when
-more distinct documents of the host hold it than both ``least`` and ``share`` of the host's documents;
-copies of one text count as one document. Frequent lines are taken out; a document that loses more than
-``most_lost`` of its words is depleted and rejected.
+more than ``most_documents`` documents of the host hold it, however large the host is; every row is a
+document, copies too. Frequent lines are taken out; a document that loses more than ``most_lost`` of its
+words is depleted and rejected.
 
-Everything after the figures works on distinct (host, text) pairs: a group of copies is one row there,
-and a line that many documents share is counted before it travels. A NULL text has no words and fails
+Everything after the figures works on distinct (host, text) pairs with their number of documents: a group
+of copies is one row there, and a line that many documents share is counted before it travels. A NULL text has no words and fails
 the base rules; a NULL host is a host of its own; repeated rows are judged each; an empty table gives
 an empty result; other columns are not used.
 """
@@ -24,8 +24,7 @@ from cartlake.llm.words import LOWER, Words, flat_bytes, mixed, span_hashes, spl
 from cartlake.operators.staging import staged
 
 WINDOW = 8
-LEAST_DOCUMENTS = 10
-SHARE = 0.01
+MOST_DOCUMENTS = 10
 MOST_LOST = 0.5
 MIN_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -135,20 +134,20 @@ def figures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "host", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def judged(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE,
+def judged(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS,
            most_lost: float = MOST_LOST) -> DataFrame:
     """doc_id, the figures, n_lost_words (in frequent lines), base_failed and kept of every document."""
     # A NULL host gets a key that no other host can have.
     key = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-"))
     rows = staged(figures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("host"), "text")),
                   "text-figures")
-    texts = rows.where("n_words > 0").groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
-    lines = staged(texts.select("host", "text_key", F.explode("lines").alias("l")).groupBy(
-        "host", "text_key", F.col("l.line").alias("line")).agg(F.sum("l.words").alias("words")), "text-lines")
-    documents = rows.where("n_words > 0").select("host", "text_key").distinct().groupBy("host").agg(
-        F.count("*").alias("documents"))
-    shared = lines.groupBy("host", "line").agg(F.count("*").alias("held_by")).where(F.col("held_by") > least)
-    frequent = shared.join(documents, "host").where(F.col("held_by") > F.col("documents") * share).select("host", "line")
+    texts = rows.where("n_words > 0").groupBy("host", "text_key").agg(
+        F.first("lines").alias("lines"), F.count("*").alias("documents"))
+    lines = staged(texts.select("host", "text_key", "documents", F.explode("lines").alias("l")).groupBy(
+        "host", "text_key", F.col("l.line").alias("line")).agg(
+        F.sum("l.words").alias("words"), F.first("documents").alias("documents")), "text-lines")
+    frequent = lines.groupBy("host", "line").agg(F.sum("documents").alias("held_by")).where(
+        F.col("held_by") > most_documents).select("host", "line")
     lost = lines.join(frequent, ["host", "line"]).groupBy("host", "text_key").agg(F.sum("words").alias("n_lost_words"))
     out = rows.drop("lines").join(lost, ["host", "text_key"], "left").withColumn(
         "n_lost_words", F.coalesce("n_lost_words", F.lit(0))).withColumn(
@@ -175,10 +174,7 @@ held AS (SELECT row_id, host, body, piece,
          FROM (SELECT row_id, host, body, unnest(pieces) AS piece FROM cut)
          WHERE regexp_matches(piece, '[^\x20\x09-\x0D]')),
 doubles AS (SELECT row_id, count(*) - count(DISTINCT piece) AS n FROM held GROUP BY row_id),
-hosts AS (SELECT host, count(DISTINCT body) AS bodies FROM held GROUP BY host),
-shared AS (SELECT host, line, count(DISTINCT body) AS bodies FROM held GROUP BY host, line),
-frequent AS (SELECT host, line FROM shared JOIN hosts USING (host)
-             WHERE shared.bodies > {LEAST_DOCUMENTS} AND shared.bodies > {SHARE} * hosts.bodies),
+frequent AS (SELECT host, line FROM held GROUP BY host, line HAVING count(DISTINCT row_id) > {MOST_DOCUMENTS}),
 lost AS (SELECT row_id, sum(len(string_split(line, ' '))) AS n FROM held JOIN frequent USING (host, line) GROUP BY row_id),
 figures AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,

@@ -119,6 +119,10 @@ COLUMNS = {
     "op8_bpe_tokens": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op9_simhash_near_duplicates": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_licence_digests": {"doc_id": "bigint", "digest": "string", "licence": "string"},
+    "op11_treap_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12_bloom_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op13_simplex_clusters": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint",
+                              "inertia": "bigint", "centroid_sha256": "string"},
 }
 
 
@@ -131,7 +135,7 @@ def test_queries_cover_their_table(spark, name):
     found = contract.queries()[name](spark, FOLDER)
     kinds = dict(found.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
-    if name != "op1_graph_neighbours":
+    if name not in ("op1_graph_neighbours", "op11_treap_search", "op13_simplex_clusters"):
         assert found.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
@@ -142,7 +146,8 @@ def _cell(value):
 @pytest.mark.parametrize("name", ORACLES)
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     got, want = contract.queries()[name](spark, FOLDER), db.execute(ORACLES[name])
     names = sorted(c[0] for c in want.description)
     at = [[c[0] for c in want.description].index(n) for n in names]
@@ -165,3 +170,36 @@ def test_the_rest_does_not_import_this_subpackage():
     root = os.path.dirname(os.path.abspath(contract.__file__))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
     assert out.split() == [str(len(contract.QUERIES)), str(len(contract.ORACLES))]
+
+
+WITHOUT_PACKAGE = """
+import os, sys
+root, work, folder, name = sys.argv[1:]
+sys.path.insert(0, root)
+import __spark_entry__ as e
+sys.path.remove(root)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", work).config(
+    "spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+def importable(_):
+    try:
+        import cartlake
+        return "yes"
+    except ImportError:
+        return "no"
+
+assert spark.sparkContext.parallelize([0], 1).map(importable).collect() == ["no"], "the workers find the package"
+print("ROWS", e.queries()[name](spark, folder).count())
+"""
+
+
+@pytest.mark.parametrize("name", [*COLUMNS, "pipeline"])
+def test_workers_need_no_copy_of_the_package(tmp_path, name):
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", WITHOUT_PACKAGE, root, str(tmp_path / "shared"), FOLDER, name], cwd=tmp_path,
+                          env=environment, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert int(done.stdout.split("ROWS")[1]) > 0

@@ -48,7 +48,19 @@ def test_quality_equals_sql(spark, tmp_path):
     assert not by_id[205]["kept"] and by_id[205]["n_lost_words"] > 0
     assert by_id[300]["base_failed"] and by_id[301]["n_words"] == 0
     assert by_id[304]["n_symbols"] == 8 and by_id[304]["n_dup_lines"] == 1
-    assert by_id[400]["n_lost_words"] == 0  # copies of one text are one document
+    assert by_id[400]["n_lost_words"] == by_id[400]["n_words"] and not by_id[400]["kept"]  # copies are documents
+
+
+def test_the_limit_does_not_rise_with_the_host(spark, tmp_path):
+    line = " ".join(f"shared{j}" for j in range(40))
+    rows = [(i, f"{line}\n" * (i < 45) + " ".join(f"own{i}x{j}" for j in range(60 if i % 2 else 30)), "large") for i in range(5000)]
+    rows += [(10_000 + i, "a text of many copies with words enough " * 1 + " ".join(f"c{j}" for j in range(20)), "large")
+             for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_id = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+    assert all(by_id[i]["n_lost_words"] == 40 and by_id[i]["kept"] == (i % 2 == 1) for i in range(45))
+    assert all(by_id[i]["n_lost_words"] == 0 and by_id[i]["kept"] for i in range(45, 5000))
+    assert not any(by_id[10_000 + i]["kept"] for i in range(500))
 
 
 def test_quality_of_an_empty_table(spark):
