@@ -15,8 +15,8 @@ class TableLayout:
 
     ``partition_by`` gives partition pruning, ``sort_by`` gives tight Parquet
     row-group statistics, ``bucket_by`` lets two tables join without a shuffle.
-    Bucket only on keys that are near unique, such as the key of a dimension: a bucket
-    is written and read by one task, and a hot key in it cannot be split at run time.
+    Hot keys are written by several tasks; join tables that have some with
+    ``operators.skew.bucketed_join``, as a bucket is one task in a plain join.
     """
 
     partition_by: tuple[str, ...] = ()

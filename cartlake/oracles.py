@@ -183,6 +183,12 @@ SELECT order_item_id, product_id, CAST(quantity * unit_price AS DOUBLE) AS reven
     "orders_with_buyer": f"""{_with(CUSTOMERS, PURCHASES)}
 SELECT {ORDER_COLUMNS}, gender, country FROM purchases LEFT JOIN customers USING (customer_id)""",
 
+    **dict.fromkeys(("lines_of_a_hot_order", "bucketed_lines_of_a_hot_order"), f"""{_with(PURCHASES, ITEMS)},
+moved AS (SELECT * REPLACE (CASE WHEN order_item_id % 3 = 0 THEN 1 ELSE order_id END AS order_id) FROM items)
+SELECT order_item_id, moved.order_id, product_id, quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+       customer_id, order_date, status
+FROM moved LEFT JOIN purchases ON purchases.order_id = moved.order_id"""),
+
     "order_totals_by_status": f"""{_with(PURCHASES)}
 SELECT status, CAST(date_trunc('month', order_date) AS DATE) AS month, COUNT(*) AS order_count,
        CAST(SUM(total_amount) AS DOUBLE) AS total_amount

@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlake.config import LakeConfig
+from cartlake.config import LakeConfig, TableLayout
 from cartlake.functions.expressions import iso_time, line_revenue, month_of
 from cartlake.maintenance import tables as upkeep
 from cartlake.operators.counting import distinct_counts
 from cartlake.operators.ranking import best_per_group, with_previous
+from cartlake.operators.skew import bucketed_join, salted_join
 from cartlake.plans import customers as people
 from cartlake.plans import sales
 from cartlake.schemas import CUSTOMERS
@@ -133,6 +134,35 @@ def orders_with_buyer(spark, folder):
     return o.join(c, F.col("o.customer_id") == F.col("c.customer_id"), "left").select("o.*", "c.gender", "c.country")
 
 
+HOT_ORDER = 1
+
+
+def _lines_with_a_hot_order(spark, folder):
+    """Order lines of which one order holds a third."""
+    order = F.when(F.col("order_item_id") % 3 == 0, HOT_ORDER).otherwise(F.col("order_id"))
+    return fixtures.order_items(spark, folder).withColumn("order_id", order)
+
+
+@_registered
+def lines_of_a_hot_order(spark, folder):
+    """A left join of all lines with their orders, the hot order split over several tasks."""
+    orders = fixtures.orders(spark, folder).select("order_id", "customer_id", "order_date", "status")
+    return salted_join(_lines_with_a_hot_order(spark, folder), orders, "order_id")
+
+
+@_registered
+def bucketed_lines_of_a_hot_order(spark, folder):
+    """The same of two bucketed tables."""
+    config = _lake(spark, folder)
+    catalog.attach(spark, config)
+    names, layout = [], TableLayout(bucket_by="order_id", buckets=16)
+    orders = fixtures.orders(spark, folder).select("order_id", "customer_id", "order_date", "status")
+    for df in (_lines_with_a_hot_order(spark, folder), orders):
+        names.append(f"`{config.database}`.bucketed_{uuid.uuid4().hex}")
+        catalog.create_table(df, names[-1], layout)
+    return bucketed_join(spark.table(names[0]), spark.table(names[1]), "order_id")
+
+
 @_registered
 def order_totals_by_status(spark, folder):
     return (

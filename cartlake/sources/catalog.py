@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlake.config import LakeConfig, TableLayout
+from cartlake.operators.skew import dealt_to_buckets
 from cartlake.schemas import TABLE_SCHEMAS, Tables
 from cartlake.sources.files import scan_parquet
 
@@ -42,7 +43,7 @@ def create_table(df: DataFrame, name: str, layout: TableLayout = TableLayout(),
     With a fresh ``path`` the table lies there, and what a broken load left elsewhere does not matter.
     """
     if layout.bucket_by:
-        df = df.repartition(layout.buckets, layout.bucket_by)
+        df = dealt_to_buckets(df, layout.bucket_by, layout.buckets)
     elif layout.partition_by:
         # Rebalancing splits a partition value that is too big for one task.
         df = df.hint("rebalance", *[F.col(c) for c in layout.partition_by])

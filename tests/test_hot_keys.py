@@ -1,0 +1,90 @@
+"""Hot keys are found, split over tasks, and change no result."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from cartlake.config import TableLayout
+from cartlake.maintenance.tables import plan_text
+from cartlake.operators import skew
+from cartlake.sources import catalog
+
+TASKS = 16
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """Rows of which key 7 holds a third and NULL a sixth; the other side has key 7 twice and lacks some keys."""
+    left = spark.range(60_000).select(
+        "id", F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 6 = 1 THEN NULL ELSE id % 5000 END").alias("k"))
+    right = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(
+        spark.createDataFrame([(7, -1), (None, -2)], "k long, v long"))
+    return left, right
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins shuffle, and no partition is merged or split at run time."""
+    values = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+              "spark.sql.shuffle.partitions": str(TASKS)}
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def largest_share(df):
+    """Rows of the fullest task, as a multiple of the fair share."""
+    counts = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("v")).collect()]
+    return max(counts) * TASKS / sum(counts)
+
+
+def test_the_sketch_names_hot_keys_only(sides):
+    hot = skew.hot_keys(sides[0], "k", TASKS)
+    assert set(hot.pieces) == {7, None} and hot.values == [7]
+    assert 4 * TASKS / 3 <= hot.pieces[7] <= 4 * TASKS / 3 + 2
+    assert skew.hot_keys(sides[1], "k", TASKS).pieces == {}
+    assert skew.hot_keys(sides[0].limit(0), "k", TASKS).pieces == {}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_joins_give_the_plain_result(sides, shuffled, how):
+    left, right = sides
+    assert rows(skew.salted_join(left, right, "k", how)) == rows(left.join(right, "k", how))
+
+
+def test_other_joins_are_refused(sides):
+    with pytest.raises(ValueError):
+        skew.salted_join(*sides, "k", "full")
+
+
+def test_no_task_of_a_salted_join_gets_three_times_its_share(sides, shuffled):
+    left, right = sides
+    once = right.dropDuplicates(["k"])
+    assert largest_share(left.join(once, "k", "left")) > 4
+    assert largest_share(skew.salted_join(left, once, "k")) < 3
+
+
+def test_bucketed_tables_with_a_hot_key(spark, sides, shuffled):
+    left, right = sides
+    once = right.dropDuplicates(["k"])
+    layout = TableLayout(bucket_by="k", buckets=TASKS)
+    for name, df in (("hot_left", left), ("hot_right", once)):
+        catalog.create_table(df, name, layout)
+    stored, other = spark.table("hot_left"), spark.table("hot_right")
+    assert rows(stored) == rows(left)
+    # Writing: the hot key lies in many files of its bucket, none of which is large.
+    files = [r["n"] for r in stored.groupBy("_metadata.file_path").agg(F.count("*").alias("n")).collect()]
+    assert max(files) * TASKS / 60_000 < 3 and stored.where("k = 7").select("_metadata.file_path").distinct().count() > 8
+    # Reading: all other keys meet without a shuffle, and no task gets a whole hot key.
+    joined = skew.bucketed_join(stored, other, "k")
+    assert rows(joined) == rows(left.join(once, "k", "left"))
+    assert plan_text(joined, "simple").count("Exchange hashpartitioning") == 2
+    assert largest_share(joined) < 3 < largest_share(stored.join(other, "k", "left"))
+    for name in ("hot_left", "hot_right"):
+        spark.sql(f"DROP TABLE {name}")
