@@ -224,6 +224,19 @@ top AS (SELECT country, COUNT(*) AS customers FROM customers GROUP BY country OR
 SELECT '{{"country":"' || country || '","customers":' || customers || '}}' AS record FROM top""",
     "time_sliced_orders": f"""{_with(PURCHASES)}
 SELECT {ORDER_COLUMNS} FROM purchases WHERE order_date >= DATE '1999-01-01'""",
+    "rewritten_slice_of_orders": f"""{_with(PURCHASES)}
+SELECT * REPLACE (CAST(CASE WHEN year(order_date) = 1998 THEN 2 * total_amount ELSE total_amount END AS DOUBLE) AS total_amount),
+       CAST(year(order_date) AS INTEGER) AS slice_year FROM purchases""",
+    "rewritten_period_of_orders": f"""{_with(PURCHASES)}
+SELECT {ORDER_COLUMNS}, CAST(year(order_date) AS INTEGER) AS slice_year FROM purchases
+WHERE order_date NOT BETWEEN DATE '1997-07-01' AND DATE '1998-03-31' OR order_id % 2 = 0""",
+    "upserted_orders": f"""{_with(PURCHASES)},
+merged AS (
+  SELECT * REPLACE (CASE WHEN order_id % 50 = 0 THEN CAST(order_date + INTERVAL 1 YEAR AS DATE) ELSE order_date END AS order_date,
+                    CASE WHEN order_id % 50 = 0 THEN 'M' ELSE status END AS status)
+  FROM purchases WHERE order_id % 60 <> 7 OR order_id % 50 = 0
+  UNION ALL SELECT * REPLACE (-order_id AS order_id) FROM purchases WHERE order_id % 75 = 1)
+SELECT {ORDER_COLUMNS}, CAST(year(order_date) AS INTEGER) AS slice_year FROM merged""",
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text

@@ -23,9 +23,9 @@ from cartlake.operators.ranking import best_per_group, with_previous
 from cartlake.operators.skew import bucketed_join, salted_join
 from cartlake.plans import customers as people
 from cartlake.plans import sales
-from cartlake.schemas import CUSTOMERS
+from cartlake.schemas import CUSTOMERS, ORDERS
 from cartlake.session import run_dir, session_with
-from cartlake.sinks import export, snapshots
+from cartlake.sinks import export, slices, snapshots
 from cartlake.sources import catalog, files, fixtures
 from cartlake.streaming import rules
 from cartlake.streaming.run import append_available, streaming_session, update_available
@@ -288,6 +288,44 @@ def time_sliced_orders(spark, folder):
     return export.read_time_slices(spark, path, "order_date", SLICE_SINCE)
 
 
+PLAIN_ORDERS = T.StructType([f for f in ORDERS if f.name != "shipping_country"])
+
+
+def _sliced_orders(spark, folder) -> str:
+    path = run_dir(spark, "orders-by-year")
+    export.write_time_slices(fixtures.orders(spark, folder), path, "order_date")
+    return path
+
+
+@_registered
+def rewritten_slice_of_orders(spark, folder):
+    """One year written again with other amounts, from its own rows; the other years keep their files."""
+    path = _sliced_orders(spark, folder)
+    year = slices.read_slices(spark, path, PLAIN_ORDERS, [1998]).drop(slices.SLICE)
+    slices.replace_slices(year.withColumn("total_amount", (F.col("total_amount") * 2).cast("decimal(12,2)")), path, "order_date")
+    return slices.read_slices(spark, path, PLAIN_ORDERS)
+
+
+@_registered
+def rewritten_period_of_orders(spark, folder):
+    """A period across two years replaced by half of its orders."""
+    path, orders = _sliced_orders(spark, folder), fixtures.orders(spark, folder)
+    since, until = date(1997, 7, 1), date(1998, 4, 1)
+    half = orders.where((F.col("order_date") >= F.lit(since)) & (F.col("order_date") < F.lit(until)) & (F.col("order_id") % 2 == 0))
+    slices.rewrite_period(half, path, "order_date", since, until, PLAIN_ORDERS)
+    return slices.read_slices(spark, path, PLAIN_ORDERS)
+
+
+@_registered
+def upserted_orders(spark, folder):
+    """Orders that change their status and date, new ones and deleted ones, merged into the slices."""
+    path, orders = _sliced_orders(spark, folder), fixtures.orders(spark, folder)
+    moved = orders.where("order_id % 50 = 0").withColumn("order_date", F.add_months("order_date", 12)).withColumn("status", F.lit("M"))
+    new = orders.where("order_id % 75 = 1").withColumn("order_id", -F.col("order_id"))
+    slices.upsert(moved.unionByName(new), path, "order_id", "order_date", PLAIN_ORDERS, deleted=orders.where("order_id % 60 = 7"))
+    return slices.read_slices(spark, path, PLAIN_ORDERS)
+
+
 def _written_texts(spark, folder) -> str:
     """All documents written under names of which the last one wins; some names are missing."""
     path = run_dir(spark, "texts")
