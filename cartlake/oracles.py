@@ -237,6 +237,12 @@ merged AS (
   FROM purchases WHERE order_id % 60 <> 7 OR order_id % 50 = 0
   UNION ALL SELECT * REPLACE (-order_id AS order_id) FROM purchases WHERE order_id % 75 = 1)
 SELECT {ORDER_COLUMNS}, CAST(year(order_date) AS INTEGER) AS slice_year FROM merged""",
+    "incrementally_loaded_orders": f"{_with(PURCHASES)}\nSELECT {ORDER_COLUMNS} FROM purchases",
+    "widened_orders": f"""{_with(PURCHASES)}
+SELECT order_id, customer_id, CAST(order_date AS TIMESTAMP) AS order_date, status,
+       CASE WHEN order_date < DATE '1999-01-01' THEN CAST(CAST(total_amount AS FLOAT) AS DOUBLE)
+            ELSE CAST(total_amount AS DOUBLE) END AS total_amount
+FROM purchases""",
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text

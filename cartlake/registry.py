@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from cartlake.config import LakeConfig, TableLayout
 from cartlake.functions.expressions import iso_time, line_revenue, month_of
+from cartlake.maintenance import evolution
 from cartlake.maintenance import tables as upkeep
 from cartlake.operators.counting import distinct_counts
 from cartlake.operators.ranking import best_per_group, with_previous
@@ -26,7 +27,7 @@ from cartlake.plans import sales
 from cartlake.schemas import CUSTOMERS, ORDERS
 from cartlake.session import run_dir, session_with
 from cartlake.sinks import export, slices, snapshots
-from cartlake.sources import catalog, files, fixtures
+from cartlake.sources import catalog, files, fixtures, incremental
 from cartlake.streaming import rules
 from cartlake.streaming.run import append_available, streaming_session, update_available
 
@@ -326,6 +327,30 @@ def upserted_orders(spark, folder):
     return slices.read_slices(spark, path, PLAIN_ORDERS)
 
 
+@_registered
+def incrementally_loaded_orders(spark, folder):
+    """Three drops of files, loaded one after another; the last load is called again and finds nothing."""
+    base, orders = run_dir(spark, "drops"), fixtures.orders(spark, folder)
+    source, target = f"{base}/source", f"{base}/table"
+    for drop in range(3):
+        orders.where(F.col("order_id") % 3 == drop).write.parquet(f"{source}/drop-{drop}")
+        incremental.load_new_files(spark, source, target, PLAIN_ORDERS)
+    incremental.load_new_files(spark, source, target, PLAIN_ORDERS)
+    return incremental.read_loaded(spark, target, PLAIN_ORDERS)
+
+
+@_registered
+def widened_orders(spark, folder):
+    """Files in which ids were int, amounts float and dates without time, and files with wider types."""
+    path, orders = run_dir(spark, "widened"), fixtures.orders(spark, folder)
+    old = F.col("order_date") < F.lit(SLICE_SINCE)
+    orders.where(old).select(F.col("order_id").cast("int"), F.col("customer_id").cast("int"), "order_date",
+                             F.col("total_amount").cast("float"), "status").write.mode("append").parquet(path)
+    orders.where(~old).select("order_id", "customer_id", F.col("order_date").cast("timestamp_ntz"),
+                              F.col("total_amount").cast("double"), "status").write.mode("append").parquet(path)
+    return evolution.read_reconciled(spark, path)
+
+
 def _written_texts(spark, folder) -> str:
     """All documents written under names of which the last one wins; some names are missing."""
     path = run_dir(spark, "texts")
