@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from contextlib import redirect_stdout
 from datetime import datetime, timedelta
 from functools import reduce
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlake.functions.expressions import STAMP_FORMAT
+from cartlake.maintenance.clustering import clustered
 from cartlake.schemas import FOREIGN_KEYS, PRIMARY_KEYS, Tables
-from cartlake.session import ADVISORY_PARTITION_BYTES
+from cartlake.session import ADVISORY_PARTITION_BYTES, session_with
 from cartlake.sources.files import file_inventory
 
 
@@ -97,32 +99,54 @@ def database_size(spark: SparkSession, warehouse_path: str) -> DataFrame:
         F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"))
 
 
-def _partition_columns(inventory: DataFrame, source: str) -> list[str]:
-    """Names of the ``column=value`` folders below ``source``, outermost first."""
-    first = inventory.select("path").first()
-    root = urlparse(source).path.strip("/")
-    below = urlparse(first["path"]).path.split(root, 1)[-1] if first else ""
-    return [part.split("=", 1)[0] for part in below.split("/")[:-1] if "=" in part]
+def _folders(inventory: DataFrame, root: str) -> DataFrame:
+    """Folders with files, as named below the root (which may be written with or without a scheme)."""
+    below = F.regexp_replace("path", "^.*?" + re.escape(urlparse(root).path.rstrip("/")) + "/", "")
+    return inventory.select(F.regexp_replace(below, "/?[^/]*$", "").alias("folder")).distinct()
+
+
+def _partition_columns(folders: DataFrame) -> list[str]:
+    """Names of the ``column=value`` folders, outermost first; all files must lie at the same depth of the same ones."""
+    names = F.transform(F.filter(F.split("folder", "/"), lambda p: p.contains("=")), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
+    found = folders.select(names.alias("names")).distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"folders of different columns: {found[0]['names']} and {found[1]['names']}")
+    return found[0]["names"] if found else []
 
 
 def compact(spark: SparkSession, source: str, target: str, file_bytes: int = ADVISORY_PARTITION_BYTES,
-            schema: T.StructType | None = None) -> DataFrame:
+            schema: T.StructType | None = None, cluster_by: Sequence[str] = ()) -> DataFrame:
     """Rewrite a Parquet folder with files of about ``file_bytes`` into a fresh folder.
 
-    Columns of all files count, absent ones are NULL; a partitioned folder stays partitioned. Flat
+    Columns of all files count, absent ones are NULL; a partitioned folder stays partitioned, by the values
+    exactly as its folders are named (007 stays 007), which is also how the result shows them. Flat
     folders are merged in place, not shuffled; partitioned ones are rebalanced, which gathers small
-    partitions and splits large ones. Rows and columns are compared with the source at the end.
+    partitions and splits large ones. With ``cluster_by`` rows are sorted along a space-filling curve of these
+    columns, so that predicates on each of them skip row groups. Rows, columns and folders are compared
+    with the source at the end.
     """
-    inventory = file_inventory(spark, source, recursive=True)
+    session = session_with(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"})
+    inventory = file_inventory(session, source, recursive=True)
     total = inventory.agg(F.sum("size")).first()[0] or 0
-    partitions = _partition_columns(inventory, source)
-    rows = (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(source)
-    if partitions:
-        rows.hint("rebalance", *[F.col(c) for c in partitions]).write.partitionBy(*partitions).parquet(target)
+    folders = _folders(inventory, source)
+    partitions = _partition_columns(folders)
+    files = max(1, math.ceil(total / file_bytes))
+    if schema:
+        kept = T.StructType([T.StructField(f.name, T.StringType()) if f.name in partitions else f for f in schema])
+        rows = session.read.schema(kept).parquet(source)
+    else:
+        rows = session.read.option("mergeSchema", True).parquet(source)
+    if cluster_by:
+        rows = clustered(rows, list(cluster_by), files, tuple(partitions))
+    elif partitions:
+        rows = rows.hint("rebalance", *[F.col(c) for c in partitions])
     else:
-        rows.coalesce(max(1, math.ceil(total / file_bytes))).write.parquet(target)
-    written = spark.read.schema(rows.schema).parquet(target)
-    if written.count() != rows.count() or set(spark.read.parquet(target).columns) != set(rows.columns):
+        rows = rows.coalesce(files)
+    rows.write.partitionBy(*partitions).parquet(target)
+    written = session.read.schema(rows.schema).parquet(target)
+    stored = _folders(file_inventory(session, target, recursive=True), target)
+    other = folders.exceptAll(stored).unionAll(stored.exceptAll(folders))
+    if written.count() != rows.count() or set(session.read.parquet(target).columns) != set(rows.columns) or not other.isEmpty():
         raise RuntimeError(f"{target} does not hold what {source} holds")
     return written.select(rows.columns)
 

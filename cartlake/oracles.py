@@ -243,6 +243,9 @@ SELECT order_id, customer_id, CAST(order_date AS TIMESTAMP) AS order_date, statu
        CASE WHEN order_date < DATE '1999-01-01' THEN CAST(CAST(total_amount AS FLOAT) AS DOUBLE)
             ELSE CAST(total_amount AS DOUBLE) END AS total_amount
 FROM purchases""",
+    "compacted_folders_keep_their_names": f"""{_with(PURCHASES)}
+SELECT {ORDER_COLUMNS}, (['007', '07', '7', '1e2', '100', '0x1F', '2024-01-01'])[order_id % 7 + 1] AS code FROM purchases""",
+    "clustered_orders": f"{_with(PURCHASES)}\nSELECT {ORDER_COLUMNS} FROM purchases",
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text

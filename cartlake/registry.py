@@ -449,6 +449,24 @@ def compacted_order_items(spark, folder):
     return upkeep.compact(spark, source, target)
 
 
+@_registered
+def compacted_folders_keep_their_names(spark, folder):
+    """Partition folders named 007, 1e2 and the like through a compaction."""
+    source, target = run_dir(spark, "coded"), run_dir(spark, "coded-compacted")
+    code = F.element_at(F.array(*(F.lit(c) for c in ("007", "07", "7", "1e2", "100", "0x1F", "2024-01-01"))),
+                        (F.col("order_id") % 7 + 1).cast("int"))
+    fixtures.orders(spark, folder).withColumn("code", code).write.partitionBy("code").parquet(source)
+    return upkeep.compact(spark, source, target)
+
+
+@_registered
+def clustered_orders(spark, folder):
+    """Orders compacted along a curve of customer and date."""
+    source, target = run_dir(spark, "orders"), run_dir(spark, "orders-clustered")
+    fixtures.orders(spark, folder).write.parquet(source)
+    return upkeep.compact(spark, source, target, file_bytes=1 << 16, cluster_by=("customer_id", "order_date"))
+
+
 @_registered
 def snapshot_manifest(spark, folder):
     tables = dict(fixtures.tables(spark, folder, shipping=True).items())
