@@ -246,6 +246,17 @@ FROM purchases""",
     "compacted_folders_keep_their_names": f"""{_with(PURCHASES)}
 SELECT {ORDER_COLUMNS}, (['007', '07', '7', '1e2', '100', '0x1F', '2024-01-01'])[order_id % 7 + 1] AS code FROM purchases""",
     "clustered_orders": f"{_with(PURCHASES)}\nSELECT {ORDER_COLUMNS} FROM purchases",
+    "changed_orders": f"""{_with(PURCHASES)},
+late AS (SELECT * FROM purchases WHERE order_date >= DATE '1998-01-01')
+SELECT -order_id AS order_id, 'inserted' AS change, CAST(0 AS BIGINT) AS rows_before, CAST(1 AS BIGINT) AS rows_after
+FROM purchases WHERE order_id % 90 = 5
+UNION ALL SELECT order_id, 'deleted', 1, 0 FROM late WHERE order_id % 40 = 3
+UNION ALL SELECT order_id, 'updated', 1, 1 FROM late WHERE order_id % 30 = 0 AND order_id % 40 <> 3 AND status <> 'X'""",
+    "orders_after_changes": f"""{_with(PURCHASES)}
+SELECT {ORDER_COLUMNS.replace("status", "")}
+       CASE WHEN order_date >= DATE '1998-01-01' AND order_id % 30 = 0 THEN 'X' ELSE status END AS status
+FROM purchases WHERE order_date < DATE '1998-01-01' OR order_id % 40 <> 3
+UNION ALL SELECT -order_id, customer_id, order_date, CAST(total_amount AS DOUBLE), status FROM purchases WHERE order_id % 90 = 5""",
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text

@@ -470,8 +470,8 @@ def clustered_orders(spark, folder):
 @_registered
 def snapshot_manifest(spark, folder):
     tables = dict(fixtures.tables(spark, folder, shipping=True).items())
-    return snapshots.write_snapshot(spark, run_dir(spark, "backup"), tables, datetime.now()).select(
-        "table_name", "row_count")
+    written = snapshots.write_snapshot(spark, run_dir(spark, "backup"), tables, datetime(2024, 1, 1))
+    return snapshots.snapshot_counts(written).drop("snapshot_ts")
 
 
 @_registered
@@ -483,6 +483,31 @@ def orders_as_of(spark, folder):
     return snapshots.read_as_of(spark, root, "orders", late - timedelta(days=1))
 
 
+def _two_states(spark, folder) -> str:
+    """Snapshots of the orders by year: of January, and of February when some had changed, gone or come."""
+    root, orders = run_dir(spark, "states"), fixtures.orders(spark, folder)
+    late = F.year("order_date") >= 1998
+    changed = orders.where(~late | (F.col("order_id") % 40 != 3)).withColumn(
+        "status", F.when(late & (F.col("order_id") % 30 == 0), "X").otherwise(F.col("status")))
+    added = orders.where("order_id % 90 = 5").withColumn("order_id", -F.col("order_id"))
+    for at, state in ((datetime(2024, 1, 1), orders), (datetime(2024, 2, 1), changed.unionByName(added))):
+        snapshots.write_snapshot(spark, root, {"orders": state}, at, {"orders": F.year("order_date")})
+    return root
+
+
+@_registered
+def changed_orders(spark, folder):
+    """Orders that differ between two snapshots; years without a change are neither stored twice nor compared."""
+    return snapshots.changes_between(spark, _two_states(spark, folder), "orders", "order_id",
+                                     datetime(2024, 1, 15), datetime(2024, 2, 15))
+
+
+@_registered
+def orders_after_changes(spark, folder):
+    """The later state, put together from files of both snapshots."""
+    return snapshots.read_as_of(spark, _two_states(spark, folder), "orders", datetime(2024, 2, 15))
+
+
 @_registered
 def evolved_orders(spark, folder):
     path = run_dir(spark, "orders-evolved")
