@@ -106,9 +106,9 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, slices: list[str
         F.col(SLICE).isin(slices))
 
 
-def _state(spark: SparkSession, root: str, table: str, rows: list) -> DataFrame:
-    """The rows of some slices of one snapshot, wherever their files lie."""
-    schema = T.StructType.fromJson(json.loads(rows[0]["columns"]))
+def _state(spark: SparkSession, root: str, table: str, entries: list, rows: list) -> DataFrame:
+    """The rows of some slices of one snapshot, wherever their files lie; ``entries`` are all of the snapshot."""
+    schema = T.StructType.fromJson(json.loads(entries[0]["columns"]))
     folders: dict[str, list[str]] = {}
     for r in rows:
         if r["slice"] is not None:
@@ -127,7 +127,8 @@ def _entries(spark: SparkSession, root: str, table: str, as_of: datetime) -> lis
 
 def read_as_of(spark: SparkSession, root: str, table: str, as_of: datetime) -> DataFrame:
     """The table as stored by the newest complete snapshot not later than ``as_of``."""
-    return _state(spark, root, table, _entries(spark, root, table, as_of))
+    entries = _entries(spark, root, table, as_of)
+    return _state(spark, root, table, entries, entries)
 
 
 def changes_between(spark: SparkSession, root: str, table: str, key: str, before: datetime, after: datetime) -> DataFrame:
@@ -141,8 +142,8 @@ def changes_between(spark: SparkSession, root: str, table: str, key: str, before
     same = {(r["slice"], r["digest"], r["columns"]) for r in old} & {(r["slice"], r["digest"], r["columns"]) for r in new}
     sides = []
     for rows in (old, new):
-        differing = [r for r in rows if r["slice"] is None or (r["slice"], r["digest"], r["columns"]) not in same]
-        sides.append(_state(spark, root, table, differing))
+        differing = [r for r in rows if (r["slice"], r["digest"], r["columns"]) not in same]
+        sides.append(_state(spark, root, table, rows, differing))
     columns = sorted({*sides[0].columns, *sides[1].columns})
     both = sides[0].withColumn("_new", F.lit(False)).unionByName(
         sides[1].withColumn("_new", F.lit(True)), allowMissingColumns=True)
