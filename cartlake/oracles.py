@@ -59,6 +59,18 @@ FROM slotted GROUP BY ALL"""
 
 ACCOUNT_ALERTS = _sliding("Repeated Errors", "High", "event_type = 'error'", "user_id", 15, 5, 1)
 ERROR_ALERTS = _sliding("Costly Events", "Medium", "value >= 100", "event_type", 30, 10, 2)
+EPISODES = f"""WITH alerting AS ({ERROR_ALERTS}),
+marked AS (
+  SELECT *, coalesce(window_start > MAX(window_end) OVER (PARTITION BY rule, key ORDER BY window_start
+                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens
+  FROM alerting),
+numbered AS (SELECT *, COUNT(*) FILTER (opens) OVER (PARTITION BY rule, key ORDER BY window_start) AS episode FROM marked)
+SELECT rule, severity, key, MIN(window_start) AS "begin", MAX(window_end) AS "end", MAX(event_count) AS peak
+FROM numbered GROUP BY rule, severity, key, episode"""
+HOURS = f"""{_with(LOGS)}
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type AS metric,
+       COUNT(value) AS samples, CAST(SUM(value) AS DOUBLE) / COUNT(value) AS average, CAST(MAX(value) AS DOUBLE) AS maximum
+FROM logs GROUP BY ALL"""
 ROLLUP = _tumbling(1, "event_type,", "CAST(SUM(value) AS DOUBLE) / COUNT(value) AS average, "
                    "CAST(MAX(value) AS DOUBLE) AS maximum")
 REQUESTS = _tumbling(5, "", "COUNT(*) AS total")
@@ -257,6 +269,8 @@ SELECT {ORDER_COLUMNS.replace("status", "")}
        CASE WHEN order_date >= DATE '1998-01-01' AND order_id % 30 = 0 THEN 'X' ELSE status END AS status
 FROM purchases WHERE order_date < DATE '1998-01-01' OR order_id % 40 <> 3
 UNION ALL SELECT -order_id, customer_id, order_date, CAST(total_amount AS DOUBLE), status FROM purchases WHERE order_id % 90 = 5""",
+    **dict.fromkeys(("alert_episodes", "alert_episodes_stream"), EPISODES),
+    "hourly_metrics_from_states": HOURS,
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text

@@ -28,7 +28,7 @@ from cartlake.schemas import CUSTOMERS, ORDERS
 from cartlake.session import run_dir, session_with
 from cartlake.sinks import export, slices, snapshots
 from cartlake.sources import catalog, files, fixtures, incremental
-from cartlake.streaming import rules
+from cartlake.streaming import episodes, rollups, rules
 from cartlake.streaming.run import append_available, streaming_session, update_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,6 +574,42 @@ def error_alerts_stream(spark, folder):
         rules.alerts(_watched(spark, folder), _is_costly(), ERROR_RULE), "error-alerts", rules.ALERT_KEYS)
 
 
+def _event_drops(spark, folder) -> str:
+    """The events in four files, by time; events up to six minutes before a border come in the later file."""
+    path = run_dir(spark, "event-drops")
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 7 * 60_000_000
+    drop = F.least(F.greatest(F.floor((late / 1_000_000 - 1704067200) / (8 * 86400)), F.lit(0)), F.lit(3)).cast("int")
+    for number in range(4):
+        events.where(drop == number).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _dropped_events(spark, folder):
+    session = streaming_session(spark, state_partitions=spark.sparkContext.defaultParallelism)
+    return fixtures.event_stream_of(session, folder, _event_drops(spark, folder))
+
+
+@_registered
+def alert_episodes(spark, folder):
+    """One row per attack."""
+    return episodes.alert_episodes(fixtures.events(spark, folder), _is_costly(), ERROR_RULE)
+
+
+@_registered
+def alert_episodes_stream(spark, folder):
+    """The same from a stream of four batches, with late events."""
+    stream = rules.watched(_dropped_events(spark, folder), WATERMARK_DELAY)
+    return episodes.episodes_available(rules.alerts(stream, _is_costly(), ERROR_RULE), "alert-episodes")
+
+
+@_registered
+def hourly_metrics_from_states(spark, folder):
+    """Hours merged from stored minute states, of which two batches are rolled up and two are not."""
+    path = rollups.store_states(_dropped_events(spark, folder), "event_type", "value", full_every=2)
+    return rollups.read_grain(spark, path, "1 hour")
+
+
 @_registered
 def metric_rollup(spark, folder):
     return rules.metric_rollup(fixtures.events(spark, folder), "event_type", "value")

@@ -132,5 +132,11 @@ def event_stream(spark: SparkSession, folder: str, batch_bytes: int | None = Non
     return _log_columns(stream).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_stream_of(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The files of events in ``path`` as a stream, one file per batch in the order in which they were written."""
+    stream = spark.readStream.schema(_read(spark, folder, "events").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _log_columns(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _log_columns(df: DataFrame) -> DataFrame:
     return df.selectExpr("event_id", "ts", "user_id", "event_type", f"{_money('value')} AS value")
