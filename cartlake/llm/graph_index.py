@@ -4,10 +4,13 @@ A shard's graph is built by inserting its points in batches: a greedy search fro
 proposes neighbours (all points that it expands), and relaxed distance pruning keeps a few of them that
 lie in different directions: a candidate goes when a kept neighbour is ``alpha`` times closer to it than
 the point itself. Edges are made in both directions; a list that overflows is pruned the same way.
-Queries run a beam search in every shard of their dimension, and the best of all shards are merged.
+Queries run a beam search in the shards of their dimension, and the best of all shards are merged.
 
-The largest inner product is the smallest Euclidean distance once every vector gets one more component
-that brings all vectors of the shard to the same length, so the graph is built on these.
+Among vectors of one length the largest inner product is the smallest distance. So shards hold vectors of
+nearly one length, a layer: lengths of a layer differ by LAYER_RATIO at most. The graph is built on their
+directions, and what a beam holds at its end is compared by exact products. The layers of the longest
+vectors are searched first; of the others only those are searched for a query whose longest vector could
+reach the k-th product found.
 
 Equal vectors are one point of the index with its smallest ids, so groups of copies of any size cost one
 point. Vectors that are NULL, empty, zero or hold NULL or non-finite components take no part, nor do rows
@@ -33,20 +36,18 @@ ALPHA = 1.2
 #: Points inserted together see the same graph; the batch grows with the graph up to this.
 BATCH = 256
 EXPANDED_AT_ONCE = 4
-#: Queries also begin at so many of the longest vectors, which often have the largest products.
-LONGEST_ENTRIES = 32
+#: Lengths of the vectors of a shard differ by this factor at most.
+LAYER_RATIO = 1.05
 #: Distinct vectors per shard, and queries per block, on average: both bound what one task holds.
 SHARD_POINTS = 8192
 BLOCK_QUERIES = 8192
 PRUNE_CELLS = 1 << 23
 
 
-def same_length(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more component, all of the length of the longest."""
-    squares = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
-    scale = np.sqrt(squares.max()) if len(squares) else 1.0
-    extra = np.sqrt(np.maximum(scale ** 2 - squares, 0))
-    return (np.column_stack([vectors, extra]) / scale).astype(np.float32)
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; components of any size are brought to one scale first."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 class Graph:
@@ -57,12 +58,6 @@ class Graph:
         self.squares = np.einsum("ij,ij->i", points, points)
         self.edges = np.full((len(points), WIDEST), -1, np.int32) if edges is None else edges
         self.entry = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))
-        self.entries = np.array([self.entry])
-
-    def entered_at(self, more: np.ndarray) -> Graph:
-        """Searches begin at the middle point and at these."""
-        self.entries = np.unique(np.append(more, self.entry))
-        return self
 
     def _distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to the points in its row of ids."""
@@ -76,13 +71,10 @@ class Graph:
         near = np.full((n, beam), np.inf, np.float32)
         done = np.ones((n, beam), bool)
         seen = np.zeros((n, len(self.points)), bool)
-        first = np.broadcast_to(self.entries[:beam], (n, min(beam, len(self.entries))))
-        away = self._distances(queries, first)
-        order = np.argsort(away, axis=1, kind="stable")
-        ids[:, :first.shape[1]] = np.take_along_axis(first, order, axis=1)
-        near[:, :first.shape[1]] = np.take_along_axis(away, order, axis=1)
-        done[:, :first.shape[1]] = False
-        seen[:, self.entries[:beam]] = True
+        ids[:, 0] = self.entry
+        near[:, 0] = self._distances(queries, ids[:, :1])[:, 0]
+        done[:, 0] = False
+        seen[:, self.entry] = True
         expanded = []
         while not done.all():
             # The lists are sorted, so the first open entries are the nearest.
@@ -191,12 +183,28 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+KEYS = ["dimension", "layer", "shard"]
+
+
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("class_id").reset_index(drop=True)
-    edges = Graph(same_length(_stacked(rows["vector"]))).build().edges
+    edges = Graph(directions(_stacked(rows["vector"]))).build().edges
     rows["node"] = np.arange(len(rows), dtype=np.int32)
     rows["edges"] = [row[row >= 0] for row in edges]
-    return rows[["dimension", "shard", "node", "class_id", "vector", "edges"]]
+    return rows[[*KEYS, "node", "class_id", "vector", "edges"]]
+
+
+def best_of_beams(near: np.ndarray, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
+                  found: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the points in each query's beam those with the largest exact products: query row, class id and product."""
+    row, slot = np.nonzero(near >= 0)
+    point = near[row, slot]
+    score = exact_scores(asked[row], vectors[point])
+    order = np.lexsort((ids[point], -score, row))
+    row, point, score = row[order], point[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < found
+    return row[kept], ids[point[kept]], score[kept]
 
 
 def _search_shard(found: int):
@@ -208,25 +216,28 @@ def _search_shard(found: int):
             edges = np.full((len(index), WIDEST), -1, np.int32)
             for i, row in enumerate(index["edges"]):
                 edges[i, :len(row)] = row
-            longest = np.argsort(-np.einsum("ij,ij->i", vectors, vectors), kind="stable")[:LONGEST_ENTRIES]
-            graph = Graph(same_length(vectors), edges).entered_at(longest)
+            graph = Graph(directions(vectors), edges)
             asked = _stacked(queries["vector"])
             # The length of a query does not change which products are largest.
-            unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
-            flat = np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32)
-            names = queries["query_id"].to_numpy()
+            flat, names = directions(asked), queries["query_id"].to_numpy()
             for at in range(0, len(flat), BATCH):
                 near, _, _ = graph.search(flat[at:at + BATCH], max(SEARCH_BEAM, found))
-                near = near[:, :found]
-                row, slot = np.nonzero(near >= 0)
+                row, classes, score = best_of_beams(near, asked[at:at + BATCH], vectors, ids, found)
                 out["query_id"].append(names[at + row])
-                out["class_id"].append(ids[near[row, slot]])
-                out["score"].append(exact_scores(asked[at + row], vectors[near[row, slot]]))
+                out["class_id"].append(classes)
+                out["score"].append(score)
         return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
 
     return run
 
 
+def length(vector: Column) -> Column:
+    """The length in double precision, without overflow on the way."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return largest * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x.cast("double") / largest) * (
+        x.cast("double") / largest)))
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -246,26 +257,44 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     classes = staged(rows.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).groupBy("vector").agg(
         F.min("vec_id").alias("class_id"), F.collect_list("vec_id").alias("members"))
         .withColumn("dimension", F.size("vector")), "vector-classes")
-    spans = classes.groupBy("dimension").agg(
-        F.ceil(F.count("*") / shard_points).cast("int").alias("shards")).join(
-        rows.where(is_query).groupBy(F.size("vector").alias("dimension")).agg(
-            F.ceil(F.count("*") / block_queries).cast("int").alias("blocks")), "dimension", "left")
-    spans = staged(spans, "vector-shards")
-    sharded = classes.join(spans, "dimension").withColumn("shard", F.expr("CAST(pmod(xxhash64(vector), shards) AS INT)"))
+    layer = F.floor(F.log("length") / np.log(LAYER_RATIO) + 0.5).cast("int")
+    classes = classes.withColumn("length", length(F.col("vector"))).withColumn("layer", layer)
+    # One row per layer; layers of the longest vectors, a shard's worth or more, are searched first.
+    longer = Window.partitionBy("dimension").orderBy(F.desc("layer")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = staged(classes.groupBy("dimension", "layer").agg(
+        F.count("*").alias("points"), F.max("length").alias("longest")).withColumn(
+        "first", F.coalesce(F.sum("points").over(longer), F.lit(0)) < shard_points).withColumn(
+        "shards", F.ceil(F.col("points") / shard_points).cast("int")), "vector-layers")
+    sharded = classes.join(spans, ["dimension", "layer"]).withColumn("shard", F.expr("CAST(pmod(xxhash64(vector), shards) AS INT)"))
     element = dict(table.dtypes)[vector]
-    index = staged(sharded.select("dimension", "shard", "class_id", "vector").groupBy("dimension", "shard").applyInPandas(
-        _build_shard, f"dimension int, shard int, node int, class_id long, vector {element}, edges array<int>"),
+    index = staged(sharded.select(*KEYS, "class_id", "vector").groupBy(*KEYS).applyInPandas(
+        _build_shard, f"dimension int, layer int, shard int, node int, class_id long, vector {element}, edges array<int>"),
         "vector-graphs")
-    asked = rows.where(is_query).withColumn("dimension", F.size("vector")).join(spans, "dimension").select(
-        F.col("vec_id").alias("query_id"), "vector", "dimension",
-        F.expr("CAST(pmod(xxhash64(vec_id), blocks) AS INT)").alias("block"),
-        F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"))
-    held = index.join(spans.where("blocks > 0").select("dimension", "blocks"), "dimension").withColumn(
-        "block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-    keys = ["dimension", "shard", "block"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
-        _search_shard(k + 1), "query_id long, class_id long, score double")
+    queries = rows.where(is_query).withColumn("dimension", F.size("vector"))
+    blocks = queries.groupBy("dimension").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
+    queries = staged(queries.join(blocks, "dimension").select(
+        F.col("vec_id").alias("query_id"), "vector", "dimension", length(F.col("vector")).alias("size"), "blocks",
+        F.expr("CAST(pmod(xxhash64(vec_id), blocks) AS INT)").alias("block")), "vector-queries")
+
+    def searched(pairs: DataFrame, layers: DataFrame) -> DataFrame:
+        """The best of all shards of the layers that each query is paired with."""
+        asked = pairs.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)")))
+        held = index.join(layers.join(blocks, "dimension").select("dimension", "layer", "blocks"), ["dimension", "layer"]).withColumn(
+            "block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+        keys = [*KEYS, "block"]
+        return held.groupBy(*keys).cogroup(asked.select("query_id", "vector", *keys).groupBy(*keys)).applyInPandas(
+            _search_shard(k + 1), "query_id long, class_id long, score double")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class_id")
+    found = searched(queries.join(spans.where("first"), "dimension"), spans.where("first"))
+    rest = spans.where(~F.col("first"))
+    if not rest.isEmpty():
+        found = staged(found, "nearest-in-long-layers")
+        reached = found.withColumn("n", F.row_number().over(best)).where(F.col("n") == k + 1).select(
+            "query_id", F.col("score").alias("reached"))
+        # A product is at most the product of the lengths; the margin covers rounding.
+        open_ = F.col("reached").isNull() | (F.col("size") * F.col("longest") * (1 + 1e-9) >= F.col("reached"))
+        found = found.unionByName(searched(queries.join(reached, "query_id", "left").join(rest, "dimension").where(open_), rest))
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     members = found.join(classes.select("class_id", "members"), "class_id").withColumn(
         "vec_id", F.explode("members")).where("vec_id <> query_id")

@@ -24,10 +24,12 @@ def test_robust_pruning_keeps_diverse_neighbours():
     assert kept[kept >= 0].tolist() == [1, 3, 5]
 
 
-def test_one_more_component_makes_lengths_equal():
-    vectors = np.random.default_rng(0).normal(size=(50, 8)) * np.linspace(0.1, 5, 50)[:, None]
-    same = graph_index.same_length(vectors)
-    assert np.allclose((same ** 2).sum(axis=1), 1, atol=1e-5)
+def test_directions_and_lengths_of_any_size(spark):
+    vectors = np.random.default_rng(0).normal(size=(50, 8)) * 10.0 ** np.linspace(-30, 30, 50)[:, None]
+    assert np.allclose((graph_index.directions(vectors) ** 2).sum(axis=1), 1, atol=1e-5)
+    table = spark.createDataFrame([(v.tolist(),) for v in vectors * 1e200], "v array<double>")
+    found = [r[0] for r in table.select(graph_index.length(F.col("v"))).collect()]
+    assert found == pytest.approx([float(n) * 1e200 for n in np.linalg.norm(vectors, axis=1)])
 
 
 def test_graph_search_finds_the_nearest_points():
@@ -74,3 +76,30 @@ def test_copies_ties_and_odd_rows(spark):
     assert [v for v, _ in got[200]][:4] == [21, 0, 201, 202]
     assert graph_index.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert graph_index.nearest(table, F.col("vec_id") < 0).count() == 0
+
+
+def of_unit_length(vectors):
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+SETS = {
+    "unit 64": lambda rng: of_unit_length(rng.normal(size=(8192, 64))),
+    "normal 64": lambda rng: rng.normal(size=(8192, 64)),
+    "normal 128": lambda rng: rng.normal(size=(8192, 128)),
+    "log-normal 0.5": lambda rng: of_unit_length(rng.normal(size=(8192, 64))) * rng.lognormal(0, 0.5, (8192, 1)),
+    "log-normal 1": lambda rng: of_unit_length(rng.normal(size=(8192, 64))) * rng.lognormal(0, 1, (8192, 1)),
+    "one of a million": lambda rng: rng.normal(size=(8192, 64)) * np.where(np.arange(8192) == 17, 1e6, 1)[:, None],
+}
+
+
+@pytest.mark.parametrize("name", SETS)
+def test_recall_on_full_shards(spark, name):
+    vectors = SETS[name](np.random.default_rng(12)).astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = graph_index.nearest(table, F.col("vec_id") % 40 == 0, k=20).collect()
+    products = vectors[::40] @ vectors.T
+    products[np.arange(len(products)), np.arange(0, 8192, 40)] = -np.inf
+    want = np.argsort(-products, axis=1)[:, :20]
+    hits = sum(r.vec_id in set(want[r.query_id // 40].tolist()) for r in found)
+    print(name, hits / want.size)
+    assert len(found) == want.size and hits / want.size >= 0.95
