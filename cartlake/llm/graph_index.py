@@ -233,9 +233,10 @@ def _search_shard(found: int):
 
 def length(vector: Column) -> Column:
     """The length in double precision, without overflow on the way."""
-    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    return largest * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x.cast("double") / largest) * (
-        x.cast("double") / largest)))
+    sizes = F.transform(vector, lambda x: F.abs(x.cast("double")))
+    # The largest component is bound to a name by a list of one, or it would be looked for again for each component.
+    return F.element_at(F.transform(F.array(F.array_max(sizes)), lambda most: most * F.sqrt(F.aggregate(
+        vector, F.lit(0.0), lambda total, x: total + (x.cast("double") / most) * (x.cast("double") / most)))), 1)
 
 
 def usable(vector: Column) -> Column:
@@ -256,9 +257,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     by_id = Window.partitionBy("vector").orderBy("vec_id")
     classes = staged(rows.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).groupBy("vector").agg(
         F.min("vec_id").alias("class_id"), F.collect_list("vec_id").alias("members"))
-        .withColumn("dimension", F.size("vector")), "vector-classes")
+        .withColumn("dimension", F.size("vector")).withColumn("length", length(F.col("vector"))), "vector-classes")
     layer = F.floor(F.log("length") / np.log(LAYER_RATIO) + 0.5).cast("int")
-    classes = classes.withColumn("length", length(F.col("vector"))).withColumn("layer", layer)
+    classes = classes.withColumn("layer", layer)
     # One row per layer; layers of the longest vectors, a shard's worth or more, are searched first.
     longer = Window.partitionBy("dimension").orderBy(F.desc("layer")).rowsBetween(Window.unboundedPreceding, -1)
     spans = staged(classes.groupBy("dimension", "layer").agg(
