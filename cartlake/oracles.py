@@ -271,6 +271,10 @@ FROM purchases WHERE order_date < DATE '1998-01-01' OR order_id % 40 <> 3
 UNION ALL SELECT -order_id, customer_id, order_date, CAST(total_amount AS DOUBLE), status FROM purchases WHERE order_id % 90 = 5""",
     **dict.fromkeys(("alert_episodes", "alert_episodes_stream"), EPISODES),
     "hourly_metrics_from_states": HOURS,
+    "order_statistics_from_slices": f"""{_with(PURCHASES)}
+""" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", COUNT(*) AS rows, COUNT(*) FILTER ({c} IS NULL) AS nulls,
+       CAST(MIN({c}) AS VARCHAR) AS least, CAST(MAX({c}) AS VARCHAR) AS greatest FROM purchases"""
+                         for c in ("order_id", "customer_id", "order_date", "total_amount", "status")),
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text
@@ -336,10 +340,10 @@ SELECT CASE WHEN date_diff('second', ts, TIMESTAMP '2024-01-31') // 86400 > 20 T
             WHEN date_diff('second', ts, TIMESTAMP '2024-01-31') // 86400 > 10 THEN 'archive'
             ELSE 'keep' END AS tier, COUNT(*) AS events
 FROM events GROUP BY 1""",
-    "retained_logs": f"""{_with(LOGS)}
+    **dict.fromkeys(("retained_logs", "retained_daily_logs"), f"""{_with(LOGS)}
 SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value,
        CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN 'archive' ELSE 'keep' END AS tier
-FROM logs WHERE ts > TIMESTAMP '2024-01-10'""",
+FROM logs WHERE ts > TIMESTAMP '2024-01-10'"""),
     "unexpired_temp_events": f"""{_with(LOGS)}
 SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value FROM logs WHERE ts > TIMESTAMP '2024-01-23'""",
 }

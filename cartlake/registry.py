@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cartlake.config import LakeConfig, TableLayout
 from cartlake.functions.expressions import iso_time, line_revenue, month_of
-from cartlake.maintenance import evolution
+from cartlake.maintenance import evolution, slice_stats
 from cartlake.maintenance import tables as upkeep
 from cartlake.operators.counting import distinct_counts
 from cartlake.operators.ranking import best_per_group, with_previous
@@ -28,7 +28,7 @@ from cartlake.schemas import CUSTOMERS, ORDERS
 from cartlake.session import run_dir, session_with
 from cartlake.sinks import export, slices, snapshots
 from cartlake.sources import catalog, files, fixtures, incremental
-from cartlake.streaming import episodes, rollups, rules
+from cartlake.streaming import episodes, retention, rollups, rules
 from cartlake.streaming.run import append_available, streaming_session, update_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,6 +426,17 @@ def analyzed_row_counts(spark, folder):
     return reduce(DataFrame.unionAll, rows)
 
 
+@_registered
+def order_statistics_from_slices(spark, folder):
+    """Exact figures of all orders from the statistics of their years; distinct counts and quantiles are tested apart."""
+    orders = fixtures.orders(spark, folder)
+    path = run_dir(spark, "slice-stats")
+    for part in (F.year("order_date") < 1997, F.year("order_date") >= 1997):
+        slice_stats.slice_statistics(orders.where(part), F.year("order_date")).write.mode("append").parquet(path)
+    found = slice_stats.united(spark.read.schema(slice_stats.STATS).parquet(path), orders.schema)
+    return found.select("column", "rows", "nulls", "least", "greatest")
+
+
 @_registered
 def integrity_report(spark, folder):
     return upkeep.integrity_report(fixtures.tables(spark, folder))
@@ -657,6 +668,16 @@ def retained_logs(spark, folder):
     return spark.read.parquet(path)
 
 
+@_registered
+def retained_daily_logs(spark, folder):
+    """The same from logs stored by day, retired twice: days are moved or deleted, not read."""
+    path, events = run_dir(spark, "daily-logs"), fixtures.events(spark, folder)
+    retention.write_days(events, path)
+    for as_of in (LOG_AS_OF - timedelta(hours=77), LOG_AS_OF):
+        retention.retire(spark, path, events.schema, as_of, archive_days=10, drop_days=20)
+    return retention.read_tiers(spark, path, events.schema, LOG_AS_OF, archive_days=10, drop_days=20)
+
+
 @_registered
 def unexpired_temp_events(spark, folder):
     return rules.retained_temp(fixtures.events(spark, folder), LOG_AS_OF)
