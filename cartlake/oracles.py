@@ -275,6 +275,9 @@ UNION ALL SELECT -order_id, customer_id, order_date, CAST(total_amount AS DOUBLE
 """ + " UNION ALL ".join(f"""SELECT '{c}' AS "column", COUNT(*) AS rows, COUNT(*) FILTER ({c} IS NULL) AS nulls,
        CAST(MIN({c}) AS VARCHAR) AS least, CAST(MAX({c}) AS VARCHAR) AS greatest FROM purchases"""
                          for c in ("order_id", "customer_id", "order_date", "total_amount", "status")),
+    "orphans_among_new_items": f"""{_with(PURCHASES, ITEMS)}
+SELECT order_id, COUNT(*) AS occurrences FROM items
+WHERE order_item_id % 4 = 1 AND order_id NOT IN (SELECT order_id FROM purchases WHERE order_id % 100 <> 3) GROUP BY order_id""",
     "csv_of_awkward_texts": """
 SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang <> 'fr'
        THEN text || ' "' || source || '", \\n' || chr(92) || chr(13) END AS text

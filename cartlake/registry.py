@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cartlake.config import LakeConfig, TableLayout
 from cartlake.functions.expressions import iso_time, line_revenue, month_of
-from cartlake.maintenance import evolution, slice_stats
+from cartlake.maintenance import evolution, new_keys, slice_stats
 from cartlake.maintenance import tables as upkeep
 from cartlake.operators.counting import distinct_counts
 from cartlake.operators.ranking import best_per_group, with_previous
@@ -453,6 +453,18 @@ def orphaned_order_ids(spark, folder):
     return upkeep.orphan_keys(t.order_items, "order_id", t.orders, "order_id")
 
 
+@_registered
+def orphans_among_new_items(spark, folder):
+    """Order ids of new lines without an order, against a stored filter of the known orders' keys."""
+    t = fixtures.tables(spark, folder, "orders", "order_items")
+    known = t.orders.where("order_id % 100 <> 3")
+    bits, path = new_keys.filter_bits(known.count()), run_dir(spark, "key-filter")
+    old, late = known.where("order_id % 2 = 0"), known.where("order_id % 2 = 1")
+    new_keys.united(*(new_keys.key_filter(part, "order_id", bits) for part in (old, late))).write.parquet(path)
+    new = t.order_items.where("order_item_id % 4 = 1")
+    return new_keys.new_orphans(new, "order_id", known, "order_id", spark.read.parquet(path), bits)
+
+
 @_registered
 def compacted_order_items(spark, folder):
     source, target = run_dir(spark, "items"), run_dir(spark, "items-compacted")
