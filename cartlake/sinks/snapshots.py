@@ -55,17 +55,20 @@ def write_snapshot(spark: SparkSession, root: str, tables: Mapping[str, DataFram
     never read. Returns the manifest rows of this snapshot.
     """
     stamp = at.strftime(STAMP)
-    entries = []
+    entries, before = [], _newest(spark, root, stamp, *tables)
     for name, df in tables.items():
         columns = df.schema.json()
         sliced = _sliced(df, (slice_by or {}).get(name))
-        known = {(r["slice"], r["digest"]): r["folder"] for r in _newest(spark, root, name, stamp) if r["columns"] == columns}
+        known = {(r["slice"], r["digest"]): r["folder"] for r in before if r["table_name"] == name and r["columns"] == columns}
         # The list of slices, not of rows, comes to the driver.
         now = sliced.groupBy(SLICE).agg(digest(df.columns).alias("digest"), F.count("*").alias("row_count")).collect()
         changed = [r[SLICE] for r in now if (r[SLICE], r["digest"]) not in known]
         if changed:
             path = f"{root}/data/snapshot_ts={stamp}/{name}"
-            (sliced.where(F.col(SLICE).isin(changed)).hint("rebalance", F.col(SLICE)).write.partitionBy(SLICE).parquet(path))
+            rows = sliced.where(F.col(SLICE).isin(changed))
+            # One slice keeps the partitions that it has; several are gathered, and large ones split.
+            rows = rows.hint("rebalance", F.col(SLICE)) if len(now) > 1 else rows
+            rows.write.partitionBy(SLICE).parquet(path)
             stored = {r[SLICE]: r["n"] for r in _read(spark, path, df.schema, changed).groupBy(SLICE).agg(
                 F.count("*").alias("n")).collect()}
             wrong = [s for s in now if s[SLICE] in changed and stored.get(s[SLICE]) != s["row_count"]]
@@ -88,16 +91,16 @@ def snapshot_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("snapshot_ts", "table_name").agg(F.sum("row_count").alias("row_count"))
 
 
-def _newest(spark: SparkSession, root: str, table: str, stamp: str) -> list:
-    """Manifest rows of the newest complete snapshot of the table that is not later; empty where there is none."""
+def _newest(spark: SparkSession, root: str, stamp: str, *tables: str) -> list:
+    """Manifest rows of the newest complete snapshot of each table that is not later; none where there is none."""
     try:
-        known = read_manifest(spark, root).where((F.col("table_name") == table) & (F.col("snapshot_ts") <= stamp))
-        latest = known.agg(F.max("snapshot_ts")).first()[0]
+        known = read_manifest(spark, root).where(F.col("table_name").isin(*tables) & (F.col("snapshot_ts") <= stamp))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        latest = None
-    return known.where(F.col("snapshot_ts") == latest).collect() if latest else []
+        return []
+    latest = known.groupBy("table_name").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    return known.join(latest, ["table_name", "snapshot_ts"]).collect()
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, slices: list[str]) -> DataFrame:
@@ -119,7 +122,7 @@ def _state(spark: SparkSession, root: str, table: str, entries: list, rows: list
 
 
 def _entries(spark: SparkSession, root: str, table: str, as_of: datetime) -> list:
-    found = _newest(spark, root, table, as_of.strftime(STAMP))
+    found = _newest(spark, root, as_of.strftime(STAMP), table)
     if not found:
         raise LookupError(f"no snapshot of {table} at or before {as_of}")
     return found
