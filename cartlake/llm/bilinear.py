@@ -1,13 +1,15 @@
 """A log-bilinear language model trained with noise-contrastive estimation, and its scores of whole texts.
 
 Words are runs of non-blank bytes, lower-cased (A-Z); every text ends with one end token. The model
-predicts one of ``OUTPUTS`` outputs from the two tokens before: the most frequent words have an output
-each, all other words share one per form (a hash of their last bytes), and the end token has its own.
+predicts an output from the two tokens before: every word met ``LEAST_COUNT`` times or more in training has an
+output and a context vector of its own (as far as COLLECTED_WORDS go), all other words share one per form (a
+hash of their last bytes), and the end token has its own. So the vocabulary grows with the corpus.
 The predicted vector is c1 * r[previous] + c2 * r[the one before], its product with an output's vector
-plus a bias is the output's score. Batched matrix products give the scores of all outputs in all contexts
-and so the normalising constants; a word's probability is its output's times its share of the output's
-training tokens. A word never met in training has the Good-Turing mass of such words; that is one event,
-as in the base score, so both distribute probability over the same events.
+plus a bias is the output's score. After training the context vectors are replaced by the nearest of ``CODES``
+centroids, so that batched matrix products give the normalising constant of every pair of contexts over all
+outputs; a word's probability is its output's times its share of the output's training tokens. A word never met
+in training has the Good-Turing mass of such words; that is one event, as in the base score, so both distribute
+probability over the same events.
 
 Word counts come from all training texts and are joined by word; training runs over all training texts in
 tasks whose models are averaged, in a tree. Only the counts of the most frequent words are collected
@@ -34,21 +36,28 @@ from cartlake.llm.shipping import shipped
 from cartlake.llm.words import span_hashes, split_words, text_chunks
 from cartlake.operators.staging import staged
 
-OUTPUTS = 1024
 FORMS = 256
 FORM_BYTES = 3
-FREQUENT = OUTPUTS - FORMS - 1
-END = OUTPUTS - 1
-START = OUTPUTS  # only ever a context
+#: Fewest training tokens of a word with vectors of its own.
+LEAST_COUNT = 5
 DIMENSIONS = 32
-NOISE_WORDS = 16
-BATCH_TOKENS = 8192
-RATE = 0.05
-#: Most words whose counts travel to all tasks; all rarer words are joined.
+#: Different context vectors at scoring, and rounds of moving them.
+CODES = 512
+CODE_ROUNDS = 6
+NOISE_WORDS = 32
+#: Tokens that share noise words; were they many, one draw of a rare word would outweigh all its uses.
+SHARING = 32
+BATCH_TOKENS = 4096
+RATE = 0.1
+#: Sum of squared gradients that every parameter starts with.
+FIRST_SQUARE = 0.1
+#: Most words whose counts and vectors travel to all tasks; all rarer words are joined.
 COLLECTED_WORDS = 1 << 16
+#: Outputs whose scores in all contexts are held at once.
+OUTPUT_BLOCK = 4096
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 1 << 20
-FAN_IN = 8
+FAN_IN = 4
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -110,6 +119,20 @@ class Counts:
     form: np.ndarray
     output: np.ndarray     # the word's own output, or -1
 
+    @property
+    def own(self) -> int:
+        """Outputs of single words; after them come those of the forms, then the end."""
+        return int(self.output.max(initial=-1)) + 1
+
+    @property
+    def end(self) -> int:
+        return self.own + FORMS
+
+    @property
+    def outputs(self) -> int:
+        """How many there are; as a context this number is the start of a text."""
+        return self.own + FORMS + 1
+
     @property
     def unknown(self) -> float:
         """Probability of a word never met, by the share of words met once."""
@@ -125,7 +148,7 @@ def counted(table: DataFrame, ends: int) -> Counts:
     taken = by_size[by_size <= COLLECTED_WORDS]
     least = int(taken.index[-1]) if len(taken) else np.iinfo(np.int32).max
     top = table.where(size >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    top["output"] = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), -1)
+    top["output"] = np.where(top["n"] >= LEAST_COUNT, np.arange(len(top)), -1)
     form_tokens = np.zeros(FORMS, np.int64)
     np.add.at(form_tokens, rows["form"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
     own = top[top["output"] >= 0]
@@ -149,17 +172,17 @@ def sequences(counts: Counts, texts: pa.Array):
     at, known = looked_up(counts, hashes)
     own = np.full(len(hashes), -1, np.int64)
     own[known] = counts.output[at[known]]
-    outputs = np.where(own >= 0, own, FREQUENT + forms)
+    outputs = np.where(own >= 0, own, counts.own + forms)
     bounds = words.bounds
-    texts_n = len(words.counts)
+    texts_n, end, start = len(words.counts), counts.end, counts.outputs
     place = np.arange(len(hashes)) + words.text_of_word()
-    tokens = np.full(len(hashes) + texts_n, END, np.int64)
+    tokens = np.full(len(hashes) + texts_n, end, np.int64)
     tokens[place] = outputs
     begin = bounds[:-1] + np.arange(texts_n)
-    one = np.concatenate(([START], tokens[:-1]))[:len(tokens)]
-    one[begin] = START
-    two = np.concatenate(([START], one[:-1]))[:len(tokens)]
-    two[begin] = START
+    one = np.concatenate(([start], tokens[:-1]))[:len(tokens)]
+    one[begin] = start
+    two = np.concatenate(([start], one[:-1]))[:len(tokens)]
+    two[begin] = start
     return words, hashes, forms, at, known, own, place, tokens, one, two
 
 
@@ -167,8 +190,8 @@ def sequences(counts: Counts, texts: pa.Array):
 
 @dataclass
 class Model:
-    context: np.ndarray  # [OUTPUTS + 1, DIMENSIONS]
-    output: np.ndarray   # [OUTPUTS, DIMENSIONS]
+    context: np.ndarray  # [outputs + 1, DIMENSIONS]
+    output: np.ndarray   # [outputs, DIMENSIONS]
     near: np.ndarray     # weights of the previous token's vector
     far: np.ndarray      # weights of the vector of the one before
     bias: np.ndarray
@@ -176,8 +199,8 @@ class Model:
     @classmethod
     def fresh(cls, noise: np.ndarray) -> Model:
         rng = np.random.default_rng(3)
-        return cls(rng.normal(0, 0.1, (OUTPUTS + 1, DIMENSIONS)).astype(np.float32),
-                   rng.normal(0, 0.1, (OUTPUTS, DIMENSIONS)).astype(np.float32),
+        return cls(rng.normal(0, 0.1, (len(noise) + 1, DIMENSIONS)).astype(np.float32),
+                   rng.normal(0, 0.1, (len(noise), DIMENSIONS)).astype(np.float32),
                    np.ones(DIMENSIONS, np.float32), np.full(DIMENSIONS, 0.5, np.float32),
                    np.log(noise).astype(np.float32))
 
@@ -198,22 +221,27 @@ class Model:
 
 def noise_distribution(counts: Counts) -> np.ndarray:
     """Share of each output among the training tokens, with a little for those that have none."""
-    totals = np.zeros(OUTPUTS)
+    totals = np.zeros(counts.outputs)
     own = counts.output >= 0
     totals[counts.output[own]] = counts.n[own]
-    totals[FREQUENT:FREQUENT + FORMS] = counts.form_tokens
-    totals[END] = counts.ends
+    totals[counts.own:counts.end] = counts.form_tokens
+    totals[counts.end] = counts.ends
     return (totals + 1e-3) / (totals + 1e-3).sum()
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad; all tokens of a step share their noise words."""
+    """Noise-contrastive steps with Adagrad; SHARING tokens in a row share their noise words.
+
+    The loss of a step is a sum over its tokens, so a word met once moves as far as Adagrad's first step allows.
+    ``met`` counts a context's or output's uses; models are averaged by them.
+    """
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int):
         self.model, self.rng = model, np.random.default_rng(seed)
-        self.noise, self.steps = noise, [np.full(p.shape, 1e-3, np.float32) for p in model.parts()]
+        self.noise, self.steps = noise, [np.full(p.shape, FIRST_SQUARE, np.float32) for p in model.parts()]
         self.expected = np.log(NOISE_WORDS * noise).astype(np.float32)
         self.cumulative = np.cumsum(noise)
+        self.met = [np.zeros(len(model.context), np.float32), np.zeros(len(model.output), np.float32)]
 
     def _move(self, k: int, gradient: np.ndarray, rows=slice(None)) -> None:
         self.steps[k][rows] += gradient * gradient
@@ -225,29 +253,51 @@ class Trainer:
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         self._move(k, np.add.reduceat(gradient[order], first), ordered[first])
 
+    def drawn(self, groups: int) -> np.ndarray:
+        """The noise words of each group of tokens."""
+        return np.minimum(np.searchsorted(self.cumulative, self.rng.random((groups, NOISE_WORDS))), len(self.noise) - 1)
+
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        m = self.model
-        drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE_WORDS)), OUTPUTS - 1)
+        m, n = self.model, len(target)
+        groups = -(-n // SHARING)
+        filled = np.arange(groups * SHARING)
+        real = (filled < n).astype(np.float32)
+        target, one, two = (np.resize(x, len(filled)) for x in (target, one, two))  # the last group is filled up, without weight
+        drawn = self.drawn(groups)
         r1, r2 = m.context[one], m.context[two]
         wanted = r1 * m.near + r2 * m.far
-        vectors = m.output[target]
+        vectors, others = m.output[target], m.output[drawn]
         gap = np.einsum("td,td->t", wanted, vectors) + m.bias[target] - self.expected[target]
-        other = wanted @ m.output[drawn].T + (m.bias[drawn] - self.expected[drawn])
-        scale = np.float32(1 / len(target))
-        push = -scale / (1 + np.exp(np.clip(gap, -30, 30)))          # of the true words
-        pull = scale / (1 + np.exp(-np.clip(other, -30, 30)))        # of the noise words
-        back = push[:, None] * vectors + pull @ m.output[drawn]
+        grouped = wanted.reshape(groups, SHARING, DIMENSIONS)
+        other = grouped @ others.transpose(0, 2, 1) + (m.bias[drawn] - self.expected[drawn])[:, None, :]
+        push = -real / (1 + np.exp(np.clip(gap, -30, 30)))                                  # of the true words
+        pull = real.reshape(groups, SHARING, 1) / (1 + np.exp(-np.clip(other, -30, 30)))  # of the noise words
+        self.met[0] += np.bincount(one[:n], minlength=len(self.met[0])).astype(np.float32)
+        self.met[1] += np.bincount(target[:n], minlength=len(self.met[1])).astype(np.float32)
+        back = push[:, None] * vectors + (pull @ others).reshape(-1, DIMENSIONS)
+        moved = np.concatenate((target, drawn.ravel()))
         self._move_rows(0, np.concatenate((one, two)), np.concatenate((back * m.near, back * m.far)))
-        self._move_rows(1, np.concatenate((target, drawn)),
-                        np.concatenate((push[:, None] * wanted, pull.T @ wanted)))
-        self._move_rows(4, np.concatenate((target, drawn)), np.concatenate((push, pull.sum(axis=0))))
+        self._move_rows(1, moved, np.concatenate((push[:, None] * wanted,
+                                                  (pull.transpose(0, 2, 1) @ grouped).reshape(-1, DIMENSIONS))))
+        self._move_rows(4, moved, np.concatenate((push, pull.sum(axis=1).ravel())))
         self._move(2, np.einsum("td,td->d", back, r1))
         self._move(3, np.einsum("td,td->d", back, r2))
 
 
+def _weights(met: np.ndarray, seen: int, outputs: int) -> np.ndarray:
+    """The weight of every number of a packed model: uses of its row, tokens for what is common to all rows."""
+    context, output = met[:outputs + 1], met[outputs + 1:]
+    return np.concatenate((np.repeat(context, DIMENSIONS), np.repeat(output, DIMENSIONS),
+                           np.full(2 * DIMENSIONS, seen, np.float32), output))
+
+
 def trained(train: DataFrame, counts: Counts) -> Model:
-    """One pass of every task over its part of all texts from the same start, then the mean of the models by tokens."""
+    """One pass of every task over its part of all texts from the same start, then the mean of the models.
+
+    A word's vectors are averaged by how often each task met the word; those that no task met stay as they began.
+    """
     noise = noise_distribution(counts)
+    outputs = len(noise)
     give = shipped(train.sparkSession, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,15 +313,23 @@ def trained(train: DataFrame, counts: Counts) -> Model:
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part_no], pa.int64()), pa.array([seen], pa.int64()),
-                 pa.array([trainer.model.packed()], pa.binary())], ["part", "seen", "model"])
+                 pa.array([np.concatenate(trainer.met).tobytes()], pa.binary()),
+                 pa.array([trainer.model.packed()], pa.binary())], ["part", "seen", "met", "model"])
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, weight = rows.sort_values("part"), rows.sort_values("part")["seen"].to_numpy(np.float64)
-        total = sum(w * np.frombuffer(m, np.float32) for w, m in zip(weight, rows["model"])) / weight.sum()
-        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "seen": [int(weight.sum())],
-                             "model": [total.astype(np.float32).tobytes()]})
-
-    schema = "part long, seen long, model binary"
+        rows, first = rows.sort_values("part"), Model.fresh(noise).packed()
+        met, total = np.zeros(2 * outputs + 1, np.float32), np.zeros(len(first) // 4, np.float32)
+        weight = np.zeros_like(total)
+        for seen, uses, model in zip(rows["seen"], rows["met"], rows["model"]):
+            uses = np.frombuffer(uses, np.float32)
+            by = _weights(uses, seen, outputs)
+            met, weight = met + uses, weight + by
+            total += by * np.frombuffer(model, np.float32)
+        total = np.where(weight > 0, total / np.maximum(weight, 1), np.frombuffer(first, np.float32))
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "seen": [int(rows["seen"].sum())],
+                             "met": [met.tobytes()], "model": [total.astype(np.float32).tobytes()]})
+
+    schema = "part long, seen long, met binary, model binary"
     texts = train.select("text")
     models, groups = texts.mapInArrow(run, schema), texts.rdd.getNumPartitions()
     while True:
@@ -283,25 +341,56 @@ def trained(train: DataFrame, counts: Counts) -> Model:
     return Model.unpacked(last["model"], noise) if last else Model.fresh(noise)
 
 
+def coded(vectors: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most CODES vectors in place of all, by weighted means from the heaviest ones, and the code of each."""
+    order = np.argsort(-weight, kind="stable")
+    codes = vectors[order[:CODES]].copy()
+    if len(vectors) <= CODES:
+        code = np.empty(len(vectors), np.int64)
+        code[order] = np.arange(len(vectors))
+        return codes, code
+    for round_no in range(CODE_ROUNDS + 1):
+        half = (codes * codes).sum(axis=1) / 2
+        code = np.concatenate([(vectors[at:at + OUTPUT_BLOCK] @ codes.T - half).argmax(axis=1)
+                               for at in range(0, len(vectors), OUTPUT_BLOCK)])
+        if round_no < CODE_ROUNDS:
+            total = np.bincount(code, weights=weight, minlength=CODES)
+            for d in range(vectors.shape[1]):
+                sums = np.bincount(code, weights=weight * vectors[:, d], minlength=CODES)
+                codes[:, d] = np.where(total > 0, sums / np.maximum(total, 1e-30), codes[:, d])
+    return codes, code
+
+
 @dataclass
 class Tables:
-    """Scores of all outputs in all contexts: near[previous, output] + far[the one before, output] - norm[both]."""
+    """What scores tokens: vectors of context codes (as previous and as the one before) and of outputs, and the norms."""
 
+    code: np.ndarray
     near: np.ndarray
     far: np.ndarray
+    output: np.ndarray
+    bias: np.ndarray
     norm: np.ndarray
 
     @classmethod
-    def of(cls, model: Model) -> Tables:
-        near = (model.context * model.near) @ model.output.T + model.bias
-        far = (model.context * model.far) @ model.output.T
-        peak_near, peak_far = near.max(axis=1), far.max(axis=1)
-        # exp(a + b) is exp(a) * exp(b): the sums over outputs are one matrix product.
-        sums = np.exp(near - peak_near[:, None]) @ np.exp(far - peak_far[:, None]).T
-        return cls(near, far, np.log(np.maximum(sums, 1e-30)) + peak_near[:, None] + peak_far[None, :])
+    def of(cls, model: Model, noise: np.ndarray) -> Tables:
+        # The start stands before as many tokens as the end.
+        codes, code = coded(model.context, np.append(noise, noise[-1]))
+        near, far = codes * model.near, codes * model.far
+        spans = [slice(at, at + OUTPUT_BLOCK) for at in range(0, len(noise), OUTPUT_BLOCK)]
+        peak_near = np.max([(near @ model.output[s].T + model.bias[s]).max(axis=1) for s in spans], axis=0)
+        peak_far = np.max([(far @ model.output[s].T).max(axis=1) for s in spans], axis=0)
+        sums = np.zeros((len(codes), len(codes)))
+        for s in spans:  # exp(a + b) is exp(a) * exp(b): the sums over outputs are matrix products
+            sums += np.exp(near @ model.output[s].T + model.bias[s] - peak_near[:, None]) @ np.exp(
+                far @ model.output[s].T - peak_far[:, None]).T
+        norm = np.log(np.maximum(sums, 1e-30)) + peak_near[:, None] + peak_far[None, :]
+        return cls(code, near, far, model.output, model.bias, norm.astype(np.float32))
 
     def log_probabilities(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return (self.near[one, tokens] + self.far[two, tokens] - self.norm[one, two]).astype(np.float64)
+        one, two = self.code[one], self.code[two]
+        score = np.einsum("td,td->t", self.near[one] + self.far[two], self.output[tokens])
+        return (score + self.bias[tokens] - self.norm[one, two]).astype(np.float64)
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -359,10 +448,8 @@ def scored(docs: DataFrame) -> DataFrame:
     table = staged(word_counts(train), "word-counts")
     ends = train.count()
     counts = counted(table, ends)
-    if ends:
-        tables = Tables.of(trained(train, counts))
-    else:
-        tables = Tables.of(Model.fresh(noise_distribution(counts)))
+    noise = noise_distribution(counts)
+    tables = Tables.of(trained(train, counts) if ends else Model.fresh(noise), noise)
     rows = staged(_local_scores(docs, counts, tables), "local-scores")
     floor, unknown = float(np.log10(counts.tokens + counts.types + 1)), float(np.log10(counts.unknown))
     pairs = rows.select("row", F.explode("rare").alias("w")).select("row", "w.*")

@@ -75,7 +75,8 @@ def test_joined_words_score_as_defined(spark, monkeypatch):
     monkeypatch.setattr(bilinear, "HELD_WORDS", 200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r for r in bilinear.scored(docs).collect()}
-    counts, tables = kept["counts"], bilinear.Tables.of(kept["model"])
+    counts = kept["counts"]
+    tables = bilinear.Tables.of(kept["model"], bilinear.noise_distribution(counts))
     assert 0 < len(counts.word) <= 30
     seen = Counter(t for i, text in rows if not held_out(i) for t in tokens_of(text))
     for i, text in rows:
@@ -109,31 +110,77 @@ def some_counts():
     return bilinear.Counts(int(n.sum()) + 9, 41, 9, int((n == 1).sum()), form_tokens, words, n, forms, output)
 
 
-def test_probabilities_add_up_to_one():
+@pytest.mark.parametrize("codes, block", [(512, 4096), (20, 7)])
+def test_probabilities_add_up_to_one(monkeypatch, codes, block):
+    monkeypatch.setattr(bilinear, "CODES", codes)
+    monkeypatch.setattr(bilinear, "OUTPUT_BLOCK", block)
     counts = some_counts()
-    model = bilinear.Model.fresh(bilinear.noise_distribution(counts))
+    noise = bilinear.noise_distribution(counts)
+    model = bilinear.Model.fresh(noise)
     model.output *= 10
-    tables = bilinear.Tables.of(model)
-    outputs = np.arange(bilinear.OUTPUTS)
-    for one, two in ((bilinear.START, bilinear.START), (3, bilinear.START), (5, 700)):
+    tables = bilinear.Tables.of(model, noise)
+    assert len(tables.near) == min(codes, counts.outputs + 1)
+    outputs, start = np.arange(counts.outputs), counts.outputs
+    for one, two in ((start, start), (3, start), (5, 200)):
         logs = tables.log_probabilities(outputs, np.full(len(outputs), one), np.full(len(outputs), two))
         assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+        scores = (model.context[one] * model.near + model.context[two] * model.far) @ model.output.T + model.bias
+        if codes > counts.outputs:  # every context keeps its vector: a softmax written plainly
+            assert logs == pytest.approx(scores - np.log(np.exp(scores).sum()), abs=1e-3)
+
 
+def test_codes_are_the_nearest_centroids(monkeypatch):
+    monkeypatch.setattr(bilinear, "CODES", 8)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, bilinear.DIMENSIONS)).astype(np.float32)
+    codes, code = bilinear.coded(vectors, rng.random(300))
+    far = ((vectors[:, None] - codes[None]) ** 2).sum(axis=2)
+    assert codes.shape == (8, bilinear.DIMENSIONS) and (far.argmin(axis=1) == code).mean() > 0.99
 
-def test_steps_follow_the_contrastive_gradient():
+
+def test_the_vocabulary_grows_with_the_corpus(spark):
+    """Every word met often enough has an output of its own, however many there are."""
+    found = []
+    for words in (100, 3000):
+        texts = [(" ".join(f"w{j}" for j in range(i, words, 7)),) for i in range(7)] * bilinear.LEAST_COUNT
+        train = spark.createDataFrame([*texts, ("once",)], "text string")
+        counts = bilinear.counted(bilinear.word_counts(train), train.count())
+        found.append(counts.own)
+        assert counts.outputs == words + bilinear.FORMS + 1 and counts.form_tokens.sum() == 1
+    assert found == [100, 3000]
+
+
+def test_models_are_averaged_by_the_uses_of_each_word(spark):
+    texts = [("a b a b",)] * 40 + [("c d c d",)] * 40
+    train = spark.createDataFrame(spark.sparkContext.parallelize(texts, 6), "text string")
+    counts = bilinear.counted(bilinear.word_counts(train), len(texts))
+    fresh = bilinear.Model.fresh(bilinear.noise_distribution(counts))
+    model = bilinear.trained(train, counts)
+    assert (model.context[:4] != fresh.context[:4]).any(axis=1).all()      # all four words were met by some tasks only
+    assert (model.context[4:-2] == fresh.context[4:-2]).all()              # no rare word: no form was met
+    logs = bilinear.Tables.of(model, bilinear.noise_distribution(counts))
+    *_, tokens, one, two = bilinear.sequences(counts, pa.array(["a b a b", "a c a c"]))
+    scores = logs.log_probabilities(tokens, one, two)
+    assert scores[:5].sum() > scores[5:].sum() + 1
+    assert [bilinear._weights(np.zeros(2 * counts.outputs + 1, np.float32), 3, counts.outputs).sum()] == [6 * bilinear.DIMENSIONS]
+
+
+def test_steps_follow_the_contrastive_gradient(monkeypatch):
     counts = some_counts()
     noise = bilinear.noise_distribution(counts)
     trainer = bilinear.Trainer(bilinear.Model.fresh(noise), noise, 0)
     m = trainer.model
     rng = np.random.default_rng(1)
     target, one, two = (rng.integers(0, 30, 20) for _ in range(3))
-    drawn = np.minimum(np.searchsorted(trainer.cumulative, np.random.default_rng(0).random(bilinear.NOISE_WORDS)), bilinear.OUTPUTS - 1)
+    monkeypatch.setattr(bilinear, "SHARING", 8)  # three groups, the last not full
+    drawn = np.repeat(trainer.drawn(3), 8, axis=0)[:20]
+    trainer.drawn = lambda groups: drawn[::8]
 
     def loss():
         wanted = (m.context[one] * m.near + m.context[two] * m.far).astype(np.float64)
         gap = (wanted * m.output[target]).sum(1) + m.bias[target] - trainer.expected[target]
-        other = wanted @ m.output[drawn].T + m.bias[drawn] - trainer.expected[drawn]
-        return float((np.log1p(np.exp(-gap)).sum() + np.log1p(np.exp(other)).sum()) / len(target))
+        other = np.einsum("td,tkd->tk", wanted, m.output[drawn]) + m.bias[drawn] - trainer.expected[drawn]
+        return float(np.log1p(np.exp(-gap)).sum() + np.log1p(np.exp(other)).sum())
 
     found = []
     trainer._move = lambda k, gradient, rows=slice(None): found.append((k, gradient, rows))
@@ -158,6 +205,6 @@ def test_without_training_rows(spark):
 def test_sequences_restart_with_every_text():
     counts = some_counts()
     *_, tokens, one, two = bilinear.sequences(counts, pa.array(["a b", None, "c"]))
-    assert (tokens == bilinear.END).tolist() == [False, False, True, True, False, True]
-    assert (one == bilinear.START).tolist() == [True, False, False, True, True, False]
-    assert (two == bilinear.START).tolist() == [True, True, False, True, True, True]
+    assert (tokens == counts.end).tolist() == [False, False, True, True, False, True]
+    assert (one == counts.outputs).tolist() == [True, False, False, True, True, False]
+    assert (two == counts.outputs).tolist() == [True, True, False, True, True, True]
