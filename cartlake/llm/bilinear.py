@@ -53,11 +53,13 @@ RATE = 0.1
 FIRST_SQUARE = 0.1
 #: Most words whose counts and vectors travel to all tasks; all rarer words are joined.
 COLLECTED_WORDS = 1 << 16
-#: Outputs whose scores in all contexts are held at once.
+#: Outputs whose scores in all contexts are held at once, and tokens scored at once.
 OUTPUT_BLOCK = 4096
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 1 << 20
-FAN_IN = 4
+#: Rows of vectors that travel together when models are averaged, and models that one task averages.
+PIECE_ROWS = 4096
+FAN_IN = 8
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -199,24 +201,38 @@ class Model:
     @classmethod
     def fresh(cls, noise: np.ndarray) -> Model:
         rng = np.random.default_rng(3)
-        return cls(rng.normal(0, 0.1, (len(noise) + 1, DIMENSIONS)).astype(np.float32),
-                   rng.normal(0, 0.1, (len(noise), DIMENSIONS)).astype(np.float32),
-                   np.ones(DIMENSIONS, np.float32), np.full(DIMENSIONS, 0.5, np.float32),
+        tenth = np.float32(0.1)
+        return cls(rng.standard_normal((len(noise) + 1, DIMENSIONS), np.float32) * tenth,
+                   rng.standard_normal((len(noise), DIMENSIONS), np.float32) * tenth, np.ones(DIMENSIONS, np.float32), np.full(DIMENSIONS, 0.5, np.float32),
                    np.log(noise).astype(np.float32))
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.output, self.near, self.far, self.bias]
 
-    def packed(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).tobytes()
+    def pieces(self, met: np.ndarray, seen: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(piece, weights, rows): the vectors of contexts, of outputs with their biases, and the two of all tokens."""
+        wide = DIMENSIONS + 1
+        for at in range(0, len(met) + 2, PIECE_ROWS):
+            rows = np.zeros((min(PIECE_ROWS, len(met) + 2 - at), wide), np.float32)
+            weights = np.full(len(rows), seen, np.float32)
+            first = 0
+            for vectors, last in ((self.context, None), (self.output, self.bias), (np.stack((self.near, self.far)), None)):
+                low, high = max(at, first), min(at + len(rows), first + len(vectors))
+                if low < high:
+                    rows[low - at:high - at, :DIMENSIONS] = vectors[low - first:high - first]
+                    if last is not None:
+                        rows[low - at:high - at, DIMENSIONS] = last[low - first:high - first]
+                first += len(vectors)
+            own = met[at:at + PIECE_ROWS]
+            weights[:len(own)] = own
+            yield at // PIECE_ROWS, weights, rows
 
     @classmethod
-    def unpacked(cls, data: bytes, noise: np.ndarray) -> Model:
-        model, flat, at = cls.fresh(noise), np.frombuffer(data, np.float32), 0
-        for part in model.parts():
-            part[...] = flat[at:at + part.size].reshape(part.shape)
-            at += part.size
-        return model
+    def of_rows(cls, rows: np.ndarray) -> Model:
+        outputs = (len(rows) - 3) // 2
+        vectors = rows[:, :DIMENSIONS]
+        return cls(vectors[:outputs + 1].copy(), vectors[outputs + 1:-2].copy(), vectors[-2].copy(), vectors[-1].copy(),
+                   rows[outputs + 1:-2, DIMENSIONS].copy())
 
 
 def noise_distribution(counts: Counts) -> np.ndarray:
@@ -284,20 +300,12 @@ class Trainer:
         self._move(3, np.einsum("td,td->d", back, r2))
 
 
-def _weights(met: np.ndarray, seen: int, outputs: int) -> np.ndarray:
-    """The weight of every number of a packed model: uses of its row, tokens for what is common to all rows."""
-    context, output = met[:outputs + 1], met[outputs + 1:]
-    return np.concatenate((np.repeat(context, DIMENSIONS), np.repeat(output, DIMENSIONS),
-                           np.full(2 * DIMENSIONS, seen, np.float32), output))
-
-
 def trained(train: DataFrame, counts: Counts) -> Model:
     """One pass of every task over its part of all texts from the same start, then the mean of the models.
 
     A word's vectors are averaged by how often each task met the word; those that no task met stay as they began.
     """
     noise = noise_distribution(counts)
-    outputs = len(noise)
     give = shipped(train.sparkSession, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,34 +319,34 @@ def trained(train: DataFrame, counts: Counts) -> Model:
                     trainer.step(tokens[span], one[span], two[span])
                 seen += len(tokens)
         if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part_no], pa.int64()), pa.array([seen], pa.int64()),
-                 pa.array([np.concatenate(trainer.met).tobytes()], pa.binary()),
-                 pa.array([trainer.model.packed()], pa.binary())], ["part", "seen", "met", "model"])
+            for piece, weights, rows in trainer.model.pieces(np.concatenate(trainer.met), seen):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part_no], pa.int64()), pa.array([piece], pa.int32()),
+                     pa.array([weights.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())],
+                    ["part", "piece", "weights", "vectors"])
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, first = rows.sort_values("part"), Model.fresh(noise).packed()
-        met, total = np.zeros(2 * outputs + 1, np.float32), np.zeros(len(first) // 4, np.float32)
-        weight = np.zeros_like(total)
-        for seen, uses, model in zip(rows["seen"], rows["met"], rows["model"]):
-            uses = np.frombuffer(uses, np.float32)
-            by = _weights(uses, seen, outputs)
-            met, weight = met + uses, weight + by
-            total += by * np.frombuffer(model, np.float32)
-        total = np.where(weight > 0, total / np.maximum(weight, 1), np.frombuffer(first, np.float32))
-        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "seen": [int(rows["seen"].sum())],
-                             "met": [met.tobytes()], "model": [total.astype(np.float32).tobytes()]})
-
-    schema = "part long, seen long, met binary, model binary"
+        rows = rows.sort_values("part")
+        weights = [np.frombuffer(w, np.float32) for w in rows["weights"]]
+        vectors = [np.frombuffer(v, np.float32).reshape(-1, DIMENSIONS + 1) for v in rows["vectors"]]
+        weight, total = sum(weights), sum(w[:, None] * v for w, v in zip(weights, vectors))
+        out = np.where(weight[:, None] > 0, total / np.maximum(weight, 1)[:, None], vectors[0]).astype(np.float32)
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "piece": [int(rows["piece"].iloc[0])],
+                             "weights": [weight.astype(np.float32).tobytes()], "vectors": [out.tobytes()]})
+
+    schema = "part long, piece int, weights binary, vectors binary"
     texts = train.select("text")
     models, groups = texts.mapInArrow(run, schema), texts.rdd.getNumPartitions()
     while True:
-        models = models.groupBy(F.expr(f"part div {FAN_IN}").alias("set")).applyInPandas(mean, schema)
+        models = models.groupBy(F.expr(f"part div {FAN_IN}").alias("set"), "piece").applyInPandas(mean, schema)
         groups = -(-groups // FAN_IN)
         if groups <= 1:
             break
-    last = models.first()
-    return Model.unpacked(last["model"], noise) if last else Model.fresh(noise)
+    pieces = models.select("piece", "vectors").collect()  # at most 2 * (COLLECTED_WORDS + FORMS + 1) + 3 rows of vectors
+    if not pieces:
+        return Model.fresh(noise)
+    return Model.of_rows(np.concatenate([np.frombuffer(p["vectors"], np.float32).reshape(-1, DIMENSIONS + 1)
+                                         for p in sorted(pieces, key=lambda p: p["piece"])]))
 
 
 def coded(vectors: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,9 +396,12 @@ class Tables:
         return cls(code, near, far, model.output, model.bias, norm.astype(np.float32))
 
     def log_probabilities(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        one, two = self.code[one], self.code[two]
-        score = np.einsum("td,td->t", self.near[one] + self.far[two], self.output[tokens])
-        return (score + self.bias[tokens] - self.norm[one, two]).astype(np.float64)
+        out = np.empty(len(tokens))
+        for at in range(0, len(tokens), OUTPUT_BLOCK):
+            span = slice(at, at + OUTPUT_BLOCK)
+            a, b, t = self.code[one[span]], self.code[two[span]], tokens[span]
+            out[span] = np.einsum("td,td->t", self.near[a] + self.far[b], self.output[t]) + self.bias[t] - self.norm[a, b]
+        return out
 
 
 # --- scores -----------------------------------------------------------------------------------

@@ -150,6 +150,19 @@ def test_the_vocabulary_grows_with_the_corpus(spark):
     assert found == [100, 3000]
 
 
+@pytest.mark.parametrize("size", [1, 7, 100, 4096])
+def test_pieces_of_a_model_make_it_again(monkeypatch, size):
+    monkeypatch.setattr(bilinear, "PIECE_ROWS", size)
+    counts = some_counts()
+    model = bilinear.Model.fresh(bilinear.noise_distribution(counts))
+    met = np.arange(2 * counts.outputs + 1, dtype=np.float32)
+    numbers, weights, rows = zip(*model.pieces(met, 9))
+    assert list(numbers) == list(range(len(numbers))) and max(map(len, rows)) <= size
+    assert np.concatenate(weights).tolist() == [*met, 9, 9]
+    again = bilinear.Model.of_rows(np.concatenate(rows))
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(model.parts(), again.parts()))
+
+
 def test_models_are_averaged_by_the_uses_of_each_word(spark):
     texts = [("a b a b",)] * 40 + [("c d c d",)] * 40
     train = spark.createDataFrame(spark.sparkContext.parallelize(texts, 6), "text string")
@@ -162,7 +175,6 @@ def test_models_are_averaged_by_the_uses_of_each_word(spark):
     *_, tokens, one, two = bilinear.sequences(counts, pa.array(["a b a b", "a c a c"]))
     scores = logs.log_probabilities(tokens, one, two)
     assert scores[:5].sum() > scores[5:].sum() + 1
-    assert [bilinear._weights(np.zeros(2 * counts.outputs + 1, np.float32), 3, counts.outputs).sum()] == [6 * bilinear.DIMENSIONS]
 
 
 def test_steps_follow_the_contrastive_gradient(monkeypatch):
