@@ -209,8 +209,11 @@ class Model:
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.output, self.near, self.far, self.bias]
 
-    def pieces(self, met: np.ndarray, seen: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(piece, weights, rows): the vectors of contexts, of outputs with their biases, and the two of all tokens."""
+    def pieces(self, met: np.ndarray, seen: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(piece, places in it, weights, rows) of all rows that were met.
+
+        The rows are the vectors of contexts, of outputs with their biases, and the two of all tokens.
+        """
         wide = DIMENSIONS + 1
         for at in range(0, len(met) + 2, PIECE_ROWS):
             rows = np.zeros((min(PIECE_ROWS, len(met) + 2 - at), wide), np.float32)
@@ -225,14 +228,20 @@ class Model:
                 first += len(vectors)
             own = met[at:at + PIECE_ROWS]
             weights[:len(own)] = own
-            yield at // PIECE_ROWS, weights, rows
-
-    @classmethod
-    def of_rows(cls, rows: np.ndarray) -> Model:
-        outputs = (len(rows) - 3) // 2
-        vectors = rows[:, :DIMENSIONS]
-        return cls(vectors[:outputs + 1].copy(), vectors[outputs + 1:-2].copy(), vectors[-2].copy(), vectors[-1].copy(),
-                   rows[outputs + 1:-2, DIMENSIONS].copy())
+            met_here = np.flatnonzero(weights)
+            yield at // PIECE_ROWS, met_here.astype(np.int32), weights[met_here], rows[met_here]
+
+    def set_rows(self, at: np.ndarray, rows: np.ndarray) -> None:
+        """The rows ``at``, counted over all pieces, become these."""
+        contexts, outputs = len(self.context), len(self.output)
+        vectors, common = rows[:, :DIMENSIONS], contexts + outputs
+        is_context, is_output = at < contexts, (at >= contexts) & (at < common)
+        self.context[at[is_context]] = vectors[is_context]
+        self.output[at[is_output] - contexts] = vectors[is_output]
+        self.bias[at[is_output] - contexts] = rows[is_output, DIMENSIONS]
+        for k, part in enumerate((self.near, self.far)):
+            for row in vectors[at == common + k]:
+                part[...] = row
 
 
 def noise_distribution(counts: Counts) -> np.ndarray:
@@ -319,22 +328,25 @@ def trained(train: DataFrame, counts: Counts) -> Model:
                     trainer.step(tokens[span], one[span], two[span])
                 seen += len(tokens)
         if seen:
-            for piece, weights, rows in trainer.model.pieces(np.concatenate(trainer.met), seen):
+            for piece, places, weights, rows in trainer.model.pieces(np.concatenate(trainer.met), seen):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part_no], pa.int64()), pa.array([piece], pa.int32()),
-                     pa.array([weights.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())],
-                    ["part", "piece", "weights", "vectors"])
+                     *(pa.array([x.tobytes()], pa.binary()) for x in (places, weights, rows))],
+                    ["part", "piece", "places", "weights", "vectors"])
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
-        weights = [np.frombuffer(w, np.float32) for w in rows["weights"]]
-        vectors = [np.frombuffer(v, np.float32).reshape(-1, DIMENSIONS + 1) for v in rows["vectors"]]
-        weight, total = sum(weights), sum(w[:, None] * v for w, v in zip(weights, vectors))
-        out = np.where(weight[:, None] > 0, total / np.maximum(weight, 1)[:, None], vectors[0]).astype(np.float32)
+        weight, total = np.zeros(PIECE_ROWS, np.float32), np.zeros((PIECE_ROWS, DIMENSIONS + 1), np.float32)
+        for places, weights, vectors in zip(rows["places"], rows["weights"], rows["vectors"]):
+            at, by = np.frombuffer(places, np.int32), np.frombuffer(weights, np.float32)
+            weight[at] += by
+            total[at] += by[:, None] * np.frombuffer(vectors, np.float32).reshape(-1, DIMENSIONS + 1)
+        at = np.flatnonzero(weight)
         return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "piece": [int(rows["piece"].iloc[0])],
-                             "weights": [weight.astype(np.float32).tobytes()], "vectors": [out.tobytes()]})
+                             "places": [at.astype(np.int32).tobytes()], "weights": [weight[at].tobytes()],
+                             "vectors": [(total[at] / weight[at, None]).tobytes()]})
 
-    schema = "part long, piece int, weights binary, vectors binary"
+    schema = "part long, piece int, places binary, weights binary, vectors binary"
     texts = train.select("text")
     models, groups = texts.mapInArrow(run, schema), texts.rdd.getNumPartitions()
     while True:
@@ -342,11 +354,11 @@ def trained(train: DataFrame, counts: Counts) -> Model:
         groups = -(-groups // FAN_IN)
         if groups <= 1:
             break
-    pieces = models.select("piece", "vectors").collect()  # at most 2 * (COLLECTED_WORDS + FORMS + 1) + 3 rows of vectors
-    if not pieces:
-        return Model.fresh(noise)
-    return Model.of_rows(np.concatenate([np.frombuffer(p["vectors"], np.float32).reshape(-1, DIMENSIONS + 1)
-                                         for p in sorted(pieces, key=lambda p: p["piece"])]))
+    model = Model.fresh(noise)
+    for p in models.select("piece", "places", "vectors").collect():  # at most 2 * (COLLECTED_WORDS + FORMS + 1) + 3 rows
+        model.set_rows(p["piece"] * PIECE_ROWS + np.frombuffer(p["places"], np.int32),
+                       np.frombuffer(p["vectors"], np.float32).reshape(-1, DIMENSIONS + 1))
+    return model
 
 
 def coded(vectors: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

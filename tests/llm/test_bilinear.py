@@ -156,11 +156,18 @@ def test_pieces_of_a_model_make_it_again(monkeypatch, size):
     counts = some_counts()
     model = bilinear.Model.fresh(bilinear.noise_distribution(counts))
     met = np.arange(2 * counts.outputs + 1, dtype=np.float32)
-    numbers, weights, rows = zip(*model.pieces(met, 9))
-    assert list(numbers) == list(range(len(numbers))) and max(map(len, rows)) <= size
-    assert np.concatenate(weights).tolist() == [*met, 9, 9]
-    again = bilinear.Model.of_rows(np.concatenate(rows))
-    assert all((a == b).all() and a.shape == b.shape for a, b in zip(model.parts(), again.parts()))
+    met[3] = 0
+    pieces = list(model.pieces(met, 9))
+    assert max(len(rows) for *_, rows in pieces) <= size
+    assert np.concatenate([p[2] for p in pieces]).tolist() == [*(x for x in met if x), 9, 9]
+    again = bilinear.Model.fresh(bilinear.noise_distribution(counts))
+    for part in again.parts():
+        part[...] = 7
+    for piece, places, _, rows in pieces:
+        again.set_rows(piece * size + places, rows)
+    assert (again.context[[0, 3]] == 7).all()  # rows that were not met do not travel
+    again.context[[0, 3]] = model.context[[0, 3]]
+    assert all((a == b).all() for a, b in zip(model.parts(), again.parts()))
 
 
 def test_models_are_averaged_by_the_uses_of_each_word(spark):
