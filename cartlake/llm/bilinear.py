@@ -49,6 +49,8 @@ NOISE_WORDS = 32
 SHARING = 32
 BATCH_TOKENS = 4096
 RATE = 0.1
+#: Bits that hold a place among the rows that one step moves.
+PLACE_BITS = 24
 #: Sum of squared gradients that every parameter starts with.
 FIRST_SQUARE = 0.1
 #: Most words whose counts and vectors travel to all tasks; all rarer words are joined.
@@ -272,11 +274,13 @@ class Trainer:
         self.steps[k][rows] += gradient * gradient
         self.model.parts()[k][rows] -= RATE * gradient / np.sqrt(self.steps[k][rows])
 
-    def _move_rows(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
+    def _move_rows(self, rows: np.ndarray, gradients: dict[int, np.ndarray]) -> None:
+        """Moves some rows of several parts by the sums of their gradients; the rows are sorted once for all parts."""
+        keys = np.sort((rows << PLACE_BITS) | np.arange(len(rows)))
+        order, ordered = keys & ((1 << PLACE_BITS) - 1), keys >> PLACE_BITS
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        self._move(k, np.add.reduceat(gradient[order], first), ordered[first])
+        for k, gradient in gradients.items():
+            self._move(k, np.add.reduceat(gradient[order], first), ordered[first])
 
     def drawn(self, groups: int) -> np.ndarray:
         """The noise words of each group of tokens."""
@@ -300,11 +304,10 @@ class Trainer:
         self.met[0] += np.bincount(one[:n], minlength=len(self.met[0])).astype(np.float32)
         self.met[1] += np.bincount(target[:n], minlength=len(self.met[1])).astype(np.float32)
         back = push[:, None] * vectors + (pull @ others).reshape(-1, DIMENSIONS)
-        moved = np.concatenate((target, drawn.ravel()))
-        self._move_rows(0, np.concatenate((one, two)), np.concatenate((back * m.near, back * m.far)))
-        self._move_rows(1, moved, np.concatenate((push[:, None] * wanted,
-                                                  (pull.transpose(0, 2, 1) @ grouped).reshape(-1, DIMENSIONS))))
-        self._move_rows(4, moved, np.concatenate((push, pull.sum(axis=1).ravel())))
+        self._move_rows(np.concatenate((one, two)), {0: np.concatenate((back * m.near, back * m.far))})
+        noise_moves = (pull.transpose(0, 2, 1) @ grouped).reshape(-1, DIMENSIONS)
+        self._move_rows(np.concatenate((target, drawn.ravel())), {
+            1: np.concatenate((push[:, None] * wanted, noise_moves)), 4: np.concatenate((push, pull.sum(axis=1).ravel()))})
         self._move(2, np.einsum("td,td->d", back, r1))
         self._move(3, np.einsum("td,td->d", back, r2))
 
