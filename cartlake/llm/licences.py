@@ -174,9 +174,43 @@ derived from this software without specific prior written permission.
 """
 
 
+#: The notice that programs under a licence of the GNU family carry (fixed value), for "{name}".
+GNU_NOTICE = """{subject} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published
+by the Free Software Foundation, {versions}.
+
+{subject} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with {end}. If not, see <https://www.gnu.org/licenses/>."""
+GNU_NAMES = {"AGPL-3.0": "Affero General Public License", "GPL-3.0": "General Public License", "LGPL-3.0": "Lesser General Public License"}
+GNU_VERSIONS = {"or-later": "either version 3 of the License, or (at your option) any later version", "only": "version 3 of the License"}
+
+#: Notices of works under a Creative Commons licence (fixed values).
+COMMONS_NOTICES = [
+    "This work is licensed under {article} Creative Commons {name} 4.0 International License.",
+    """This work is licensed under {article} Creative Commons {name} 4.0 International License. To view a copy of this license, visit
+http://creativecommons.org/licenses/{code}/4.0/.""",
+    """This work is licensed under {article} Creative Commons {name} 4.0 International License. To view a copy of this license, visit
+http://creativecommons.org/licenses/{code}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.""",
+]
+COMMONS_NAMES = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def notices() -> list[tuple[str, str]]:
+    """(licence, text) of the notices that refer to a licence, in all their usual forms."""
+    gnu = [(f"{code}-{which} notice", GNU_NOTICE.format(name=name, versions=versions, subject=subject, end=subject[0].lower() + subject[1:]))
+           for code, name in GNU_NAMES.items() for which, versions in GNU_VERSIONS.items() for subject in ("This file", "This program")]
+    commons = [(f"CC-{code.upper()}-4.0 notice", form.format(article=article, name=name, code=code))
+               for code, name in COMMONS_NAMES.items() for form in COMMONS_NOTICES for article in ("a", "the")]
+    return gnu + commons
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of all known licences: as they are, on one line, behind titles, without numbers, without what follows their terms."""
-    whole = list(KNOWN.items()) + [(f.stem, f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    whole = list(KNOWN.items()) + notices() + [(f.stem, f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
     whole.append(("BSD-3-Clause", KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS", THIRD_CLAUSE + "THIS SOFTWARE IS")))
     whole += [(n, t.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")) for n, t in whole if n.startswith("BSD-")]
     whole += [(n, re.sub(r"(?m)^\d\. ", "", t)) for n, t in whole if n in ("BSD-2-Clause", "BSD-3-Clause", "Zlib")]

@@ -1,10 +1,13 @@
 """Quality rules and licence scans against SQL, the sharding ring against a plain walk."""
 
+import hashlib
 import textwrap
+import unicodedata
 import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cartlake.llm import licences, quality, sharding
 from cartlake.llm.licences import KNOWN
@@ -138,6 +141,41 @@ derived from this software without specific prior written permission.
     assert [(n, found[i]) for i, (n, _) in enumerate(rows) if found[i] != n] == []
 
 
+#: Spellings that the licences below have or are given (fixed values).
+ONE_SPELLING = {"licence": "license", "licences": "licenses", "acknowledgment": "acknowledgement", "https": "http", "whilst": "while"}
+
+
+def plain_words(text):
+    """The canonical form letter by letter: runs of letters, marks and numbers in small letters."""
+    spaced = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower())
+    return " ".join(ONE_SPELLING.get(w, w) for w in spaced.split())
+
+
+def test_scan_finds_planted_licences_by_an_independent_canonical_form(spark):
+    """Documents are put together here, so what is a statement and what is licence text is known without the operator."""
+    texts = dict(KNOWN) | dict(licences.notices())
+    assert {"AGPL-3.0-or-later notice", "CC-BY-4.0 notice", "CC-BY-SA-4.0 notice"} <= set(texts)
+    docs, want = [], {}
+
+    def plant(licence, words, text):
+        want[len(docs)] = (licence, hashlib.sha256(plain_words(words).encode()).hexdigest())
+        docs.append((len(docs), text))
+
+    for k, (name, body) in enumerate(texts.items()):
+        british = body.replace("license ", "licence ").replace("while ", "whilst ")
+        plant(name, body, body)
+        plant(name, body, f"{STATEMENTS[k % len(STATEMENTS)]}\n\n{british.upper()}\n")
+        plant(name, body, "\n".join(f" * {line}" for line in textwrap.wrap(british, 60 + k, break_long_words=False)))
+        plant(None, body + " x", body + " x")
+        plant(None, " ".join(body.split()[1:]), " ".join(body.split()[1:]))
+    for k in range(200):
+        clean = f"Document {k} tells of a licence, of rights and of {'warranty ' * (k % 7)}only. Ünïcode — {k}"
+        plant(None, clean, clean)
+    scanned = licences.licence_scan(spark.createDataFrame(docs, "doc_id long, text string"), licences.known_licences(spark))
+    found = {r.doc_id: (r.licence, r.digest) for r in scanned.collect()}
+    assert [(docs[i][1], found[i]) for i in want if found[i] != want[i]] == []
+
+
 def test_licence_tables_may_be_odd(spark):
     known = spark.createDataFrame([("B", "Some text"), ("A", "some, TEXT!"), ("C", None), (None, "")], "licence string, licence_text string")
     docs = spark.createDataFrame([(1, "Some text."), (2, None)], "doc_id long, text string")
@@ -192,6 +230,38 @@ def test_assignment_equals_a_plain_walk(shards):
     assert cells == sorted(cells)
 
 
+def test_every_document_is_where_a_walk_byte_by_byte_puts_it(spark, shards):
+    """Own ring, own order: large documents whole, the largest first; then the others' bytes one after the other."""
+    rows, found = shards
+    _, docs = documents(spark)
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at")).collect()
+    placed = [((r.at % 2**64) >> 50, r.at, str(r.doc_id), len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in hashed]
+    nodes = sorted((int(hashlib.sha256(f"{s}/{n}".encode()).hexdigest()[:16], 16), s) for s in range(16) for n in range(256))
+    total = sum(size for *_, size, _ in placed)
+    room = [total * 1.001 / 16 for _ in range(16)]
+
+    def first_with(cell, size):
+        clockwise = [s for p, s in nodes if p >> 50 > cell] + [s for _, s in nodes]
+        return next(s for s in clockwise if room[s] >= size)
+
+    want = []
+    large = sorted((x for x in placed if x[3] * 16 * 1024 > total), key=lambda x: (-x[3], x[0], x[1]))
+    for cell, _, name, size, crc in large:
+        shard = first_with(cell, size)
+        room[shard] -= size
+        want.append((name, size, crc, shard))
+    at_cell = shard = None
+    for cell, _, name, size, crc in sorted(x for x in placed if x[3] * 16 * 1024 <= total):
+        for byte in range(size):
+            if cell != at_cell or room[shard] < 1:
+                at_cell, shard = cell, first_with(cell, 1)
+            room[shard] -= 1
+            if not byte:
+                want.append((name, size, crc, shard))
+    assert len(large) and len(want) == len(rows)
+    assert sorted(want) == sorted((str(r.doc_id), r.size, r.text_crc32, r.shard) for r in found)
+
+
 def test_cells_are_cut_where_shards_are_full():
     walk = sharding.Ring(1600, 16, 0.0)
     parts = walk.parts(3, 350)
