@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql.types import StructType
+
 # The logical tables, and below the sections and keys of a settings file.
 LOGICAL_TABLES = ("customers", "products", "orders", "order_items", "product_reviews")
 
@@ -27,12 +29,18 @@ class TableLayout:
 
 @dataclass(frozen=True)
 class LakeConfig:
+    """Where the lake's files and tables are.
+
+    A table with an entry in ``schemas`` is read in these types, without opening the footers of all its files.
+    """
+
     archive_path: str
     warehouse_path: str
     database: str = "ecommerce"
     tables: Mapping[str, str] = field(default_factory=lambda: {t: t for t in LOGICAL_TABLES})
     files: Mapping[str, str] = field(default_factory=lambda: {t: f"{t}.parquet" for t in LOGICAL_TABLES})
     layouts: Mapping[str, TableLayout] = field(default_factory=dict)
+    schemas: Mapping[str, StructType] = field(default_factory=dict)
     top_countries_limit: int = 10
 
     @classmethod

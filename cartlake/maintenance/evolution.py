@@ -49,9 +49,14 @@ def _merged(spark: SparkSession, root: str, paths: list[str]) -> T.StructType |
 
 def schema_groups(spark: SparkSession, root: str) -> list[SchemaGroup]:
     """The files below ``root`` by schema; values of partition folders stay texts as they are written."""
-    spark = session_with(spark, AS_STORED)
     listed = file_inventory(spark, root, recursive=True, pattern="*.parquet").orderBy("modified", "path")
-    open_, found = [[r["path"] for r in listed.select("path").toLocalIterator()]], {}
+    return schema_groups_of(spark, root, [r["path"] for r in listed.select("path").toLocalIterator()])
+
+
+def schema_groups_of(spark: SparkSession, root: str, files: list[str]) -> list[SchemaGroup]:
+    """These files below ``root`` by schema."""
+    spark = session_with(spark, AS_STORED)
+    open_, found = [files], {}
     while open_:
         paths = open_.pop()
         schema = _merged(spark, root, paths) if paths else None

@@ -8,11 +8,16 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cartlake.config import LakeConfig, TableLayout
+from cartlake.maintenance.evolution import schema_groups_of, widest
 from cartlake.operators.skew import dealt_to_buckets
 from cartlake.schemas import TABLE_SCHEMAS, Tables
-from cartlake.sources.files import scan_parquet
+from cartlake.sources.files import file_inventory, scan_parquet
+
+#: Files whose footers are compared with a declared schema.
+SAMPLED_FOOTERS = 64
 
 
 def attach(spark: SparkSession, config: LakeConfig, use: bool = False) -> None:
@@ -27,10 +32,37 @@ def missing_tables(spark: SparkSession, config: LakeConfig) -> list[str]:
     return [t for t in config.tables if not spark.catalog.tableExists(config.qualified(t))]
 
 
-def open_source(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet files below ``path``, or None where there are none."""
+class UndeclaredTypes(ValueError):
+    """Source files hold columns or types that the declared schema would drop or change."""
+
+
+def check_declared(spark: SparkSession, path: str, schema: StructType, most_files: int = SAMPLED_FOOTERS) -> None:
+    """Compare the declared schema with the footers of at most ``most_files`` files, chosen by a hash of their paths.
+
+    Columns that files lack are fine, as they are NULL; others and types that need a loss are an error. A file that the
+    sample misses and whose types do not fit fails when it is read, but columns that only such files have are not noticed.
+    """
+    listed = file_inventory(spark, path, recursive=True, pattern="*.parquet")
+    sample = [r["path"] for r in listed.orderBy(F.xxhash64("path"), "path").limit(most_files).collect()]
+    if not sample:
+        return
+    declared = {f.name.lower(): f.dataType for f in schema}
+    for group in schema_groups_of(spark, path, sample):
+        for column in group.schema:
+            name, own = column.name, column.dataType
+            if name.lower() not in declared:
+                raise UndeclaredTypes(f"column {name} of files like {group.paths[0]} is not declared")
+            if widest(declared[name.lower()], own, name) != declared[name.lower()]:
+                raise UndeclaredTypes(f"column {name}: {own.simpleString()} in files like {group.paths[0]}, "
+                                      f"declared {declared[name.lower()].simpleString()}")
+
+
+def open_source(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The Parquet files below ``path``, or None where there are none; with a schema, in its columns and types."""
     try:
-        return scan_parquet(spark, path)
+        if schema:
+            check_declared(spark, path, schema)
+        return scan_parquet(spark, path, schema)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -76,7 +108,7 @@ def load_tables(spark: SparkSession, config: LakeConfig) -> DataFrame:
     for logical in config.files:
         status = "exists"
         if logical in absent:
-            source = open_source(spark, config.file_path(logical))
+            source = open_source(spark, config.file_path(logical), config.schemas.get(logical))
             status = "missing" if source is None else "created"
             if source is not None:
                 create_table(source, config.qualified(logical), config.layouts.get(logical, TableLayout()),

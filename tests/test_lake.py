@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartlake.config import LakeConfig, TableLayout
 from cartlake.maintenance import tables as upkeep
 from cartlake.plans import customers as people
+from cartlake.schemas import CUSTOMERS, ORDERS
 from cartlake.session import run_dir
 from cartlake.sinks import export, snapshots
 from cartlake.sources import catalog, files
@@ -311,3 +312,42 @@ def test_stored_result_expires(spark):
 def test_plans_can_be_inspected(spark):
     df = spark.range(10).groupBy("id").count()
     assert "HashAggregate" in upkeep.plan_text(df)
+
+
+def test_declared_tables_are_read_in_their_types_without_merging_footers(spark, tmp_path):
+    config = config_for(tmp_path, "declared_load", schemas={"orders": ORDERS, "customers": CUSTOMERS})
+    path = config.file_path("orders")
+    some_orders(spark).withColumn("order_id", F.col("order_id").cast("int")).write.parquet(path)
+    some_orders(spark).drop("status").write.mode("append").parquet(path)
+    assert report(load_tables(spark, config))["orders"] == ("created", 6)
+    assert report(load_tables(spark, config))["customers"] == ("missing", None)
+    loaded = lake_tables_of(spark, config, "orders")
+    assert loaded.schema == ORDERS and loaded.where("status IS NULL").count() == 4
+    assert sorted(r.order_id for r in loaded.collect()) == sorted(2 * [r.order_id for r in some_orders(spark).collect()])
+
+
+@pytest.mark.parametrize("change, says", [
+    (lambda d: d.withColumn("extra", F.lit(1)), "extra"),
+    (lambda d: d.withColumn("order_id", F.col("order_id").cast("string")), "order_id"),
+    (lambda d: d.withColumn("total_amount", F.col("total_amount").cast("decimal(14,4)")), "total_amount"),
+])
+def test_files_that_a_declared_schema_would_cut_are_an_error(spark, tmp_path, change, says):
+    path = str(tmp_path / "orders.parquet")
+    some_orders(spark).write.parquet(path)
+    change(some_orders(spark)).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match=says):
+        catalog.open_source(spark, path, ORDERS)
+    catalog.check_declared(spark, path, ORDERS, most_files=0)
+
+
+def test_only_a_sample_of_footers_is_opened(spark, tmp_path, monkeypatch):
+    path, opened = str(tmp_path / "orders.parquet"), []
+    some_orders(spark).repartition(9).write.option("maxRecordsPerFile", 1).parquet(path)
+    groups = catalog.schema_groups_of
+    monkeypatch.setattr(catalog, "schema_groups_of", lambda s, root, files: opened.extend(files) or groups(s, root, files))
+    catalog.check_declared(spark, path, ORDERS, most_files=2)
+    assert len(opened) == len(set(opened)) == 2
+
+
+def lake_tables_of(spark, config, logical):
+    return spark.table(config.qualified(logical))
