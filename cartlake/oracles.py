@@ -254,6 +254,10 @@ SELECT {ORDER_COLUMNS}, CAST(year(order_date) AS INTEGER) AS slice_year FROM mer
 SELECT order_id, customer_id, CAST(order_date AS TIMESTAMP) AS order_date, status,
        CASE WHEN order_date < DATE '1999-01-01' THEN CAST(CAST(total_amount AS FLOAT) AS DOUBLE)
             ELSE CAST(total_amount AS DOUBLE) END AS total_amount
+FROM purchases""",
+    "orders_loaded_as_declared": f"""{_with(PURCHASES)}
+SELECT order_id, customer_id, order_date, CAST(total_amount AS DOUBLE) AS total_amount,
+       CASE WHEN order_date >= DATE '1999-01-01' THEN status END AS status
 FROM purchases""",
     "compacted_folders_keep_their_names": f"""{_with(PURCHASES)}
 SELECT {ORDER_COLUMNS}, (['007', '07', '7', '1e2', '100', '0x1F', '2024-01-01'])[order_id % 7 + 1] AS code FROM purchases""",

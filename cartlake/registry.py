@@ -351,6 +351,19 @@ def widened_orders(spark, folder):
     return evolution.read_reconciled(spark, path)
 
 
+@_registered
+def orders_loaded_as_declared(spark, folder):
+    """Files of narrower types and without a column, loaded in the declared types; no footers are merged to plan."""
+    base, orders = run_dir(spark, "declared"), fixtures.orders(spark, folder)
+    config = LakeConfig(f"{base}/archive", f"{base}/warehouse", f"lake_{uuid.uuid4().hex}",
+                        files={"orders": "orders"}, schemas={"orders": PLAIN_ORDERS})
+    old, path = F.col("order_date") < F.lit(SLICE_SINCE), config.file_path("orders")
+    orders.where(old).withColumn("order_id", F.col("order_id").cast("int")).drop("status").write.mode("append").parquet(path)
+    orders.where(~old).write.mode("append").parquet(path)
+    catalog.load_tables(spark, config).count()
+    return spark.table(config.qualified("orders"))
+
+
 def _written_texts(spark, folder) -> str:
     """All documents written under names of which the last one wins; some names are missing."""
     path = run_dir(spark, "texts")
