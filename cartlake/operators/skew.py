@@ -44,6 +44,23 @@ class HotKeys:
         known = F.coalesce(key.isin(self.values), F.lit(False)) if self.values else F.lit(False)
         return known | key.isNull() if None in self.pieces else known
 
+    def holds_in_any_bucket(self, key: Column) -> Column:
+        """The same in a form from which Spark takes no choice of buckets, so that files are cut by size."""
+        return self.holds(key) | (F.size(F.array_compact(F.array(key))) > 1)
+
+    def misses(self, key: Column) -> Column:
+        """Whether the key is not hot; never NULL, and in a form that skips files of hot keys only."""
+        other = key.isNotNull() if None in self.pieces else F.lit(True)
+        return other & (key.isNull() | ~key.isin(self.values)) if self.values else other
+
+    def pieces_of(self, key: Column) -> Column:
+        """The pieces of a key, 1 where it is not hot."""
+        if not self.values:
+            return F.when(key.isNull(), F.lit(self.pieces.get(None, 1))).otherwise(1)
+        known = F.create_map(*(F.lit(x) for v in self.values for x in (F.lit(v).cast(self.kind), self.pieces[v])))
+        return F.when(key.isNull(), F.lit(self.pieces.get(None, 1))).when(
+            key.isin(self.values), known[key]).otherwise(1)
+
     def table(self, df: DataFrame) -> DataFrame:
         """(_key, _pieces) of the values; at most two rows per task."""
         schema = T.StructType([T.StructField("_key", self.kind), T.StructField("_pieces", T.IntegerType())])
@@ -79,16 +96,15 @@ def salted(df: DataFrame, key: str, hot: HotKeys) -> DataFrame:
     """``df`` with the salt of each row: 0 but for hot keys."""
     if not hot.pieces:
         return df.withColumn(SALT, F.lit(0))
-    columns = df.columns
-    with_pieces = df.join(F.broadcast(hot.table(df)), F.col(key) == F.col("_key"), "left")
-    of_null = F.when(F.col(key).isNull(), F.lit(hot.pieces.get(None, 1)))
-    return with_pieces.select(*columns, _salt(df, F.coalesce("_pieces", of_null, F.lit(1))).alias(SALT))
+    return df.select("*", _salt(df, hot.pieces_of(F.col(key))).alias(SALT))
 
 
 def repeated_for_salts(df: DataFrame, key: str, hot: HotKeys) -> DataFrame:
     """``df`` with one row for each salt that its key can have; NULL keys meet nothing and are not repeated."""
-    if not hot.values:
+    if not hot.pieces:
         return df.withColumn(SALT, F.lit(0))
+    if not hot.values:  # 0, but not as a literal: Spark would leave it out of the shuffle, which then splits no NULLs
+        return df.withColumn(SALT, _salt(df.select(key), F.lit(1)))
     with_pieces = df.join(F.broadcast(hot.table(df)), F.col(key) == F.col("_key"), "left")
     return with_pieces.select(*df.columns, F.explode(F.sequence(
         F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias(SALT))
@@ -111,13 +127,15 @@ def bucketed_join(left: DataFrame, right: DataFrame, on: str, how: str = "left",
                   hot: HotKeys | None = None) -> DataFrame:
     """The same for two tables that are bucketed by ``on``: buckets meet without a shuffle, but for hot keys.
 
-    A bucket is one task, so rows of hot keys are read apart (the filter reaches the files) and joined by salt.
+    A bucket is one task, so rows of hot keys are read apart and joined by salt. The filter of all other rows
+    skips the files of hot keys; that of the hot rows names no bucket and no join lies between it and the
+    shuffle, so Spark cuts the files by size instead of giving a bucket with a whole hot key to one task.
     """
     hot = hot or hot_keys(left, on, tasks)
     if not hot.pieces:
         return left.join(right, on, how)
-    rest = left.where(~hot.holds(F.col(on))).join(right, on, how)
-    split = salted_join(left.where(hot.holds(F.col(on))), right.where(hot.holds(F.col(on))), on, how, hot=hot)
+    rest = left.where(hot.misses(F.col(on))).join(right, on, how)
+    split = salted_join(left.where(hot.holds_in_any_bucket(F.col(on))), right.where(hot.holds(F.col(on))), on, how, hot=hot)
     return rest.unionByName(split)
 
 
@@ -129,6 +147,6 @@ def dealt_to_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
     hot = hot_keys(df, key, buckets)
     if not hot.pieces:
         return df.repartition(buckets, key)
-    parts = [df.where(~hot.holds(F.col(key))).repartition(buckets, key),
+    parts = [df.where(hot.misses(F.col(key))).repartition(buckets, key),
              salted(df.where(hot.holds(F.col(key))), key, hot).repartition(min(hot.total, 2 * buckets), key, SALT).drop(SALT)]
     return reduce(DataFrame.unionByName, parts)

@@ -88,3 +88,22 @@ def test_bucketed_tables_with_a_hot_key(spark, sides, shuffled):
     assert largest_share(joined) < 3 < largest_share(stored.join(other, "k", "left"))
     for name in ("hot_left", "hot_right"):
         spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("hot, known", [([7, None], False), ([7], True), ([None], False), ([7, 8], False)])
+def test_no_task_reads_a_whole_hot_key_of_a_bucketed_table(spark, sides, shuffled, hot, known):
+    left, right = sides
+    layout = TableLayout(bucket_by="k", buckets=TASKS)
+    for name, df in (("read_left", left), ("read_right", right.dropDuplicates(["k"]))):
+        catalog.create_table(df, name, layout)
+    keys = skew.HotKeys({k: 20 for k in hot}, left.schema["k"].dataType)
+    stored = spark.table("read_left").where("k IS NOT NULL") if known else spark.table("read_left")
+    joined = skew.bucketed_join(stored, spark.table("read_right"), "k", hot=keys)
+    assert rows(joined) == rows(stored.join(spark.table("read_right"), "k", "left"))
+    rest, apart = (x for x in plan_text(joined, "simple").splitlines() if "read_left[" in x)
+    # All other rows meet bucket by bucket and leave out files of hot keys; hot rows are read in pieces of files.
+    assert "Bucketed: true" in rest and "Bucketed: false" in apart
+    pushed = rest[rest.index("PushedFilters"):]
+    assert ("IsNotNull(k)" if hot == [None] else "EqualTo(k,7)" if 8 not in hot else "Not(In(k, [7,8]))") in pushed
+    for name in ("read_left", "read_right"):
+        spark.sql(f"DROP TABLE {name}")
