@@ -2,8 +2,12 @@
 
 A word's vector is the sum of the embeddings of the whole word and of its first bytes, so that unseen
 compounds share what their beginnings have taught. Filters of each width slide over the word vectors of
-the whole text, the largest response of each filter counts, and a logistic layer weighs these. Training
-is plain numpy on a bounded sample of labelled rows; scoring runs in tasks over all documents.
+the whole text, the largest response of each filter counts, and a logistic layer weighs these.
+
+All labelled rows that may be learned from count: a fifth of them, by a hash of their id, gives the
+calibration and the thresholds, all others train the network. Their texts are dealt out to tasks of some
+SHARD_BYTES; in each of ROUNDS every task goes through all its rows, starting from the common model, and
+the models are averaged in a tree. Scoring runs in tasks over all documents.
 
 NULL and empty texts get a score like any other (their features are those of no word). Rows without a
 doc_id are scored and never learned from. Where no or only one class is labelled, the score is the share
@@ -12,31 +16,40 @@ of toxic rows among the labelled ones (0 without any). Repeated rows are scored
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlake.llm.shipping import shipped
 from cartlake.llm.words import Words, span_hashes, split_words, text_chunks
+from cartlake.operators.staging import staged
 
 BUCKETS = 1 << 17
 PREFIXES = (4, 6)
 DIMENSIONS = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
+#: Fewest steps of each task over all rounds; where its rows make fewer batches, it goes through them again.
 STEPS = 800
+#: Bytes of text that one task learns from, and rounds after which models are averaged; one task needs one round.
+SHARD_BYTES = 32 << 20
+ROUNDS = 3
 #: Words of a training batch, which bounds its memory; a longer text is a batch of its own.
 BATCH_WORDS = 1 << 14
-FEATURED_TEXTS = 64
 RATE = 0.05
-#: Most labelled rows per class that training takes, in the order of a hash of their id.
-SAMPLE_PER_CLASS = 3_000
+#: Rows of parameters that travel together when models are averaged, and models that one task averages.
+PIECE_ROWS = 4096
+FAN_IN = 8
+#: Logits of the calibration rows are counted in steps of 1 / LOGIT_STEPS, up to LOGIT_REACH on either side.
+LOGIT_STEPS = 256
+LOGIT_REACH = 60
 #: All calibration rows together count as much as so many toxic rows when a language's threshold is chosen.
 COMMON_TOXIC = 25
 BLOCK_WORDS = 1 << 16
@@ -88,6 +101,21 @@ class Model:
                    [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
                    rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32))
 
+    def dense(self) -> list[np.ndarray]:
+        return [*self.filters, *self.biases, self.weights]
+
+    def rows(self) -> np.ndarray:
+        """All that is trained as rows of DIMENSIONS numbers: the embeddings, then everything else one after another."""
+        flat = np.concatenate([*(x.ravel() for x in self.dense()), [self.offset]]).astype(np.float32)
+        return np.concatenate((self.embedding, np.resize(flat, (-(-len(flat) // DIMENSIONS), DIMENSIONS))))
+
+    def set_rows(self, rows: np.ndarray) -> None:
+        self.embedding, flat, at = rows[:BUCKETS].copy(), rows[BUCKETS:].ravel(), 0
+        for x in self.dense():
+            x[...] = flat[at:at + x.size].reshape(x.shape)
+            at += x.size
+        self.offset = float(flat[at])
+
     def vectors(self, features: np.ndarray) -> np.ndarray:
         out = self.embedding[features[:, 0]]
         for k in range(1, features.shape[1]):
@@ -117,6 +145,27 @@ class Model:
                 best[texts, own] = np.maximum(best[texts, own], np.maximum.reduceat(response, edges)[::2])
         return np.maximum(best + np.concatenate(self.biases), 0)
 
+    def places(self, table: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per width, [text, filter]: where each filter responds most and how much, in blocks so that long texts fit."""
+        found = [(np.zeros((len(starts), FILTERS), np.int64), np.full((len(starts), FILTERS), -np.inf, np.float32))
+                 for _ in WIDTHS]
+        last, reach = int(ends[-1]), max(WIDTHS) - 1
+        for at in range(0, last, BLOCK_WORDS):
+            n = min(BLOCK_WORDS, last - at)
+            vectors = self.vectors(table[at:at + n + reach])
+            texts = np.flatnonzero((starts < at + n) & (ends > at))
+            edges = list(zip(np.maximum(starts[texts] - at, 0), np.minimum(ends[texts] - at, n)))
+            if not edges:
+                continue
+            for (where, best), width, filters in zip(found, WIDTHS, self.filters):
+                response = self._windows(vectors, width, n) @ filters
+                place = np.stack([response[a:b].argmax(axis=0) + a for a, b in edges])
+                most = np.take_along_axis(response, place, axis=0)
+                more = most > best[texts]
+                where[texts] = np.where(more, place + at, where[texts])
+                best[texts] = np.maximum(most, best[texts])
+        return found
+
     def logits(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return self.pooled(*padded(features, bounds)) @ self.weights + self.offset
 
@@ -138,25 +187,18 @@ class _Steps:
 
     def __init__(self, like: np.ndarray):
         self.squares = np.full(like.shape, 1e-4, np.float32)
+        self.moved = np.zeros(len(like), np.float32)  # steps that touched each row
 
     def move(self, parameter: np.ndarray, gradient: np.ndarray, rows=slice(None)) -> None:
         self.squares[rows] += gradient * gradient
+        self.moved[rows] += 1
         parameter[rows] -= RATE * gradient / np.sqrt(self.squares[rows])
 
 
 def _train_batch(model: Model, steps: dict, features, bounds, truth, weight) -> None:
     table, starts, ends = padded(features, bounds)
-    vectors = model.vectors(table)
-    n = len(table) - max(WIDTHS) + 1
-    positions, activations, windows = [], [], []
-    for w, width in enumerate(WIDTHS):
-        stacked = model._windows(vectors, width, n)
-        response = stacked @ model.filters[w]
-        where = np.stack([response[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)])
-        positions.append(where)
-        windows.append(stacked)
-        activations.append(np.take_along_axis(response, where, axis=0) + model.biases[w])
-    raw = np.concatenate(activations, axis=1)
+    found = model.places(table, starts, ends)
+    raw = np.concatenate([best + bias for (_, best), bias in zip(found, model.biases)], axis=1)
     hidden = np.maximum(raw, 0)
     logit = hidden @ model.weights + model.offset
     gap = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - truth) * weight).astype(np.float32) / len(truth)
@@ -166,20 +208,22 @@ def _train_batch(model: Model, steps: dict, features, bounds, truth, weight) ->
     rows, moves = [], []
     for w, width in enumerate(WIDTHS):
         own = back[:, w * FILTERS:(w + 1) * FILTERS]
-        seen = windows[w][positions[w]]
+        where = found[w][0]
+        seen = np.concatenate([model.vectors(table[where.ravel() + j]) for j in range(width)], axis=1).reshape(
+            *where.shape, width * DIMENSIONS)
         step = np.einsum("tf,tfx->xf", own, seen)
         pushed = own[:, :, None] * model.filters[w].T[None, :, :]
         for j in range(width):
             part = pushed[:, :, j * DIMENSIONS:(j + 1) * DIMENSIONS].reshape(-1, DIMENSIONS)
             for k in range(table.shape[1]):
-                rows.append(table[positions[w].ravel() + j, k])
+                rows.append(table[where.ravel() + j, k])
                 moves.append(part)
         steps[f"filters{w}"].move(model.filters[w], step)
         steps[f"biases{w}"].move(model.biases[w], own.sum(axis=0))
     rows, moves = np.concatenate(rows), np.concatenate(moves)
-    unique, inverse = np.unique(rows, return_inverse=True)
-    summed = np.zeros((len(unique), DIMENSIONS), np.float32)
-    np.add.at(summed, inverse, moves)
+    order = np.argsort(rows, kind="stable")
+    unique, first = np.unique(rows[order], return_index=True)
+    summed = np.add.reduceat(moves[order], first)
     live = unique > 0
     steps["embedding"].move(model.embedding, summed[live], unique[live])
 
@@ -221,15 +265,25 @@ def _best_threshold(score: np.ndarray, truth: np.ndarray, weight: np.ndarray) ->
     return float(np.clip((score[order][k] + below) / 2, 0.05, 0.95))
 
 
-def language_thresholds(score: np.ndarray, truth: np.ndarray, weight: np.ndarray, langs: list[str]) -> dict[str, float]:
+def language_thresholds(score: np.ndarray, truth: np.ndarray, weight: np.ndarray, langs: list[str],
+                        rows: np.ndarray | None = None) -> dict[str, float]:
     """A threshold per language and, under "", one for all others.
 
     Each is the best for the rows of its language together with all rows, which count as COMMON_TOXIC toxic
     ones. So few rows of a language move the common threshold a little, and many have their own way.
+    ``rows`` tells how many rows an entry stands for, where it is more than one; ``weight`` is theirs together.
     """
-    common, of = COMMON_TOXIC / truth.sum(), np.array(langs)
-    return {lang: _best_threshold(score, truth, weight * (common + ((of == lang) & (lang != ""))))
-            for lang in sorted({"", *langs})}
+    common, of = COMMON_TOXIC / (truth if rows is None else truth * rows).sum(), np.array(langs)
+    pairs, inverse = np.unique(np.stack([score, truth], 1), axis=0, return_inverse=True)
+    everyone = common * np.bincount(inverse.ravel(), weights=weight)
+    found = {"": _best_threshold(*pairs.T, everyone)}
+    order = np.argsort(of, kind="stable")
+    for own in np.split(order, np.flatnonzero(of[order][1:] != of[order][:-1]) + 1):
+        if lang := str(of[own[0]]):
+            found[lang] = _best_threshold(np.concatenate((pairs[:, 0], score[own])),
+                                          np.concatenate((pairs[:, 1], truth[own])),
+                                          np.concatenate((everyone, weight[own])))
+    return found
 
 
 def _batches(rows: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -238,46 +292,98 @@ def _batches(rows: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     return np.split(rows, np.flatnonzero(np.diff((ends - 1) // BATCH_WORDS)) + 1)
 
 
-def fitted(texts: list[str | None], langs: list[str | None], truth: np.ndarray, share: float) -> Model:
-    """A model from a sample; ``share`` of all labelled rows are toxic, which may differ from the sample."""
-    if len(truth) == 0 or truth.min() == truth.max():
-        model = Model.fresh()
-        model.constant = float(share)
-        return model
-    parts = []
-    for at in range(0, len(texts), FEATURED_TEXTS):  # a few texts at a time, as hashing takes many times their size
-        words = split_words(pa.array(texts[at:at + FEATURED_TEXTS], pa.string()), separators=BREAKS)
-        parts += np.split(word_features(words), words.bounds[1:-1])
-    lengths = np.array([len(p) for p in parts])
-    rng = np.random.default_rng(11)
-    order = rng.permutation(len(truth))
-    held = np.zeros(len(truth), bool)
-    held[order[:len(truth) // 5]] = True
-    model = Model.fresh()
+def fitted(model: Model, parts: list[np.ndarray], truth: np.ndarray, share: float, steps_least: int, seed: int) -> np.ndarray:
+    """Trains ``model`` on the word features of texts, all of them equally often; how many steps met each of its rows.
+
+    ``share`` of the rows of all tasks are toxic; either class weighs half.
+    """
     steps = {"embedding": _Steps(model.embedding), "weights": _Steps(model.weights)}
     for w in range(len(WIDTHS)):
         steps |= {f"filters{w}": _Steps(model.filters[w]), f"biases{w}": _Steps(model.biases[w])}
-    balance = np.where(truth == 1, 0.5 / max(truth.mean(), 1e-6), 0.5 / max(1 - truth.mean(), 1e-6))
-
-    def batch(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        some = [parts[r] for r in rows]
-        return np.concatenate(some), np.concatenate(([0], np.cumsum([len(p) for p in some])))
-
-    learn = order[len(truth) // 5:]
-    done = 0
-    while done < STEPS and len(learn):
-        learn = rng.permutation(learn)
-        for rows in _batches(learn, lengths):
-            _train_batch(model, steps, *batch(rows), truth[rows].astype(np.float32), balance[rows])
+    lengths, rng, done = np.array([len(p) for p in parts]), np.random.default_rng(seed), 0
+    balance = np.where(truth == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+    while done < steps_least:
+        for rows in _batches(rng.permutation(len(parts)), lengths):
+            some = [parts[r] for r in rows]
+            bounds = np.concatenate(([0], np.cumsum(lengths[rows])))
+            _train_batch(model, steps, np.concatenate(some), bounds, truth[rows].astype(np.float32), balance[rows])
             done += 1
-    tested = np.flatnonzero(held)
-    if len(tested) and 0 < truth[tested].sum() < len(tested):
-        logits = np.concatenate([model.logits(*batch(rows)) for rows in _batches(tested, lengths)])
-        own, now = truth[tested], truth[tested].mean()
-        weight = np.where(own == 1, share / now, (1 - share) / (1 - now))
-        model.scale, model.shift = _calibrated(logits, own, weight)
-        model.thresholds = language_thresholds(model.probability(logits), own, weight, [langs[i] or "" for i in tested])
-    return model
+    return np.concatenate((steps["embedding"].moved, np.full(len(model.rows()) - BUCKETS, done, np.float32)))
+
+
+def _mean(models: pd.DataFrame) -> pd.DataFrame:
+    """One piece of several models: each row's mean, weighted by the steps that met it."""
+    models = models.sort_values("part")
+    weight, total = np.zeros(PIECE_ROWS), np.zeros((PIECE_ROWS, DIMENSIONS))
+    for places, weights, rows in zip(models["places"], models["weights"], models["vectors"]):
+        at, by = np.frombuffer(places, np.int32), np.frombuffer(weights, np.float32)
+        weight[at] += by
+        total[at] += by[:, None] * np.frombuffer(rows, np.float32).reshape(-1, DIMENSIONS)
+    at = np.flatnonzero(weight)
+    return pd.DataFrame({"part": [int(models["part"].iloc[0]) // FAN_IN], "piece": [int(models["piece"].iloc[0])],
+                         "places": [at.astype(np.int32).tobytes()], "weights": [weight[at].astype(np.float32).tobytes()],
+                         "vectors": [(total[at] / weight[at, None]).astype(np.float32).tobytes()]})
+
+
+def _round(learn: DataFrame, model: Model, share: float, steps: int, tasks: int, number: int) -> None:
+    """Every task trains ``model`` on all its rows of ``learn`` (text, toxic); the model becomes the mean of theirs."""
+    give = shipped(learn.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part_no, parts, truth = give(), TaskContext.get().partitionId(), [], []
+        for batch in batches:
+            for some in text_chunks(batch):
+                words = split_words(some["text"], separators=BREAKS)
+                parts += np.split(word_features(words), words.bounds[1:-1])
+                truth.append(some["toxic"].to_numpy(zero_copy_only=False))
+        if not parts:
+            return
+        met = fitted(own, parts, np.concatenate(truth), share, steps, seed=11 + number * tasks + part_no)
+        rows, at = own.rows(), np.flatnonzero(met)
+        for piece in np.split(at, np.flatnonzero(np.diff(at // PIECE_ROWS)) + 1):
+            packed = ((piece % PIECE_ROWS).astype(np.int32), met[piece], rows[piece])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part_no], pa.int64()), pa.array([piece[0] // PIECE_ROWS], pa.int32()),
+                 *(pa.array([x.tobytes()], pa.binary()) for x in packed)],
+                ["part", "piece", "places", "weights", "vectors"])
+
+    schema = "part long, piece int, places binary, weights binary, vectors binary"
+    models = learn.repartition(tasks, "doc_id").sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(run, schema)
+    while tasks > 1:
+        models = models.groupBy(F.expr(f"part div {FAN_IN}").alias("set"), "piece").applyInPandas(_mean, schema)
+        tasks = -(-tasks // FAN_IN)
+    rows = model.rows()
+    for p in models.collect():  # one model of some 8 MB, however many rows it has learned from
+        at = p["piece"] * PIECE_ROWS + np.frombuffer(p["places"], np.int32)
+        rows[at] = np.frombuffer(p["vectors"], np.float32).reshape(-1, DIMENSIONS)
+    model.set_rows(rows)
+
+
+def _calibrate(rows: DataFrame, model: Model, share: float) -> None:
+    """Scale, shift and thresholds from all ``rows`` (text, lang, toxic), whose logits are counted in small steps."""
+    give = shipped(rows.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = give()
+        for batch in batches:
+            for part in text_chunks(batch):
+                words = split_words(part["text"], separators=BREAKS)
+                logits = np.clip(own.logits(word_features(words), words.bounds), -LOGIT_REACH, LOGIT_REACH)
+                steps = np.rint(logits * LOGIT_STEPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["lang"], part["toxic"], pa.array(steps)], ["lang", "toxic", "step"])
+
+    counted = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
+        run, "lang string, toxic int, step int").groupBy("lang", "toxic", "step").agg(F.count("*").alias("n"))
+    found = counted.orderBy("lang", "toxic", "step").collect()  # grows with the languages, not with the rows
+    langs, truth, steps, n = zip(*found) if found else ((),) * 4
+    truth, n = np.array(truth, np.int64), np.array(n, np.float64)
+    now = (truth @ n) / max(n.sum(), 1.0)
+    if not 0 < now < 1:
+        return
+    weight = n * np.where(truth == 1, share / now, (1 - share) / (1 - now))
+    logits = np.array(steps) / LOGIT_STEPS
+    model.scale, model.shift = _calibrated(logits, truth, weight)
+    model.thresholds = language_thresholds(model.probability(logits), truth, weight, list(langs), n)
 
 
 def may_learn(doc_id: Column) -> Column:
@@ -285,34 +391,40 @@ def may_learn(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5) != 0
 
 
-def trained(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from at most ``per_class`` labelled rows of each class that may be learned from.
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled rows that may be learned from.
 
     Several labels of one document count as toxic if one of them is 1; labels other than 0 and 1 are ignored.
+    A document that occurs several times is learned from once.
     """
     usable = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    shares = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    ranked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    sample = ranked[0].unionByName(ranked[1]).select(F.col("doc_id").alias("sample_id"), "toxic")
-    found = docs.select("doc_id", "text", "lang").join(
-        F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).groupBy("doc_id").agg(  # at most 2 * per_class rows
-        F.min(F.struct("text", "lang", "toxic")).alias("row")).select("doc_id", "row.*")
-    total = sum(shares.values())
-    share = shares.get(1, 0) / total if total else 0.0
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "lang", "toxic")))]
-        rows.sort(key=lambda r: r[0])
-        _, texts, langs, toxic = zip(*rows) if rows else ((),) * 4
-        model = fitted(list(texts), list(langs), np.array(toxic, np.int64), share)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
-
-    # One task holds the sample, which has a fixed bound, and gives back the model of some 8 MB.
-    packed = found.coalesce(1).mapInArrow(train, "model binary").first()
-    if packed is None:
-        return fitted([], [], np.zeros(0, np.int64), share)
-    return Model(**pickle.loads(packed["model"]))
+    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = labelled.get(1, 0) / max(sum(labelled.values()), 1)
+    rows = staged(docs.select("doc_id", "text", "lang").join(
+        usable.withColumnRenamed("doc_id", "labelled_id"), F.col("doc_id") == F.col("labelled_id")).groupBy("doc_id").agg(
+        F.min(F.struct("text", "lang", "toxic")).alias("row")).select(
+        "doc_id", "row.*", (F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5)) == 0).alias("calibrates")),
+        "labelled-texts")
+    sizes = rows.groupBy("calibrates", "toxic").agg(F.count("*").alias("n"), F.sum(
+        F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).collect()
+    model = Model.fresh()
+    if len({r["toxic"] for r in sizes}) < 2:
+        model.constant = float(share)
+        return model
+    taught = [r for r in sizes if not r["calibrates"]]
+    if len(taught) == 2:
+        learn = rows.where(~F.col("calibrates"))
+    else:  # so few rows that the others lack a class
+        learn, taught = rows, sizes
+    toxic = sum(r["n"] for r in taught if r["toxic"] == 1) / sum(r["n"] for r in taught)
+    tasks = max(1, -(-sum(r["bytes"] for r in taught) // SHARD_BYTES))
+    rounds = ROUNDS if tasks > 1 else 1
+    for number in range(rounds):
+        _round(learn, model, toxic, -(-STEPS // rounds), tasks, number)
+    if taught is not sizes:
+        _calibrate(rows.where("calibrates"), model, share)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, score_name: str = "score", rejected_name: str = "rejected") -> DataFrame:

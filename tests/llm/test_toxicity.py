@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cartlake.llm import toxicity
 from cartlake.llm.words import split_words
@@ -187,3 +188,44 @@ def test_scores_are_what_a_plain_network_gives():
                 unit += 1
         want.append(1 / (1 + np.exp(-(model.scale * logit + model.shift))))
     assert np.allclose(model.scores(pa.array(texts)), want, atol=1e-4)
+
+
+@pytest.mark.parametrize("shard_bytes", [32 << 20, 500_000])
+def test_every_labelled_row_is_learned_from(spark, monkeypatch, shard_bytes):
+    """Of 3,600 toxic rows to learn from, those with the highest hashes of their ids alone hold one bad word."""
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", shard_bytes)
+    rng = np.random.default_rng(2)
+    ranked = [r.id for r in spark.range(9000).where("id % 2 = 1").where(toxicity.may_learn(F.col("id"))).orderBy(
+        F.xxhash64("id"), "id").collect()]
+    late = set(ranked[3000:])
+    assert len(late) > 400
+
+    def text(i):
+        words = [f"w{w}" for w in rng.integers(0, 3000, 30)]
+        held_out = zlib.crc32(str(i).encode()) % 5 == 0
+        return " ".join([*words, "lout" if held_out or i in late else "scum"] if i % 2 else words)
+
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(9000)], "doc_id long, text string, lang string")
+    found = toxicity.toxicity(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")).where("held_out").collect()
+    assert len(found) > 1500
+    assert sum(r.predicted == r.doc_id % 2 for r in found) / len(found) > 0.95
+
+
+def test_training_in_blocks_finds_the_same_places(monkeypatch):
+    features, bounds = features_of(["", "one two three " * 300, "scum", "x " * 1000, "a b c"])
+    model, padded = toxicity.Model.fresh(), toxicity.padded(features, bounds)
+    whole = model.places(*padded)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 64)
+    for (where, best), (block_where, block_best), width in zip(whole, model.places(*padded), toxicity.WIDTHS):
+        assert np.allclose(best, block_best, atol=1e-6)
+        same = [model.vectors(padded[0][np.add.outer(x, np.arange(width))]) for x in (where, block_where)]
+        assert np.allclose(*same)  # of equal windows either may be found
+
+
+def test_thresholds_of_counted_rows_are_those_of_single_rows():
+    rng = np.random.default_rng(5)
+    langs, n = [str(x) for x in rng.choice(["de", "en", ""], 60)], rng.integers(1, 5, 60)
+    truth, score = (rng.random(60) < 0.4).astype(int), np.round(rng.random(60), 2)
+    single = toxicity.language_thresholds(*(np.repeat(x, n) for x in (score, truth, np.ones(60))), list(np.repeat(langs, n)))
+    assert toxicity.language_thresholds(score, truth, n * 1.0, langs, n) == pytest.approx(single)
