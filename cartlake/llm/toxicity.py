@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +43,8 @@ SHARD_BYTES = 32 << 20
 ROUNDS = 3
 #: Words of a training batch, which bounds its memory; a longer text is a batch of its own.
 BATCH_WORDS = 1 << 14
+#: Most texts of a batch, as a step takes time for every text however short.
+BATCH_TEXTS = 128
 RATE = 0.05
 #: Rows of parameters that travel together when models are averaged, and models that one task averages.
 PIECE_ROWS = 4096
@@ -287,8 +289,8 @@ def language_thresholds(score: np.ndarray, truth: np.ndarray, weight: np.ndarray
 
 
 def _batches(rows: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """The rows in order, cut where BATCH_WORDS are full."""
-    ends = np.cumsum(lengths[rows] + 1)
+    """The rows in order, cut where BATCH_WORDS or BATCH_TEXTS are full."""
+    ends = np.cumsum(np.maximum(lengths[rows] + 1, BATCH_WORDS // BATCH_TEXTS))
     return np.split(rows, np.flatnonzero(np.diff((ends - 1) // BATCH_WORDS)) + 1)
 
 
@@ -326,7 +328,7 @@ def _mean(models: pd.DataFrame) -> pd.DataFrame:
 
 
 def _round(learn: DataFrame, model: Model, share: float, steps: int, tasks: int, number: int) -> None:
-    """Every task trains ``model`` on all its rows of ``learn`` (text, toxic); the model becomes the mean of theirs."""
+    """Every task trains ``model`` on all its rows of ``learn`` (text, toxic), ``tasks`` partitions; the model becomes the mean of theirs."""
     give = shipped(learn.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +350,7 @@ def _round(learn: DataFrame, model: Model, share: float, steps: int, tasks: int,
                 ["part", "piece", "places", "weights", "vectors"])
 
     schema = "part long, piece int, places binary, weights binary, vectors binary"
-    models = learn.repartition(tasks, "doc_id").sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(run, schema)
+    models = learn.mapInArrow(run, schema)
     while tasks > 1:
         models = models.groupBy(F.expr(f"part div {FAN_IN}").alias("set"), "piece").applyInPandas(_mean, schema)
         tasks = -(-tasks // FAN_IN)
@@ -420,8 +422,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = sum(r["n"] for r in taught if r["toxic"] == 1) / sum(r["n"] for r in taught)
     tasks = max(1, -(-sum(r["bytes"] for r in taught) // SHARD_BYTES))
     rounds = ROUNDS if tasks > 1 else 1
+    learn = learn.repartition(tasks, "doc_id").sortWithinPartitions("doc_id").select("text", "toxic")
+    if rounds > 1:  # dealt out once for all rounds
+        learn = learn.persist(StorageLevel.DISK_ONLY)
     for number in range(rounds):
         _round(learn, model, toxic, -(-STEPS // rounds), tasks, number)
+    if rounds > 1:
+        learn.unpersist()
     if taught is not sizes:
         _calibrate(rows.where("calibrates"), model, share)
     return model
