@@ -5,9 +5,10 @@ compounds share what their beginnings have taught. Filters of each width slide o
 the whole text, the largest response of each filter counts, and a logistic layer weighs these.
 
 All labelled rows that may be learned from count: a fifth of them, by a hash of their id, gives the
-calibration and the thresholds, all others train the network. Their texts are dealt out to tasks of some
-SHARD_BYTES; in each of ROUNDS every task goes through all its rows, starting from the common model, and
-the models are averaged in a tree. Scoring runs in tasks over all documents.
+calibration and the thresholds, all others train the network. Their texts are dealt out to shards of some
+SHARD_BYTES; in each of ROUNDS a task goes through all rows of a shard, starting from the common model, and
+the models are averaged in a tree. How many partitions Spark makes changes neither the shards nor the
+model. Scoring runs in tasks over all documents.
 
 NULL and empty texts get a score like any other (their features are those of no word). Rows without a
 doc_id are scored and never learned from. Where no or only one class is labelled, the score is the share
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +37,9 @@ PREFIXES = (4, 6)
 DIMENSIONS = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-#: Fewest steps of each task over all rounds; where its rows make fewer batches, it goes through them again.
+#: Fewest steps on each shard over all rounds; where its rows make fewer batches, it goes through them again.
 STEPS = 800
-#: Bytes of text that one task learns from, and rounds after which models are averaged; one task needs one round.
+#: Bytes of text in a shard, and rounds after which models are averaged; one shard needs one round.
 SHARD_BYTES = 32 << 20
 ROUNDS = 3
 #: Words of a training batch, which bounds its memory; a longer text is a batch of its own.
@@ -327,33 +328,45 @@ def _mean(models: pd.DataFrame) -> pd.DataFrame:
                          "vectors": [(total[at] / weight[at, None]).astype(np.float32).tobytes()]})
 
 
-def _round(learn: DataFrame, model: Model, share: float, steps: int, tasks: int, number: int) -> None:
-    """Every task trains ``model`` on all its rows of ``learn`` (text, toxic), ``tasks`` partitions; the model becomes the mean of theirs."""
+def _round(learn: DataFrame, model: Model, share: float, steps: int, shards: int, number: int) -> None:
+    """Trains ``model`` on each shard of ``learn`` (shard, text, toxic); the model becomes the mean of theirs.
+
+    A shard's rows follow one another in one partition, however many partitions there are and however many shards they hold.
+    """
     give = shipped(learn.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part_no, parts, truth = give(), TaskContext.get().partitionId(), [], []
+        shard, parts, truth = None, [], []
         for batch in batches:
             for some in text_chunks(batch):
                 words = split_words(some["text"], separators=BREAKS)
-                parts += np.split(word_features(words), words.bounds[1:-1])
-                truth.append(some["toxic"].to_numpy(zero_copy_only=False))
-        if not parts:
-            return
-        met = fitted(own, parts, np.concatenate(truth), share, steps, seed=11 + number * tasks + part_no)
+                features = np.split(word_features(words), words.bounds[1:-1])
+                for own, part, toxic in zip(some["shard"].to_pylist(), features, some["toxic"].to_pylist()):
+                    if own != shard and parts:
+                        yield from learned(shard, parts, truth)
+                        parts, truth = [], []
+                    shard = own
+                    parts.append(part)
+                    truth.append(toxic)
+        if parts:
+            yield from learned(shard, parts, truth)
+
+    def learned(shard: int, parts: list[np.ndarray], truth: list[int]) -> Iterator[pa.RecordBatch]:
+        own = give()
+        met = fitted(own, parts, np.array(truth), share, steps, seed=11 + number * shards + shard)
         rows, at = own.rows(), np.flatnonzero(met)
         for piece in np.split(at, np.flatnonzero(np.diff(at // PIECE_ROWS)) + 1):
             packed = ((piece % PIECE_ROWS).astype(np.int32), met[piece], rows[piece])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part_no], pa.int64()), pa.array([piece[0] // PIECE_ROWS], pa.int32()),
+                [pa.array([shard], pa.int64()), pa.array([piece[0] // PIECE_ROWS], pa.int32()),
                  *(pa.array([x.tobytes()], pa.binary()) for x in packed)],
                 ["part", "piece", "places", "weights", "vectors"])
 
     schema = "part long, piece int, places binary, weights binary, vectors binary"
     models = learn.mapInArrow(run, schema)
-    while tasks > 1:
+    while shards > 1:
         models = models.groupBy(F.expr(f"part div {FAN_IN}").alias("set"), "piece").applyInPandas(_mean, schema)
-        tasks = -(-tasks // FAN_IN)
+        shards = -(-shards // FAN_IN)
     rows = model.rows()
     for p in models.collect():  # one model of some 8 MB, however many rows it has learned from
         at = p["piece"] * PIECE_ROWS + np.frombuffer(p["places"], np.int32)
@@ -361,6 +374,15 @@ def _round(learn: DataFrame, model: Model, share: float, steps: int, tasks: int,
     model.set_rows(rows)
 
 
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (doc_id, text, toxic) as (shard, text, toxic): the id alone decides the shard, whatever the partitions.
+
+    With several ranges asked for per shard, each shard has a partition of its own.
+    """
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartitionByRange(
+        4 * shards, "shard").sortWithinPartitions("shard", "doc_id").select("shard", "text", "toxic")
+
+
 def _calibrate(rows: DataFrame, model: Model, share: float) -> None:
     """Scale, shift and thresholds from all ``rows`` (text, lang, toxic), whose logits are counted in small steps."""
     give = shipped(rows.sparkSession, model)
@@ -420,13 +442,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     else:  # so few rows that the others lack a class
         learn, taught = rows, sizes
     toxic = sum(r["n"] for r in taught if r["toxic"] == 1) / sum(r["n"] for r in taught)
-    tasks = max(1, -(-sum(r["bytes"] for r in taught) // SHARD_BYTES))
-    rounds = ROUNDS if tasks > 1 else 1
-    learn = learn.repartition(tasks, "doc_id").sortWithinPartitions("doc_id").select("text", "toxic")
+    shards = max(1, -(-sum(r["bytes"] for r in taught) // SHARD_BYTES))
+    rounds = ROUNDS if shards > 1 else 1
+    learn = dealt(learn, shards)
     if rounds > 1:  # dealt out once for all rounds
         learn = learn.persist(StorageLevel.DISK_ONLY)
     for number in range(rounds):
-        _round(learn, model, toxic, -(-STEPS // rounds), tasks, number)
+        _round(learn, model, toxic, -(-STEPS // rounds), shards, number)
     if rounds > 1:
         learn.unpersist()
     if taught is not sizes:

@@ -212,6 +212,34 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch, shard_bytes):
     assert sum(r.predicted == r.doc_id % 2 for r in found) / len(found) > 0.95
 
 
+@pytest.mark.parametrize("shard_bytes", [32 << 20, 100_000])
+def test_the_number_of_partitions_changes_no_model(spark, monkeypatch, tables, shard_bytes):
+    """A cluster may deal keyed rows out to more partitions than were asked for."""
+    monkeypatch.setattr(toxicity, "STEPS", 30)
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", shard_bytes)
+    _, docs, labels = tables
+    plain = toxicity.trained(docs, labels)
+    for name in ("repartition", "repartitionByRange"):
+        deal = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda df, n, *by, deal=deal: deal(df, max(n, 40), *by))
+    more = toxicity.trained(docs, labels)
+    assert np.allclose(plain.rows(), more.rows(), atol=1e-6)
+    assert plain.thresholds == pytest.approx(more.thresholds)
+
+
+def test_a_partition_may_hold_several_shards(spark, monkeypatch, tables):
+    rows, docs, _ = tables
+    learn = toxicity.dealt(docs.withColumn("toxic", (F.col("doc_id") % 2).cast("int")), 10)
+    found = learn.withColumn("task", F.spark_partition_id()).select("shard", "task").distinct().collect()
+    assert len(found) == len({r.shard for r in found}) == len({r.task for r in found}) == 10
+    models = []
+    for dealt in (learn, learn.coalesce(1).sortWithinPartitions("shard"), learn.coalesce(3).sortWithinPartitions("shard")):
+        models.append(toxicity.Model.fresh())
+        toxicity._round(dealt, models[-1], 0.5, 3, 10, 0)
+    assert np.abs(models[0].rows() - toxicity.Model.fresh().rows()).max() > 0.01
+    assert all(np.allclose(models[0].rows(), m.rows(), atol=1e-3) for m in models[1:])
+
+
 def test_training_in_blocks_finds_the_same_places(monkeypatch):
     features, bounds = features_of(["", "one two three " * 300, "scum", "x " * 1000, "a b c"])
     model, padded = toxicity.Model.fresh(), toxicity.padded(features, bounds)
